@@ -1 +1,422 @@
-"""Queries."""
+"""Queries over learning-curve areas, gates and selections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from longspark.catalog.fixtures import R, rounded, table
+from longspark.catalog.registry import query
+from longspark.catalog.studies import CONTROLS, FULL, MAE, MODELS, STUDY, _oriented, full, mae, study
+from longspark.operators import gates
+from longspark.schema import BUNDLE
+
+_B = ", ".join(BUNDLE)
+
+
+def _area_sql(source: str, keys: str) -> str:
+    # trapezoid over ln(n) from consecutive sizes
+    return (
+        f"(SELECT {keys}, sum((v + nv) / 2 * (ln(nn) - ln(n_train))) / (ln(40::DOUBLE) - ln(5::DOUBLE)) AS naulc FROM"
+        f" (SELECT {keys}, n_train::DOUBLE AS n_train, value AS v, lead(value) OVER w AS nv, lead(n_train) OVER w AS nn,"
+        f" count(*) OVER (PARTITION BY {keys}) AS k FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY n_train))"
+        f" WHERE k = 4 GROUP BY {keys})"
+    )
+
+
+AREAS = f"{MAE}, au AS {_area_sql('mae', f'world, model, {_B}')}"
+PAIRS = (
+    f"{AREAS}, pr AS (SELECT world, {_B}, k.model AS comparator, c.naulc AS naulc_candidate, k.naulc AS naulc_comparator,"
+    f" k.naulc - c.naulc AS effect, (k.naulc - c.naulc) / k.naulc AS relative FROM au c JOIN au k USING (world, {_B})"
+    " WHERE c.model = 'candidate' AND k.model <> 'candidate')"
+)
+
+
+def areas(spark, sf):
+    return gates.naulc(mae(spark, sf), ["world", "model", *BUNDLE])
+
+
+def pairs(spark, sf):
+    return gates.paired_naulc(areas(spark, sf), "candidate", CONTROLS)
+
+
+@query(
+    "naulc",
+    f"WITH {MAE}, m AS (SELECT world, model, n_train, avg(value) AS value FROM mae GROUP BY 1, 2, 3), a AS {_area_sql('m', 'world, model')}"
+    f" SELECT world, model, {R('naulc')} AS naulc FROM a",
+)
+def _(spark, sf):
+    means = mae(spark, sf).groupBy("world", "model", "n_train").agg(F.avg("value").alias("value"))
+    return rounded(gates.naulc(means, ["world", "model"]), "naulc")
+
+
+@query("naulc_by_bundle", f"WITH {AREAS} SELECT world, model, {_B}, {R('naulc')} AS naulc FROM au")
+def _(spark, sf):
+    return rounded(areas(spark, sf), "naulc")
+
+
+_PAIR_NUM = ["naulc_candidate", "naulc_comparator", "effect", "relative"]
+
+
+@query(
+    "paired_naulc",
+    f"WITH {PAIRS} SELECT world, {_B}, comparator, " + ", ".join(f"{R(c)} AS {c}" for c in _PAIR_NUM) + " FROM pr",
+)
+def _(spark, sf):
+    return rounded(pairs(spark, sf), *_PAIR_NUM)
+
+
+def _dev_sql(keys: str, source: str, threshold: str = "0.05") -> str:
+    return (
+        f"SELECT {keys}, median(effect) AS median_improvement, count(effect) AS pairs, count(*) FILTER (WHERE effect > 0) AS wins,"
+        " avg(effect) AS mean_improvement, stddev_samp(effect) AS sd_improvement, avg(relative) AS mean_relative_improvement,"
+        " avg(naulc_candidate) AS candidate_mean_aulc, avg(naulc_comparator) AS control_mean_aulc,"
+        " count(*) FILTER (WHERE effect > 0) / 10.0::DOUBLE AS win_fraction,"
+        " count(effect) = 10 AND avg(effect) > 0 AND count(*) FILTER (WHERE effect > 0) >= 8"
+        f" AND avg(relative) >= {threshold} AS passed FROM {source} GROUP BY {keys}"
+    )
+
+
+_DEV_NUM = [
+    "median_improvement", "mean_improvement", "sd_improvement", "mean_relative_improvement",
+    "candidate_mean_aulc", "control_mean_aulc", "win_fraction",
+]
+_DEV_ROUND = ", ".join(f"{R(c)} AS {c}" for c in _DEV_NUM)
+
+
+@query(
+    "development_gate",
+    f"WITH {PAIRS}, g AS ({_dev_sql('world, comparator', 'pr')}) SELECT * REPLACE ({_DEV_ROUND}) FROM g",
+)
+def _(spark, sf):
+    out = gates.development_gate(
+        pairs(spark, sf), ["world", "comparator"], min_relative_effect=0.05, bundles=10, wins_required=8
+    )
+    return rounded(out, *_DEV_NUM)
+
+
+_FLOOR = (
+    f"{MAE}, md AS (SELECT *, median(value) OVER (PARTITION BY world, n_train, model) AS med FROM mae),"
+    " er AS (SELECT world, n_train, model, 1.4826::DOUBLE * median(abs(value - med)) / (abs(any_value(med)) * sqrt(10::DOUBLE)) AS err FROM md GROUP BY 1, 2, 3),"
+    " fl AS (SELECT world, quantile_cont(err, 0.75) AS noise_floor, count(*) AS n_groups FROM er GROUP BY 1)"
+)
+
+
+def _floor(spark, sf):
+    return gates.noise_floor(
+        mae(spark, sf), ["world", "n_train", "model"], by=("world",), configured=0.02, replicates=10
+    )
+
+
+@query("noise_floor", f"WITH {_FLOOR} SELECT world, {R('noise_floor')} AS noise_floor, n_groups FROM fl")
+def _(spark, sf):
+    return rounded(_floor(spark, sf).drop("locked_threshold"), "noise_floor")
+
+
+@query(
+    "locked_threshold",
+    f"WITH {_FLOOR} SELECT world, {R('greatest(0.02::DOUBLE, noise_floor)')} AS locked_threshold FROM fl",
+)
+def _(spark, sf):
+    return rounded(_floor(spark, sf).select("world", "locked_threshold"), "locked_threshold")
+
+
+# candidate and control_a against control_b
+_STAGE = (
+    f"{AREAS}, ps AS (SELECT world, {_B}, c.model AS candidate, c.naulc AS naulc_candidate, k.naulc AS naulc_comparator,"
+    f" k.naulc - c.naulc AS effect, (k.naulc - c.naulc) / k.naulc AS relative FROM au c JOIN au k USING (world, {_B})"
+    " WHERE k.model = 'control_b' AND c.model <> 'control_b'),"
+    f" gs AS ({_dev_sql('world, candidate', 'ps', '0.0')}),"
+    " gp AS (SELECT g.*, p.trainable_parameters FROM gs g JOIN (SELECT world, model AS candidate, max(trainable_parameters) AS trainable_parameters"
+    " FROM mae GROUP BY 1, 2) p USING (world, candidate)),"
+    " rk AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY candidate_mean_aulc, candidate) AS r,"
+    " row_number() OVER (PARTITION BY world ORDER BY trainable_parameters, candidate_mean_aulc, candidate) AS t FROM gp WHERE passed),"
+    " ch AS (SELECT world, max(candidate) FILTER (WHERE r = 1) AS best, max(candidate) FILTER (WHERE t = 1) AS small,"
+    " abs(max(mean_relative_improvement) FILTER (WHERE r = 1) - max(mean_relative_improvement) FILTER (WHERE r = 2)) AS gap FROM rk GROUP BY 1),"
+)
+_SELECTED = "coalesce(candidate = CASE WHEN gap < {tol} THEN small ELSE best END, false) AS selected"
+
+
+def _stage(spark, sf):
+    return gates.select_stage(
+        mae(spark, sf), "control_b", ["candidate", "control_a"], column="model", bundles=10, wins_required=8
+    )
+
+
+@query(
+    "select_stage",
+    f"WITH {_STAGE} out AS (SELECT gp.*, {_SELECTED.format(tol='0.005')} FROM gp LEFT JOIN ch USING (world))"
+    f" SELECT * REPLACE ({_DEV_ROUND}) FROM out",
+)
+def _(spark, sf):
+    return rounded(_stage(spark, sf), *_DEV_NUM)
+
+
+@query(
+    "select_candidate",
+    f"WITH {_STAGE} out AS (SELECT gp.*, {_SELECTED.format(tol='0.5')} FROM gp LEFT JOIN ch USING (world))"
+    " SELECT world, candidate, passed, trainable_parameters, selected FROM out",
+)
+def _(spark, sf):
+    # a wide tolerance, so that parsimony decides
+    out = gates.select_candidate(_stage(spark, sf).drop("selected"), ["world"], tie_tolerance=0.5)
+    return out.select("world", "candidate", "passed", "trainable_parameters", "selected")
+
+
+def _score(v: str) -> str:
+    return f"CASE WHEN metric = 'coverage_90' THEN abs({v} - 0.9::DOUBLE) ELSE {v} END"
+
+
+def _metric_wins(a: str, b: str, where: str = "true") -> str:
+    return (
+        f"(SELECT world, metric, count(*) AS pairs, count(*) FILTER (WHERE x < y) AS wins, avg(x) AS winner_mean, avg(y) AS loser_mean,"
+        " count(*) = 10 AND avg(x) < avg(y) AND count(*) FILTER (WHERE x < y) >= 6 AS ok FROM"
+        f" (SELECT world, metric, {_B}, {_score('w')} AS x, {_score('l')} AS y FROM (SELECT world, metric, {_B},"
+        f" avg(value) FILTER (WHERE model = '{a}') AS w, avg(value) FILTER (WHERE model = '{b}') AS l"
+        f" FROM fullm WHERE {where} GROUP BY world, metric, {_B})) GROUP BY 1, 2)"
+    )
+
+
+@query(
+    "paired_metric_wins",
+    f"WITH {FULL}, w AS {_metric_wins('candidate', 'control_a')} SELECT * REPLACE ({R('winner_mean')} AS winner_mean,"
+    f" {R('loser_mean')} AS loser_mean) FROM w",
+)
+def _(spark, sf):
+    out = gates.paired_metric_wins(full(spark, sf), "candidate", "control_a", bundles=10, wins_required=6)
+    return rounded(out, "winner_mean", "loser_mean")
+
+
+_PROB = "metric IN ('nll', 'coverage_90')"
+
+
+def _world_wins(a: str, b: str) -> str:
+    return (
+        f"SELECT '{a}' AS candidate, count(*) FILTER (WHERE k = 2) AS w FROM (SELECT world, count(*) FILTER (WHERE ok) AS k"
+        f" FROM {_metric_wins(a, b, _PROB)} GROUP BY 1)"
+    )
+
+
+@query(
+    "select_uncertainty",
+    f"WITH {AREAS}, ma AS (SELECT world, model, avg(naulc) AS a FROM au GROUP BY 1, 2),"
+    " ad AS (SELECT c.model AS candidate, bool_and(c.a <= (1.0::DOUBLE + 0.05::DOUBLE) * b.a) AS admissible FROM ma c JOIN ma b USING (world)"
+    " WHERE b.model = 'control_b' AND c.model <> 'control_b' GROUP BY 1),"
+    f" ww AS ({_world_wins('candidate', 'control_a')} UNION ALL {_world_wins('control_a', 'candidate')}),"
+    " pp AS (SELECT model AS candidate, max(trainable_parameters) AS trainable_parameters FROM fullm GROUP BY 1),"
+    " j AS (SELECT candidate, admissible, CASE WHEN admissible THEN w ELSE 0 END AS world_wins, trainable_parameters"
+    " FROM ad JOIN ww USING (candidate) JOIN pp USING (candidate))"
+    " SELECT *, admissible AND world_wins >= 1 AND row_number() OVER (ORDER BY (admissible AND world_wins >= 1) DESC, world_wins DESC,"
+    " trainable_parameters, candidate) = 1 AS selected FROM j",
+)
+def _(spark, sf):
+    return gates.select_uncertainty(
+        full(spark, sf),
+        baseline="control_b",
+        candidates=("candidate", "control_a"),
+        tolerance=0.05,
+        bundles=10,
+        wins_required=6,
+        worlds_required=1,
+    )
+
+
+@query(
+    "timing_audit",
+    f"WITH {AREAS}, d AS (SELECT world, i.naulc - s.naulc AS delta FROM au s JOIN au i USING (world, {_B})"
+    " WHERE s.model = 'candidate' AND i.model = 'control_a')"
+    f" SELECT world, {R('median(delta)')} AS median_delta, {R('avg(delta)')} AS mean_delta, count(*) AS n_bundles FROM d GROUP BY 1",
+)
+def _(spark, sf):
+    a = areas(spark, sf)
+    out = gates.timing_audit(a.where("model = 'candidate'"), a.where("model = 'control_a'"))
+    return rounded(out, "median_delta", "mean_delta")
+
+
+_EARLY = (
+    f"{MAE}, ew AS (SELECT world, n_train, {_B}, "
+    + ", ".join(f"any_value(value) FILTER (WHERE model = '{m}') AS {m}" for m in MODELS)
+    + f" FROM mae WHERE n_train < 40 GROUP BY world, n_train, {_B}), eg AS (SELECT world, n_train, "
+    + ", ".join(
+        f"avg({c} - candidate) AS {c}_mean_effect, count(*) FILTER (WHERE {c} > candidate) AS {c}_wins,"
+        f" count({c} - candidate) = 10 AND avg({c} - candidate) > 0 AND count(*) FILTER (WHERE {c} > candidate) >= 8 AS {c}_passed"
+        for c in CONTROLS
+    )
+    + " FROM ew GROUP BY 1, 2), early AS (SELECT *, control_a_passed AND control_b_passed AS passed FROM eg)"
+)
+
+
+@query(
+    "early_n_gate",
+    f"WITH {_EARLY} SELECT * REPLACE ({R('control_a_mean_effect')} AS control_a_mean_effect, {R('control_b_mean_effect')} AS control_b_mean_effect) FROM early",
+)
+def _(spark, sf):
+    out = gates.early_n_gate(mae(spark, sf), "candidate", CONTROLS)
+    return rounded(out, "control_a_mean_effect", "control_b_mean_effect")
+
+
+_PRIMARY = (
+    f"{PAIRS}, ps AS (SELECT world, comparator, median(effect) AS median_effect, count(*) AS pairs, avg(effect) AS mean_effect,"
+    " stddev_samp(effect) AS sd_effect, count(*) FILTER (WHERE effect > 0) AS wins, avg(relative) * 100 AS mean_relative_improvement_pct,"
+    " count(*) FILTER (WHERE effect > 0) / 10.0::DOUBLE AS win_fraction,"
+    " count(*) = 10 AND avg(effect) > 0 AND count(*) FILTER (WHERE effect > 0) >= 8 AS passed FROM pr GROUP BY 1, 2),"
+    " sh AS (SELECT world, bool_and(passed) AND count(*) = 2 AS shared FROM ps GROUP BY 1), "
+    + _EARLY.removeprefix(f"{MAE}, ")
+    + ", ea AS (SELECT world, bool_or(passed) AS early FROM early GROUP BY 1),"
+    " hd AS (SELECT count(*) FILTER (WHERE shared) AS shared_worlds, coalesce(string_agg(world, ',' ORDER BY world) FILTER (WHERE shared), '') AS shared_passing_worlds,"
+    " coalesce(bool_or(shared AND early), false) AS early_n_passed FROM sh LEFT JOIN ea USING (world))"
+)
+_PRIMARY_NUM = ["median_effect", "mean_effect", "sd_effect", "mean_relative_improvement_pct", "win_fraction"]
+
+
+@query(
+    "primary_gate",
+    f"WITH {_PRIMARY} SELECT ps.* REPLACE (" + ", ".join(f"{R(c)} AS {c}" for c in _PRIMARY_NUM)
+    + "), hd.*, shared_worlds >= 2 AND early_n_passed AS headline_passed FROM ps, hd",
+)
+def _(spark, sf):
+    return rounded(gates.primary_gate(mae(spark, sf), "candidate", CONTROLS), *_PRIMARY_NUM)
+
+
+_SITE = (
+    f"{STUDY}, sd0 AS (SELECT world, {_B}, n_train, model, "
+    + ", ".join(
+        f"any_value(value) FILTER (WHERE metric = '{m}' AND site_or_shift = 'site_{s}') AS {m}_site_{s}"
+        for m in ("mae", "nll", "coverage_90")
+        for s in (0, 1)
+    )
+    + f" FROM study WHERE ablation = 'none' AND site_or_shift <> 'all' GROUP BY world, {_B}, n_train, model),"
+    " sd AS (SELECT *, mae_site_1 - mae_site_0 AS mae_absolute_degradation, (mae_site_1 - mae_site_0) / mae_site_0 AS mae_relative_degradation,"
+    " nll_site_1 - nll_site_0 AS nll_absolute_degradation, abs(coverage_90_site_0 - 0.9::DOUBLE) AS ce90_site_0,"
+    " abs(coverage_90_site_1 - 0.9::DOUBLE) AS ce90_site_1, abs(coverage_90_site_1 - 0.9::DOUBLE) - abs(coverage_90_site_0 - 0.9::DOUBLE) AS ce90_absolute_degradation,"
+    " mae_site_0 IS NOT NULL AND mae_site_1 IS NOT NULL AS consistent FROM sd0)"
+)
+_SITE_NUM = [
+    *[f"{m}_site_{s}" for m in ("mae", "nll", "coverage_90", "ce90") for s in (0, 1)],
+    "mae_absolute_degradation", "mae_relative_degradation", "nll_absolute_degradation", "ce90_absolute_degradation",
+]
+
+
+def _degradation(spark, sf):
+    return gates.site_degradation(study(spark, sf).where("ablation = 'none'"))
+
+
+@query(
+    "site_degradation",
+    f"WITH {_SITE} SELECT * REPLACE (" + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE {R(c)} END AS {c}" for c in _SITE_NUM) + ") FROM sd",
+)
+def _(spark, sf):
+    return rounded(_degradation(spark, sf), *_SITE_NUM)
+
+
+@query(
+    "site_gate",
+    f"WITH {_SITE}, j AS (SELECT c.world, c.n_train, k.model AS comparator, c.mae_absolute_degradation AS c, k.mae_absolute_degradation AS k"
+    f" FROM sd c JOIN sd k USING (world, {_B}, n_train) WHERE c.model = 'candidate' AND k.model <> 'candidate'),"
+    " g AS (SELECT world, n_train, comparator, count(k - c) AS pairs, avg(c) AS candidate_mean_degradation, avg(k) AS comparator_mean_degradation,"
+    " avg(k - c) AS mean_advantage, count(*) FILTER (WHERE k - c > 0) AS wins, count(*) FILTER (WHERE k - c > 0) / 10.0::DOUBLE AS win_fraction,"
+    " count(k - c) = 10 AND avg(c) < avg(k) AND count(*) FILTER (WHERE k - c > 0) >= 8 AS passed FROM j GROUP BY 1, 2, 3)"
+    f" SELECT * REPLACE ({R('candidate_mean_degradation')} AS candidate_mean_degradation, {R('comparator_mean_degradation')} AS comparator_mean_degradation,"
+    f" {R('mean_advantage')} AS mean_advantage, {R('win_fraction')} AS win_fraction) FROM g",
+)
+def _(spark, sf):
+    out = gates.site_gate(_degradation(spark, sf), "candidate", CONTROLS)
+    return rounded(
+        out, "candidate_mean_degradation", "comparator_mean_degradation", "mean_advantage", "win_fraction"
+    )
+
+
+@query(
+    "misspecification",
+    f"WITH {AREAS}, w AS (SELECT world, {_B}, " + ", ".join(f"any_value(naulc) FILTER (WHERE model = '{m}') AS {m}" for m in MODELS)
+    + f" FROM au GROUP BY world, {_B}) SELECT world, {_B}, " + ", ".join(f"{R(m)} AS {m}" for m in MODELS)
+    + f", CASE WHEN control_a <= control_b THEN 'control_a' ELSE 'control_b' END AS best_control, {R('least(control_a, control_b)')} AS best_naulc,"
+    f" {R('(candidate - least(control_a, control_b)) / least(control_a, control_b)')} AS relative_excess FROM w",
+)
+def _(spark, sf):
+    out = gates.misspecification(areas(spark, sf), "candidate", CONTROLS)
+    return rounded(out, *MODELS, "best_naulc", "relative_excess")
+
+
+@query(
+    "misspecification_summary",
+    f"WITH {AREAS}, w AS (SELECT world, {_B}, any_value(naulc) FILTER (WHERE model = 'candidate') AS c,"
+    f" min(naulc) FILTER (WHERE model <> 'candidate') AS b FROM au GROUP BY world, {_B}), x AS (SELECT world, (c - b) / b AS e FROM w)"
+    f" SELECT world, {R('median(e)')} AS median_relative_excess, {R('avg(e)')} AS mean_relative_excess, count(e) AS pairs,"
+    " count(e) = 10 AND avg(e) <= 0.05 AS passed FROM x GROUP BY 1",
+)
+def _(spark, sf):
+    rows = gates.misspecification(areas(spark, sf), "candidate", CONTROLS)
+    return rounded(
+        gates.misspecification_summary(rows), "median_relative_excess", "mean_relative_excess"
+    )
+
+
+@query(
+    "verify_gate",
+    f"WITH {PAIRS}, g AS (SELECT world, comparator, avg(effect) AS m FROM pr GROUP BY 1, 2)"
+    " SELECT world, comparator, CASE WHEN world = 'R' THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END AS max_abs_gap,"
+    " CASE WHEN world = 'R' THEN 'differs' ELSE 'verified' END AS status FROM g",
+)
+def _(spark, sf):
+    again = gates.development_gate(
+        pairs(spark, sf), ["world", "comparator"], min_relative_effect=0.0, bundles=10, wins_required=8
+    )
+    # the record of one world was changed after the fact
+    changed = F.col("mean_improvement") + F.when(F.col("world") == "R", 0.001).otherwise(0.0)
+    recorded = again.withColumn("mean_improvement", changed)
+    out = gates.verify_gate(
+        recorded, again, ["world", "comparator"], ["mean_improvement", "sd_improvement"], ["passed"]
+    )
+    return rounded(out, "max_abs_gap")
+
+
+def _invocations(spark, sf):
+    failure = F.struct(F.col("o_orderpriority").alias("type"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("message"))
+    failures = F.when(F.col("o_orderstatus") == "F", F.array(failure)).otherwise(F.array().cast("array<struct<type:string,message:string>>"))
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("invocation_number"),
+        F.col("o_orderpriority").alias("stage"),
+        F.col("o_totalprice").alias("wall_time_seconds"),
+        failures.alias("failures"),
+    )
+
+
+@query(
+    "stage_timings",
+    f"SELECT o_orderpriority AS stage, count(*) AS invocation_count, {R('sum(o_totalprice)')} AS wall_time_seconds FROM orders GROUP BY 1",
+)
+def _(spark, sf):
+    return rounded(gates.stage_timings(_invocations(spark, sf)), "wall_time_seconds")
+
+
+@query(
+    "execution_failures",
+    "SELECT o_orderkey AS invocation_number, o_orderpriority AS stage, o_orderpriority AS type, 'order ' || o_orderkey AS message"
+    " FROM orders WHERE o_orderstatus = 'F'",
+)
+def _(spark, sf):
+    return gates.execution_failures(_invocations(spark, sf))
+
+
+@query(
+    "run_completeness",
+    "WITH p AS (SELECT o_orderpriority AS stage, o_custkey AS shard, o_orderkey, o_orderstatus <> 'P' AS done FROM orders),"
+    " s AS (SELECT stage, shard, count(*) AS c, count(*) FILTER (WHERE done) AS d FROM p GROUP BY 1, 2),"
+    " t AS (SELECT s.*, CASE WHEN cu.c_mktsegment = 'AUTOMOBILE' THEN 'failed' WHEN cu.c_mktsegment = 'BUILDING' THEN 'cancelled' END AS state"
+    " FROM s LEFT JOIN customer cu ON cu.c_custkey = s.shard)"
+    " SELECT stage, count(*) AS expected_shards, count(*) FILTER (WHERE c = d) AS completed_shards,"
+    " count(*) FILTER (WHERE c <> d AND state = 'failed') AS failed_shards, count(*) FILTER (WHERE c <> d AND state = 'cancelled') AS cancelled_shards,"
+    " count(*) FILTER (WHERE c <> d AND state IS NULL) AS incomplete_shards, CAST(sum(c) AS BIGINT) AS expected_cells, CAST(sum(d) AS BIGINT) AS completed_cells,"
+    f" {R('100.0::DOUBLE * sum(d) / sum(c)')} AS percent_complete FROM t GROUP BY 1",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    plan = orders.select(
+        F.col("o_orderpriority").alias("stage"), F.col("o_custkey").alias("shard_id"), F.col("o_orderkey").alias("cell_id")
+    )
+    done = orders.where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("cell_id"))
+    state = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "failed").when(
+        F.col("c_mktsegment") == "BUILDING", "cancelled"
+    )
+    status = table(spark, sf, "customer").select(F.col("c_custkey").alias("shard_id"), state.alias("state")).where("state IS NOT NULL")
+    return rounded(gates.run_completeness(plan, done, status, by=("stage",)), "percent_complete")
