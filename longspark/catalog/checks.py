@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from longspark.catalog.fixtures import EV1, R, events, rounded, table
+from longspark.catalog.decisions import _EFF, TRACE
 from longspark.catalog.registry import query
 from longspark.catalog.studies import MAE, STUDY, mae, study
 from longspark.functions.text import normalize_text, parse_flag
@@ -241,6 +242,71 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+def _run_cells(spark, sf):
+    """Run summaries and traces of the crossed design, with a cell id per run."""
+    from longspark.catalog import decisions
+
+    name = F.concat(
+        F.lit("d4b__smooth__cohort"), "context", F.lit("__subset"), "context", F.lit("__model"), "model_seed",
+        F.lit("__n40__"), "variant",
+    ).alias("cell_id")
+    s = decisions.summaries(spark, sf).select(name, "selected_checkpoint_epoch", "stop_epoch", "early_stop_reason")
+    t = decisions.trace(spark, sf).select(name, "epoch", "core_loss", "validation_mae")
+    return s, t
+
+
+_RUN_ID = "'d4b__smooth__cohort' || context || '__subset' || context || '__model' || model_seed || '__n40__' || variant"
+SUMMARY_SCHEMA = "selected_checkpoint_epoch BIGINT, stop_epoch BIGINT, early_stop_reason STRING"
+TRACE_SCHEMA = "epoch BIGINT, core_loss DOUBLE, validation_mae DOUBLE"
+
+
+def _write_runs(spark, sf):
+    """The same as files: one folder of JSON and one of CSV per cell."""
+    root = _folder(spark)
+    s, t = _run_cells(spark, sf)
+    s.write.partitionBy("cell_id").json(f"{root}/summaries")
+    t.repartition("cell_id").write.partitionBy("cell_id").csv(f"{root}/traces", header=True)
+    return root, s.select("cell_id")
+
+
+@query("read_cell_summaries", f"WITH {TRACE} SELECT {_RUN_ID} AS cell_id, selected_checkpoint_epoch, stop_epoch, early_stop_reason FROM sm")
+def _(spark, sf):
+    root, plan = _write_runs(spark, sf)
+    return cells.read_cell_summaries(spark, f"{root}/summaries", plan, SUMMARY_SCHEMA)
+
+
+@query(
+    "read_cell_traces",
+    f"WITH {TRACE} SELECT {_RUN_ID} AS cell_id, 'd4b' AS stage, 'smooth' AS world, context AS cohort_seed, context AS subset_seed, model_seed,"
+    f" CAST(40 AS BIGINT) AS n_train, variant, epoch, {R('core_loss')} AS core_loss, {R('validation_mae')} AS validation_mae FROM tr",
+)
+def _(spark, sf):
+    root, _ = _write_runs(spark, sf)
+    return rounded(cells.read_cell_traces(spark, f"{root}/traces", TRACE_SCHEMA), "core_loss", "validation_mae")
+
+
+@query(
+    "load_archive",
+    f"WITH {_EFF}, e AS (SELECT count(*) AS n FROM ef) SELECT 'effects' AS part, n FROM e UNION ALL SELECT 'summaries', count(*) FROM sm"
+    " UNION ALL SELECT 'traces', count(*) FROM tr",
+)
+def _(spark, sf):
+    from longspark.catalog import decisions
+
+    root, plan = _write_runs(spark, sf)
+    decisions.stability(spark, sf).select("context", "model_seed", "delta_mae").write.csv(f"{root}/effects", header=True)
+    parts = cells.load_archive(
+        spark, f"{root}/effects", f"{root}/summaries", f"{root}/traces", plan=plan,
+        effect_schema="context BIGINT, model_seed BIGINT, delta_mae DOUBLE",
+        summary_schema=SUMMARY_SCHEMA, trace_schema=TRACE_SCHEMA,
+    )
+    out = None
+    for name, df in zip(("effects", "summaries", "traces"), parts):
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- checks ----------------------------------------------------------------
 
 

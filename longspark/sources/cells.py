@@ -63,6 +63,11 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
 
 
+def cell_of_path(path: Column) -> Column:
+    """The cell a file belongs to: its stem, or the ``cell_id=`` folder it lies in."""
+    return F.regexp_extract(path, r"(?:^|/)(?:cell_id=)?([^/=]+?__n\d+__[^/]+?)(?:\.[A-Za-z]+)?(?:/|$)", 1)
+
+
 def parse_cell_name(name: Column) -> dict[str, Column]:
     """Identity columns of ``stage__world__cohortX__subsetY__modelZ__nN__variant``."""
     part = F.split(name, "__")
@@ -101,15 +106,16 @@ def read_cell_summaries(spark: SparkSession, path: str, plan: DataFrame, schema:
     """One JSON object per cell, prefixed with the planned identity of its file's cell."""
     files = read_files(spark, path)
     rows = files.select(
-        file_stem(F.col("path")).alias("cell_id"), F.from_json("content", schema).alias("s")
+        cell_of_path(F.col("path")).alias("cell_id"), F.from_json("content", schema).alias("s")
     )
     return plan.join(rows, "cell_id").select(*plan.columns, "s.*")
 
 
 def read_cell_traces(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The CSV traces of a directory, with the identity columns of each file's name."""
-    rows = spark.read.schema(schema).csv(path, header=True, recursiveFileLookup=True)
-    rows = rows.select("*", file_stem(F.col("_metadata.file_path")).alias("cell_id"))
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    rows = reader.csv(path, header=True)
+    rows = rows.select("*", cell_of_path(F.col("_metadata.file_path")).alias("cell_id"))
     return rows.withColumns(parse_cell_name(F.col("cell_id")))
 
 
