@@ -285,7 +285,7 @@ _SITE = (
         for s in (0, 1)
     )
     + f" FROM study WHERE ablation = 'none' AND site_or_shift <> 'all' GROUP BY world, {_B}, n_train, model),"
-    " sd AS (SELECT *, mae_site_1 - mae_site_0 AS mae_absolute_degradation, (mae_site_1 - mae_site_0) / mae_site_0 AS mae_relative_degradation,"
+    " sd AS (SELECT *, mae_site_1 - mae_site_0 AS mae_absolute_degradation, (mae_site_1 - mae_site_0) / nullif(mae_site_0, 0) AS mae_relative_degradation,"
     " nll_site_1 - nll_site_0 AS nll_absolute_degradation, abs(coverage_90_site_0 - 0.9::DOUBLE) AS ce90_site_0,"
     " abs(coverage_90_site_1 - 0.9::DOUBLE) AS ce90_site_1, abs(coverage_90_site_1 - 0.9::DOUBLE) - abs(coverage_90_site_0 - 0.9::DOUBLE) AS ce90_absolute_degradation,"
     " mae_site_0 IS NOT NULL AND mae_site_1 IS NOT NULL AS consistent FROM sd0)"

@@ -110,8 +110,8 @@ _HIT = (
 def _(spark, sf):
     out, checkpoint = _folders(spark)
     steps = _stream(spark, sf).select("patient_id", "us", "seq")
-    targets = _stream(spark, sf).where("event_type = 'intervention'")
-    joined = streams.horizon(steps, targets, days=TASK.event_horizon_days, delay=DELAY)
+    target = F.col("event_type") == "intervention"
+    joined = streams.horizon(steps, _stream(spark, sf), target, days=TASK.event_horizon_days, delay=DELAY)
     streams.run_to_table(joined, out, checkpoint)
     labels = streams.horizon_labels(spark.read.parquet(out))
     # a hit is known early; labels count once the whole horizon has passed

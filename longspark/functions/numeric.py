@@ -23,6 +23,11 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation aggregate that is null, not an error, when a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspark.functions.numeric import pearson
 from longspark.operators.variance import EPSILON
 
 PROBE_SIZES = (5, 10, 20)
@@ -87,7 +88,7 @@ def array_overlap(left: DataFrame, right: DataFrame, by: list[str], keys: list[s
         F.count(F.lit(1)).alias("overlap_pair_count"),
         F.avg(gap).alias("mean_absolute_difference"),
         F.max(gap).alias("maximum_absolute_difference"),
-        F.when(usable, F.corr("_a", "_b")).alias("pearson_correlation"),
+        F.when(usable, pearson("_a", "_b")).alias("pearson_correlation"),
     )
 
 

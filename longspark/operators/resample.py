@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspark.functions.draws import draw
+from longspark.functions.numeric import pearson
 from longspark.operators.metrics import unpack
 from longspark.operators.quantiles import quantiles
 from longspark.operators.scan import MAX_ROWS, Run, add_chunks, running
@@ -287,7 +288,7 @@ def crossed_permutation(
 def _corr_parts(x: str, y: str) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("_n"),
-        F.corr(x, y).alias("_corr"),
+        pearson(x, y).alias("_corr"),
         (F.max(x) - F.min(x)).alias("_px"),
         (F.max(y) - F.min(y)).alias("_py"),
     ]

@@ -185,5 +185,5 @@ def nearest_match(
         best["id"].alias(candidate_id),
         best["v"].alias("candidate_value"),
         F.abs(best["v"] - F.col("_v")).alias("mismatch"),
-        (F.abs(best["v"] - F.col("_v")) / F.abs(F.col("_v"))).alias("relative_mismatch"),
+        F.try_divide(F.abs(best["v"] - F.col("_v")), F.abs(F.col("_v"))).alias("relative_mismatch"),
     )

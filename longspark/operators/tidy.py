@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.functions.numeric import oriented
+from longspark.functions.numeric import nan_to_null, oriented
 from longspark.operators.quantiles import quantiles
 from longspark.schema import BUNDLE, COVERAGE_TARGET
 
@@ -26,9 +26,12 @@ def optional_filters(df: DataFrame, **wanted: object) -> DataFrame:
 
 
 def summarize(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Mean, median, sd, min, max and count per key; rows with null keys form groups too."""
+    """Mean, median, sd, min, max and count per key; rows with null keys form groups too.
+
+    NaN counts as missing.
+    """
     out = quantiles(
-        df,
+        df.withColumn(value, nan_to_null(F.col(value))),
         keys,
         {"median": (value, 0.5)},
         extra=[
@@ -59,7 +62,7 @@ def paired_effects(wide: DataFrame, candidate: str, comparators: list[str]) -> D
         wins.append(delta > 0)
         wide = (
             wide.withColumn(f"delta_vs_{c}", delta)
-            .withColumn(f"relative_vs_{c}", delta / F.col(c))
+            .withColumn(f"relative_vs_{c}", F.try_divide(delta, F.col(c)))
             .withColumn(f"beats_{c}", delta > 0)
         )
     return wide.withColumn("beats_all", reduce(lambda a, b: a & b, wins))
@@ -83,7 +86,10 @@ def win_matrix(effects: DataFrame, keys: list[str], candidate: str, comparators:
 def gate_summary(df: DataFrame, keys: list[str], candidate: str, comparators: list[str]) -> DataFrame:
     """Mean per model and whether the candidate beats all; null when a comparator is missing."""
     out = df.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in (candidate, *comparators)]
+        *[
+            F.avg(F.when(F.col("model") == m, nan_to_null(F.col("value")))).alias(m)
+            for m in (candidate, *comparators)
+        ]
     )
     missing = reduce(lambda a, b: a | b, [F.col(m).isNull() for m in (candidate, *comparators)])
     beats = reduce(lambda a, b: a & b, [F.col(candidate) < F.col(c) for c in comparators])
@@ -98,8 +104,9 @@ def gate_check(recorded: DataFrame, recomputed: DataFrame, keys: list[str], flag
 
 
 def learning_curve(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    v = nan_to_null(F.col(value))
     return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")
     )
 
 

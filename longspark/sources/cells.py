@@ -48,7 +48,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
 
 
 def parse_cells(files: DataFrame) -> DataFrame:
-    """Files with their parsed JSON in ``doc``; a file that is not valid JSON gives null."""
+    """Files with their parsed JSON in ``doc``; a file that is not valid JSON gives nulls."""
     return files.withColumn("doc", F.from_json("content", CELL_SCHEMA, {"mode": "PERMISSIVE"}))
 
 
@@ -139,9 +139,10 @@ def check_cell_identity(cells: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc.metric_rows"), F.array().cast(CELL_SCHEMA["metric_rows"].dataType)),
         lambda r: (r["n_train"] == inner["n_train"]) & (r["model"] == inner["model"]),
     )
+    readable = inner["cell_id"].isNotNull()
     return cells.select(
         "path",
-        (F.col("doc").isNotNull() & inner["cell_id"].isNotNull()).alias("readable"),
+        readable.alias("readable"),
         F.coalesce(inner["cell_id"] == stem, F.lit(False)).alias("name_matches"),
-        F.coalesce(rows_agree, F.lit(False)).alias("rows_match"),
+        (readable & F.coalesce(rows_agree, F.lit(False))).alias("rows_match"),
     )

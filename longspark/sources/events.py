@@ -10,10 +10,14 @@ from longspark.schema import EVENT_FILE_COLUMNS, EVENT_FILE_SCHEMA, EVENT_TYPES
 # ISO-8601 date and time with an explicit offset
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
+# quotes inside a quoted field are doubled
+_CSV = {"header": "true", "quote": '"', "escape": '"'}
+
 
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     """Event CSV files as text columns; ``seq`` numbers rows in file order."""
-    raw = spark.read.schema(EVENT_FILE_SCHEMA).csv(path, header=True, enforceSchema=False)
+    reader = spark.read.schema(EVENT_FILE_SCHEMA).options(**_CSV)
+    raw = reader.csv(path, enforceSchema=False)
     return raw.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -93,4 +97,4 @@ def event_rows(events: DataFrame) -> DataFrame:
 
 
 def write_event_files(events: DataFrame, path: str) -> None:
-    event_rows(events).write.csv(path, header=True)
+    event_rows(events).write.options(**_CSV).csv(path)

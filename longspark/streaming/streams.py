@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,14 +87,17 @@ def history(stream: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def horizon(steps: DataFrame, targets: DataFrame, *, days: float, delay: str) -> DataFrame:
+def horizon(steps: DataFrame, events_: DataFrame, target: Column, *, days: float, delay: str) -> DataFrame:
     """Steps joined with the target events in (t, t+h]; a step without one comes out with null
     once the watermark has passed its horizon. Collapse with ``horizon_labels``."""
     h = int(days * MICROS_PER_DAY)
     left = with_time(steps, delay=delay)
-    right = with_time(
-        targets.select(F.col("patient_id").alias("_id"), "us"), delay=delay
-    ).select("_id", F.col(TIME).alias("target_time"), F.col("us").alias("target_us"))
+    # rare targets must not hold the watermark back: it advances on all events, and the filter
+    # names the event time so that it is not pushed below the watermark
+    seen = with_time(events_, delay=delay).where(F.when(F.col(TIME).isNotNull(), target))
+    right = seen.select(
+        F.col("patient_id").alias("_id"), F.col(TIME).alias("target_time"), F.col("us").alias("target_us")
+    )
     span = F.expr(f"INTERVAL {h} MICROSECONDS")
     condition = (
         (F.col("patient_id") == F.col("_id"))
