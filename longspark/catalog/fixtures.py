@@ -25,7 +25,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def micros(column: str) -> Column:
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    """Micros of a wall-clock column taken as UTC, whatever the session's zone."""
+    instant = F.col(column).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(instant, F.current_timezone()))
 
 
 def events(spark: SparkSession, sf: str, *, hourly: bool = False) -> DataFrame:

@@ -128,7 +128,7 @@ def cohort_sequences(
 ) -> DataFrame:
     """Every step column of a cohort: one exchange to build steps, one to order them."""
     steps = tl.group_instants(events, task)
-    cut, chunk = tl._chunks(steps, max_rows)
+    cut, chunk = tl._chunks(steps, max_rows, events)
     runs = {
         "_position": Run("count"),
         **tl.origin_runs(),

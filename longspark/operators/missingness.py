@@ -97,29 +97,27 @@ def apply_missingness(
     cut, chunk = add_chunks(drawn, [ID], "us", max_rows=max_rows)
     runs = {"_segment": Run("sum", sure.cast("bigint"))}
     cut = running(cut, [ID], ["us", "seq"], runs, chunk=chunk)
-    row = F.struct(
-        F.col("us"), F.col("seq"), F.col("_u").alias("u"), F.col(state).cast("double").alias("s")
-    )
-    groups = cut.groupBy(ID, "_segment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    others = [c for c in observations.columns if c not in (ID, "us", "seq")]
+    # whole rows travel with their segment, so nothing is joined back
+    row = F.struct("us", "seq", "_u", *others)
+    groups = cut.groupBy(ID, "_segment").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     start = F.struct(
-        F.lit(None).cast("double").alias("previous"),
-        F.array().cast("array<struct<us:bigint,seq:bigint,kept:boolean>>").alias("out"),
+        F.lit(None).cast("double").alias("previous"), F.array().cast("array<boolean>").alias("kept")
     )
 
     def step(acc: Column, r: Column) -> Column:
-        kept = r["u"] < keep_probability("mar", codes, r["s"], acc["previous"])
+        now = r[state].cast("double")
+        kept = r["_u"] < keep_probability("mar", codes, now, acc["previous"])
         return F.struct(
-            F.when(kept, r["s"]).otherwise(acc["previous"]).alias("previous"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(r["us"].alias("us"), r["seq"].alias("seq"), kept.alias("kept"))),
-            ).alias("out"),
+            F.when(kept, now).otherwise(acc["previous"]).alias("previous"),
+            F.concat(acc["kept"], F.array(kept)).alias("kept"),
         )
 
-    flags = groups.select(
-        ID, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("f")
-    ).select(ID, "f.us", "f.seq", "f.kept")
-    return observations.join(flags, [ID, "us", "seq"])
+    flags = F.aggregate("_rows", start, step, lambda acc: acc["kept"])
+    rows = groups.select(ID, F.explode(F.arrays_zip("_rows", flags.alias("kept"))).alias("_z"))
+    names = [c for c in observations.columns if c != ID]
+    out = rows.select(ID, *[F.col(f"_z._rows.{c}").alias(c) for c in names], F.col("_z.kept").alias("kept"))
+    return out.select(*observations.columns, "kept")
 
 
 def add_noise(

@@ -69,6 +69,7 @@ def bootstrap_mean_ci(
         by,
         {"ci_lower": ("mean", 0.025), "ci_upper": ("mean", 0.975)},
         extra=[F.count(F.lit(1)).alias("resamples")],
+        group_bound=resamples,
     )
     observed = df.groupBy(*by).agg(F.avg(value).alias("mean_effect"), F.count(value).alias("units"))
     return beside(observed, ci, by)
@@ -202,6 +203,7 @@ def crossed_bootstrap(
             "ratio_ci_upper": ("_ratio", 0.975),
         },
         extra=[F.count(F.lit(1)).alias("resamples"), F.count("_ratio").alias("valid_replicates")],
+        group_bound=resamples,
     )
     whole = F.col("valid_replicates") == F.col("resamples")
     return out.withColumns({c: F.when(whole, F.col(c)) for c in ("ratio_ci_lower", "ratio_ci_upper")})

@@ -126,15 +126,22 @@ def _chunk_total(run: Run, order: list[str]) -> Column:
 
 
 def add_chunks(
-    df: DataFrame, keys: list[str], order: str, *, max_rows: int = MAX_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    *,
+    max_rows: int = MAX_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> tuple[DataFrame, str | None]:
     """Cut keys with more than ``max_rows`` rows at approximate quantiles of ``order``.
 
-    One aggregation over the key columns sizes the keys. Where no key is heavy the frame comes
-    back unchanged with no chunk column, and a plain window is the right plan. Rows with equal
+    One aggregation over the key columns sizes the keys, on ``sized_by`` where a frame with at
+    least as many rows per key is cheaper to count. Where no key is heavy the frame comes back
+    unchanged with no chunk column, and a plain window is the right plan. Rows with equal
     ``order`` stay together.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    counted = df if sized_by is None else sized_by
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     heavy, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not heavy:
         return df, None

@@ -69,8 +69,11 @@ def group_instants(events: DataFrame, task: Task) -> DataFrame:
     return events.groupBy(ID, "us").agg(*step_columns(task))
 
 
-def _chunks(steps: DataFrame, max_rows: int) -> tuple[DataFrame, str | None]:
-    return add_chunks(steps, [ID], "us", max_rows=max_rows)
+def _chunks(
+    steps: DataFrame, max_rows: int, events: DataFrame | None = None
+) -> tuple[DataFrame, str | None]:
+    # events per entity bound its steps and are counted without building the steps
+    return add_chunks(steps, [ID], "us", max_rows=max_rows, sized_by=events)
 
 
 def _plain(df: DataFrame, chunk: str | None) -> DataFrame:

@@ -13,10 +13,6 @@ ID = "patient_id"
 MAX_BROADCAST_CELLS = 50_000
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_CELLS else df
-
-
 def benchmark_cells(
     examples: DataFrame,
     entities: DataFrame,
@@ -43,11 +39,13 @@ def benchmark_cells(
         ID, "subset_seed", "n_train"
     )
     cell = (cohort, "subset_seed", "n_train")
-    rows = examples.join(_small(fit_members, sum(sizes) * len(seeds)), ID)
+    cohorts = entities.select(cohort).distinct().count()
+    cells = cohorts * len(seeds) * len(sizes)
+    rows = examples.join(fit_members, ID)
     fits = fit_ridge(rows, features, "target", by=cell, alpha=alpha)
 
     test = examples.join(split.where(F.col("split") == "test").select(ID), ID)
-    scored = test.join(_small(fits, len(sizes) * len(seeds)), cohort)
+    scored = test.join(F.broadcast(fits) if cells <= MAX_BROADCAST_CELLS else fits, cohort)
     x = F.array(*[F.col(f).cast("double") for f in features])
     terms = F.zip_with(x, F.col("coefficients"), lambda a, b: a * b)
     ridge = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) + F.col("intercept")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "longspark", cores: str = "*", **conf: str) -> SparkSession:
@@ -35,12 +34,3 @@ def work_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="longspark-")
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable checkpoint storage so that later jobs do not recompute it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(work_folder(spark), "checkpoints"))
-    return df.checkpoint(eager=True)

@@ -77,7 +77,7 @@ def canonical_json(metadata: Column) -> Column:
 
 def event_rows(events: DataFrame) -> DataFrame:
     """Typed events as the eight text columns of an event file."""
-    wall = F.expr("timestampadd(MICROSECOND, us, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    wall = F.to_utc_timestamp(F.timestamp_micros("us"), F.current_timezone())
     iso = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
 
     def column(name: str) -> Column:
