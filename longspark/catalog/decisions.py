@@ -14,6 +14,7 @@ from longspark.catalog.statistics import (
 from longspark.catalog.studies import FULL, full
 from longspark.operators import decisions, resample, traces, variance
 from longspark.plans import reports
+from longspark.session import materialize
 
 PATIENCE = 3
 RUN = ["context", "model_seed", "variant"]
@@ -72,6 +73,10 @@ def _aggregated_trace(spark, sf, keys: dict):
 
 
 def trace(spark, sf):
+    return materialize(_trace(spark, sf))
+
+
+def _trace(spark, sf):
     return _aggregated_trace(
         spark,
         sf,

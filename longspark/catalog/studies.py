@@ -324,16 +324,7 @@ def _(spark, sf):
     f" metric, count(*) AS n, {R('avg(value)')} AS mean FROM study GROUP BY 1, 2",
 )
 def _(spark, sf):
-    subset = (
-        F.when(F.col("metric") == "latent_aligned_r2", "latent")
-        .when(F.col("metric").startswith("event_"), "event")
-        .when(F.col("site_or_shift") != "all", "site_shift")
-        .when(F.col("n_train") < 40, "low_n")
-        .otherwise("rest")
-    )
-    out = study(spark, sf).groupBy(subset.alias("subset"), "metric").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")
-    )
+    out = tidy.metric_subsets(study(spark, sf))
     return rounded(out, "mean")
 
 

@@ -26,7 +26,8 @@ def _stream(steps: DataFrame, truth: DataFrame, task, max_rows: int):
     both = steps.select(ID, "us", F.lit(_STEP).alias("_kind")).unionByName(
         wide.withColumn("_kind", F.lit(_TRUTH)), allowMissingColumns=True
     )
-    return add_chunks(both, [ID], "us", max_rows=max_rows)
+    rows = steps.select(ID).unionByName(truth.select(ID))
+    return add_chunks(both, [ID], "us", max_rows=max_rows, sized_by=rows)
 
 
 def _seen(code: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longspark.functions.numeric import pearson
 from longspark.operators.variance import EPSILON
+from longspark.session import materialize
 
 PROBE_SIZES = (5, 10, 20)
 FINAL_SIZE = 40
@@ -300,6 +301,7 @@ def interaction_stats(
     """Mean interaction, sd ratio, positive counts, and the crossed bootstrap's intervals."""
     from longspark.operators.resample import beside, crossed_bootstrap, residual_sd_ratio
 
+    pairs = materialize(pairs.select(*by, row, col, "delta_standard", "delta_forced", "g"))
     out = pairs.groupBy(*by).agg(F.avg("g").alias("mean_g"), F.count_if(F.col("g") > 0).alias("positive_pairs"))
     for label, name in ((row, "positive_contexts"), (col, "positive_models")):
         means = pairs.groupBy(*by, label).agg(F.avg("g").alias("_m"))

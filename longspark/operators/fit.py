@@ -75,7 +75,10 @@ def fit_logistic_balanced(df: DataFrame, features: list[str], label: str, *, str
     """
     from pyspark.ml.classification import LogisticRegression
 
-    counts = {int(r[0]): r[1] for r in df.groupBy(label).count().collect()}
+    found = df.groupBy(label).count().limit(3).collect()
+    if len(found) != 2 or {r[0] for r in found} != {0, 1}:
+        raise ValueError(f"{label} must hold both 0 and 1 and nothing else")
+    counts = {int(r[0]): r[1] for r in found}
     n = sum(counts.values())
     weight = F.lit(None).cast("double")
     for value, count in counts.items():

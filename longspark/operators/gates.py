@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from longspark.functions.numeric import all_of, finite
 from longspark.operators.quantiles import quantiles
 from longspark.schema import BUNDLE, COVERAGE_TARGET, TRAIN_SIZES
+from longspark.session import materialize
 
 # Scale of the median absolute deviation, smallest usable median.
 MAD_SCALE = 1.4826
@@ -122,6 +123,7 @@ def noise_floor(
     median near zero or a wrong number of rows makes the floor of its study null.
     """
     keys = list(dict.fromkeys([*by, *groups]))
+    df = materialize(df.select(*keys, value))
     medians = quantiles(
         df, keys, {"median": (value, 0.5)}, extra=[F.count(value).alias("_rows")]
     )
@@ -273,6 +275,7 @@ def select_uncertainty(
     One row per study and candidate, with ``selected``; no selected row means the baseline.
     """
     study = list(by)
+    df = materialize(df.where(F.col("metric").isin("mae", "nll", "coverage_90")))
     areas = naulc(df.where(F.col("metric") == "mae"), [*study, "world", column, *BUNDLE])
     mean = areas.groupBy(*study, "world", column).agg(F.avg("naulc").alias("_area"))
     base = mean.where(F.col(column) == baseline).select(*study, "world", F.col("_area").alias("_base"))
@@ -391,7 +394,7 @@ def primary_gate(
 ) -> DataFrame:
     """World summaries per comparator, with the headline decision of the study on each row."""
     study = list(by)
-    mae = df.where(F.col("metric") == "mae")
+    mae = materialize(df.where(F.col("metric") == "mae"))
     areas = naulc(mae, [*study, "world", "model", *BUNDLE])
     pairs = paired_naulc(areas, candidate, comparators, by=(*by, "world"))
     keys = [*study, "world", "comparator"]
@@ -417,7 +420,7 @@ def primary_gate(
         (F.bool_and("passed") & (F.count(F.lit(1)) == len(comparators))).alias("_shared")
     )
     early = early_n_gate(
-        df, candidate, comparators, by=(*by, "world"), bundles=bundles, wins_required=wins_required
+        mae, candidate, comparators, by=(*by, "world"), bundles=bundles, wins_required=wins_required
     )
     early = early.groupBy(*study, "world").agg(F.bool_or("passed").alias("_early"))
     worlds = shared.join(early, [*study, "world"], "left")

@@ -87,48 +87,68 @@ def total_loss(
     return out if observation is None else out + F.lit(lambda_obs) * observation
 
 
-def roc_auc(
-    df: DataFrame, by: list[str], label: str, score: Column, *, max_rows: int = MAX_ROWS
+def _score_counts(
+    df: DataFrame, keys: list[str], label: str, score: Column, max_rows: int
 ) -> DataFrame:
-    """Area under the ROC curve per group, ties counted half, null for a single class.
+    """Positives and negatives per (group, score), with the negatives of all lower scores.
 
-    Rows collapse to one per (group, score) first; the running count of negatives then walks
-    distinct scores, in chunks where a group has many.
+    Rows collapse to one per distinct score first; the running count then walks those, in
+    chunks where a group has many.
     """
-    keys = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    counts = base.groupBy(*keys, score.alias("_score")).agg(
+    counts = df.groupBy(*keys, score.alias("_score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"),
     )
-    cut, chunk = add_chunks(counts, keys, "_score", max_rows=max_rows)
+    # rows per group bound its distinct scores and are cheaper to count
+    cut, chunk = add_chunks(counts, keys, "_score", max_rows=max_rows, sized_by=df)
     runs = {"_below": Run("sum", F.col("_neg"), inclusive=False)}
-    cut = running(cut, keys, ["_score"], runs, chunk=chunk)
+    return running(cut, keys, ["_score"], runs, chunk=chunk)
+
+
+def _auc() -> Column:
     below = F.coalesce(F.col("_below"), F.lit(0)).cast("double")
     wins = F.sum(F.col("_pos") * (below + F.col("_neg") / F.lit(2.0)))
-    out = cut.groupBy(*keys).agg(
-        wins.alias("_wins"),
-        F.sum("_pos").cast("double").alias("_p"),
-        F.sum("_neg").cast("double").alias("_n"),
-    )
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
-    out = out.select(*keys, F.when(both, F.col("_wins") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
+    # null, not an error, when a class is absent
+    return F.try_divide(wins, F.sum("_pos").cast("double") * F.sum("_neg").cast("double"))
+
+
+def roc_auc(
+    df: DataFrame, by: list[str], label: str, score: Column, *, max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Area under the ROC curve per group, ties counted half, null for a single class."""
+    keys = by or ["_all"]
+    base = df if by else df.withColumn("_all", F.lit(0))
+    out = _score_counts(base, keys, label, score, max_rows).groupBy(*keys).agg(_auc().alias("roc_auc"))
     return out if by else out.drop("_all")
 
 
 def event_metrics(
-    df: DataFrame, by: list[str], *, label: str = "label", probability: str = "probability", valid: str = "valid"
+    df: DataFrame,
+    by: list[str],
+    *,
+    label: str = "label",
+    probability: str = "probability",
+    valid: str = "valid",
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Brier score, log loss and AUC on the rows whose label is usable."""
+    """Brier score, log loss and AUC on the rows whose label is usable.
+
+    All three come from the same counts per distinct probability.
+    """
+    keys = by or ["_all"]
     rows = df.where(F.col(valid) == 1)
-    y, p = F.col(label).cast("double"), F.col(probability)
-    base = rows.groupBy(*by).agg(
-        brier(y, p).alias("event_brier"), log_loss(y, p).alias("event_log_loss")
+    base = rows if by else rows.withColumn("_all", F.lit(0))
+    counts = _score_counts(base, keys, label, safe_probability(F.col(probability)), max_rows)
+    p, pos, neg = F.col("_score"), F.col("_pos"), F.col("_neg")
+    n = F.sum(pos + neg)
+    square = pos * (F.lit(1.0) - p) * (F.lit(1.0) - p) + neg * p * p
+    log = pos * F.log(p) + neg * F.log(F.lit(1.0) - p)
+    out = counts.groupBy(*keys).agg(
+        (F.sum(square) / n).alias("event_brier"),
+        (-F.sum(log) / n).alias("event_log_loss"),
+        _auc().alias("event_roc_auc"),
     )
-    auc = roc_auc(rows, by, label, safe_probability(p)).withColumnRenamed("roc_auc", "event_roc_auc")
-    return base.join(auc, by) if by else base.withColumn("_one", F.lit(1)).join(
-        auc.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    return out if by else out.drop("_all")
 
 
 def point_aggregates(y: Column, mean: Column, log_scale: Column) -> list[Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.operators.scan import MAX_ROWS, Run, add_chunks, running
+from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
 
 
 def quantiles(
@@ -32,8 +32,7 @@ def quantiles(
     base = df if by else df.withColumn("_all", F.lit(0))
     largest = group_bound
     if largest is None:
-        sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        largest = largest_group(base, keys)
     if largest <= max_rows:
         exact = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         out = base.groupBy(*keys).agg(*exact, *extra)

@@ -18,19 +18,25 @@ from longspark.functions.draws import draw
 from longspark.functions.numeric import pearson
 from longspark.operators.metrics import unpack
 from longspark.operators.quantiles import quantiles
-from longspark.operators.scan import MAX_ROWS, Run, add_chunks, running
+from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
 
 # Fixed value: residual variation below this share of the total counts as none.
 ZERO_SHARE = 1e-12
 
 
 def number_units(
-    df: DataFrame, by: list[str], unit: str, *, name: str = "k", max_rows: int = MAX_ROWS
+    df: DataFrame,
+    by: list[str],
+    unit: str,
+    *,
+    name: str = "k",
+    max_rows: int = MAX_ROWS,
+    group_bound: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1..n by a unique numeric ``unit``; add ``n``."""
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    cut, chunk = add_chunks(base, keys, unit, max_rows=max_rows)
+    cut, chunk = add_chunks(base, keys, unit, max_rows=max_rows, group_bound=group_bound)
     runs = {name: Run("count"), "_after": Run("count", inclusive=False, reverse=True)}
     out = running(cut, keys, [unit], runs, chunk=chunk).withColumn("n", F.col(name) + F.col("_after"))
     extra = ["_after", *([chunk] if chunk else []), *([] if by else ["_all"])]
@@ -91,13 +97,18 @@ def cluster_bootstrap(
     return bootstrap_mean_ci(means, by, cluster, value, resamples=resamples, seed=seed)
 
 
-def _label_numbers(cells: DataFrame, by: list[str], label: str, name: str) -> DataFrame:
-    labels = number_units(cells.select(*by, label).distinct(), by, label, name=name)
+def _label_numbers(cells: DataFrame, by: list[str], label: str, name: str, bound: int) -> DataFrame:
+    labels = number_units(cells.select(*by, label).distinct(), by, label, name=name, group_bound=bound)
     return labels.withColumnRenamed("n", f"n_{name}")
 
 
-def _matrix(cells: DataFrame, by: list[str], row: str, col: str, values: list[str]) -> DataFrame:
-    rows, cols = _label_numbers(cells, by, row, "i"), _label_numbers(cells, by, col, "j")
+def _matrix(
+    cells: DataFrame, by: list[str], row: str, col: str, values: list[str], bound: int | None = None
+) -> DataFrame:
+    # a group has at most as many labels as cells
+    bound = largest_group(cells, by) if bound is None else bound
+    rows = _label_numbers(cells, by, row, "i", bound)
+    cols = _label_numbers(cells, by, col, "j", bound)
     return (
         cells.select(*by, row, col, *values)
         .join(rows, [*by, row])
@@ -264,13 +275,14 @@ def crossed_permutation(
     *,
     resamples: int = 10_000,
     seed: int = 20260827,
+    group_bound: int | None = None,
 ) -> DataFrame:
     """Permutation p-value of the correlation of two residual matrices.
 
     Row and column labels of ``x`` are permuted independently. The p-value is
     ``(exceedances + 1) / (resamples + 1)``, and 1 where the correlation is undefined.
     """
-    matrix = _matrix(cells, by, row, col, [x, y])
+    matrix = _matrix(cells, by, row, col, [x, y], group_bound)
     observed = matrix.groupBy(*by).agg(*_corr_parts(x, y))
     observed = observed.select(*by, safe_pearson().alias("observed"))
     slots = replicates(matrix.select(*by, "i", "j", y), resamples)

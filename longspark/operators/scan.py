@@ -125,6 +125,12 @@ def _chunk_total(run: Run, order: list[str]) -> Column:
     return F.min_by(value, at) if run.reverse else F.max_by(value, at)
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: one map-side combined count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def add_chunks(
     df: DataFrame,
     keys: list[str],
@@ -132,14 +138,18 @@ def add_chunks(
     *,
     max_rows: int = MAX_ROWS,
     sized_by: DataFrame | None = None,
+    group_bound: int | None = None,
 ) -> tuple[DataFrame, str | None]:
     """Cut keys with more than ``max_rows`` rows at approximate quantiles of ``order``.
 
     One aggregation over the key columns sizes the keys, on ``sized_by`` where a frame with at
     least as many rows per key is cheaper to count. Where no key is heavy the frame comes back
-    unchanged with no chunk column, and a plain window is the right plan. Rows with equal
+    unchanged with no chunk column, and a plain window is the right plan. A ``group_bound``
+    proven before (``largest_group``) within ``max_rows`` spares the sizing. Rows with equal
     ``order`` stay together.
     """
+    if group_bound is not None and group_bound <= max_rows:
+        return df, None
     counted = df if sized_by is None else sized_by
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     heavy, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()

@@ -233,6 +233,24 @@ def effect_summary(effects: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("win_fraction", F.col("wins") / F.col("n"))
 
 
+def metric_subset() -> Column:
+    """Which extract of the results a row belongs to."""
+    return (
+        F.when(F.col("metric") == "latent_aligned_r2", "latent")
+        .when(F.col("metric").startswith("event_"), "event")
+        .when(F.col("site_or_shift") != "all", "site_shift")
+        .when(F.col("n_train") < 40, "low_n")
+        .otherwise("rest")
+    )
+
+
+def metric_subsets(df: DataFrame, value: str = "value") -> DataFrame:
+    """Rows and mean of every extract and metric."""
+    return df.groupBy(metric_subset().alias("subset"), "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")
+    )
+
+
 def locked_order(df: DataFrame, column: str, ranks: list[str], *then: str) -> DataFrame:
     """Sort by the declared order of a category; an undeclared category is an error."""
     rank = F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col(column))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspark.operators import resample
-from longspark.operators.scan import MAX_ROWS, Run, add_chunks, running
+from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
+from longspark.session import materialize
 
 EPSILON = float(np.finfo(float).eps)
 # Thresholds of the factor classes.
@@ -152,34 +153,59 @@ def context_demean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return with_mean(df, keys, value, "_mean").withColumn(f"{value}_demeaned", F.col(value) - F.col("_mean")).drop("_mean")
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str, *, max_rows: int = MAX_ROWS) -> DataFrame:
+def average_ranks(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    name: str,
+    *,
+    max_rows: int = MAX_ROWS,
+    group_bound: int | None = None,
+) -> DataFrame:
     """Rank of each value in its group; equal values share their average rank."""
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cut, chunk = add_chunks(counts, keys, value, max_rows=max_rows)
+    cut, chunk = add_chunks(
+        counts, keys, value, max_rows=max_rows, sized_by=base, group_bound=group_bound
+    )
     cut = running(cut, keys, [value], {"_below": Run("sum", F.col("_c"), inclusive=False)}, chunk=chunk)
     rank = F.coalesce(F.col("_below"), F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)
     out = base.join(cut.select(*keys, value, rank.alias(name)), [*keys, value])
     return out if by else out.drop("_all")
 
 
-def safe_corr(df: DataFrame, by: list[str], x: str, y: str, *, least: int = 3, eps: float = 0.0) -> DataFrame:
+def safe_corr(
+    df: DataFrame,
+    by: list[str],
+    x: str,
+    y: str,
+    *,
+    least: int = 3,
+    eps: float = 0.0,
+    group_bound: int | None = None,
+) -> DataFrame:
     """Pearson and Spearman correlation; null for few rows or a constant side."""
+    bound = largest_group(df, by) if group_bound is None else group_bound
     pearson = df.groupBy(*by).agg(*resample._corr_parts(x, y))
     pearson = pearson.select(*by, F.col("_n").alias("n"), resample.safe_pearson(least, eps).alias("pearson"))
-    ranked = average_ranks(average_ranks(df.select(*by, x, y), by, x, "_rx"), by, y, "_ry")
+    ranked = average_ranks(df.select(*by, x, y), by, x, "_rx", group_bound=bound)
+    ranked = average_ranks(ranked, by, y, "_ry", group_bound=bound)
     spearman = ranked.groupBy(*by).agg(*resample._corr_parts("_rx", "_ry"))
     spearman = spearman.select(*by, resample.safe_pearson(least).alias("spearman"))
     return pearson.join(spearman, by)
 
 
-def leave_one_out(df: DataFrame, by: list[str], row: str, col: str, x: str, y: str) -> DataFrame:
+def leave_one_out(
+    df: DataFrame, by: list[str], row: str, col: str, x: str, y: str, *, group_bound: int | None = None
+) -> DataFrame:
     """Residual correlation without each row label and without each column label."""
+    bound = largest_group(df, by) if group_bound is None else group_bound
     parts = []
     for axis, label in (("context", row), ("model", col)):
         omitted = df.select(*by, F.col(label).alias("_omit")).distinct()
-        # every cell is repeated once per label of one axis of the design
+        # a matrix has few labels per axis; ranks without one label must be taken anew, so each
+        # cell is repeated once per label it stays in for
         rows = df.join(omitted, by).where(F.col(label) != F.col("_omit"))
         tagged = rows.withColumn("omitted_axis", F.lit(axis)).withColumn(
             "omitted_level", F.col("_omit").cast("string")
@@ -188,13 +214,13 @@ def leave_one_out(df: DataFrame, by: list[str], row: str, col: str, x: str, y: s
     keys = [*by, "omitted_axis", "omitted_level"]
     both = parts[0].unionByName(parts[1])
     rest = two_way_residuals(both, keys, row, col, [x, y])
-    return rounded_corr(rest, keys, f"{x}_residual", f"{y}_residual")
+    return rounded_corr(rest, keys, f"{x}_residual", f"{y}_residual", group_bound=bound)
 
 
-def rounded_corr(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+def rounded_corr(df: DataFrame, by: list[str], x: str, y: str, *, group_bound: int | None = None) -> DataFrame:
     """Correlations of residuals, whose last bits are noise: ties are taken at 12 decimals."""
     snapped = df.withColumns({c: F.round(F.col(c), 12) for c in (x, y)})
-    return safe_corr(snapped, by, x, y)
+    return safe_corr(snapped, by, x, y, group_bound=group_bound)
 
 
 def same_sign_fraction(loo: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
@@ -224,20 +250,36 @@ def association_screen(
     """
     names = [*primary, *secondary]
     wide = pairs.select(*by, row, col, outcome, *[F.col(m).cast("double").alias(m) for m in names])
-    long = wide.unpivot([*by, row, col, outcome], names, "mechanism", "x")
+    long = materialize(wide.unpivot([*by, row, col, outcome], names, "mechanism", "x"))
     keys = [*by, "mechanism"]
-    raw = safe_corr(long, keys, "x", outcome).select(
+    # every step works on groups of this size: they are sized once
+    bound = largest_group(long, keys)
+    raw = safe_corr(long, keys, "x", outcome, group_bound=bound).select(
         *keys, F.col("pearson").alias("raw_pearson"), F.col("spearman").alias("raw_spearman")
     )
     demeaned = context_demean(context_demean(long, [*keys, row], "x"), [*keys, row], outcome)
-    context = rounded_corr(demeaned, keys, "x_demeaned", f"{outcome}_demeaned").select(
+    context = rounded_corr(
+        demeaned, keys, "x_demeaned", f"{outcome}_demeaned", group_bound=bound
+    ).select(
         *keys, F.col("pearson").alias("context_pearson"), F.col("spearman").alias("context_spearman")
     )
     rest = two_way_residuals(long, keys, row, col, ["x", outcome])
-    rest = rest.withColumns({c: F.round(F.col(c), 12) for c in ("x_residual", f"{outcome}_residual")})
-    two_way = safe_corr(rest, keys, "x_residual", f"{outcome}_residual").select(*keys, "pearson", "spearman")
+    rest = materialize(
+        rest.withColumns({c: F.round(F.col(c), 12) for c in ("x_residual", f"{outcome}_residual")})
+    )
+    two_way = safe_corr(
+        rest, keys, "x_residual", f"{outcome}_residual", group_bound=bound
+    ).select(*keys, "pearson", "spearman")
     permuted = resample.crossed_permutation(
-        rest, keys, row, col, "x_residual", f"{outcome}_residual", resamples=resamples, seed=seed
+        rest,
+        keys,
+        row,
+        col,
+        "x_residual",
+        f"{outcome}_residual",
+        resamples=resamples,
+        seed=seed,
+        group_bound=bound,
     ).select(*keys, F.col("p_value").alias("permutation_p"))
     family = F.when(F.col("mechanism").isin(*primary), "primary").otherwise("secondary")
     table = raw.join(context, keys).join(two_way, keys).join(permuted, keys).withColumn("family", family)
@@ -246,7 +288,8 @@ def association_screen(
         name="permutation_p_holm",
     ).select(*keys, "permutation_p_holm")
     table = table.join(first, keys, "left")
-    same = same_sign_fraction(leave_one_out(long, keys, row, col, "x", outcome), two_way, keys)
+    omitted = leave_one_out(long, keys, row, col, "x", outcome, group_bound=bound)
+    same = same_sign_fraction(omitted, two_way, keys)
     same = same.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("omitted_axis") == a, F.col("same_sign_fraction"))).alias(f"same_sign_{a}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longspark.operators import metrics, sampling
 from longspark.operators.fit import fit_ridge
+from longspark.session import materialize
 
 ID = "patient_id"
 # Cells of one plan that may be broadcast to the test examples (a few hundred bytes each).
@@ -30,6 +31,9 @@ def benchmark_cells(
     forecasts, on all test entities of the cohort. ``test_by`` adds columns that split the test
     rows, such as a site.
     """
+    # fitted on, and scored on
+    needed = dict.fromkeys([ID, cohort, *test_by, *features, "last_value", "running_mean", "target"])
+    examples = materialize(examples.select(*needed))
     split = sampling.split_entities(
         entities, by=(cohort,), seed=0, train_fraction=0.8, val_fraction=0.0
     )

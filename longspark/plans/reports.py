@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longspark.operators import gates, resample, variance
 from longspark.schema import BUNDLE
+from longspark.session import materialize
 
 
 def confirm_report(
@@ -23,7 +24,7 @@ def confirm_report(
     study = list(by)
     mae = df.where(F.col("metric") == "mae")
     areas = gates.naulc(mae, [*study, "world", "model", *BUNDLE])
-    pairs = gates.paired_naulc(areas, candidate, comparators, by=(*by, "world"))
+    pairs = materialize(gates.paired_naulc(areas, candidate, comparators, by=(*by, "world")))
     keys = [*study, "world", "comparator"]
     interval = resample.bootstrap_mean_ci(pairs, keys, unit, "effect", resamples=resamples, seed=seed)
     signs = resample.sign_test(pairs, keys, "effect").withColumn(
@@ -47,10 +48,14 @@ def array_analysis(
 ) -> DataFrame:
     """Variance components of every array and size, with bootstrap frequencies and classes."""
     keys = [*by, "n_train"]
+    effects = materialize(effects.select(*keys, unit, *factors, value))
     components = variance.factor_ss_general(effects, keys, factors, value)
     frequencies = resample.bootstrap_dominance(
         effects, keys, unit, factors, value, resamples=resamples, seed=seed
     )
     classes = variance.factor_class(components, frequencies, keys)
     named = classes.select(*keys, "component", "largest_frequency", "factor_classification")
-    return components.join(named, [*keys, "component"], "left")
+    out = components.join(named, [*keys, "component"], "left")
+    return out.withColumn(
+        "factor_classification", F.coalesce("factor_classification", F.lit("not_applicable"))
+    )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "longspark", cores: str = "*", **conf: str) -> SparkSession:
@@ -32,5 +34,22 @@ def work_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="longspark-")
+        return _local_folder()
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="longspark-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches use to the shared folder, and read it back.
+
+    The branches then start from the written rows: nothing upstream runs twice, lineage is cut,
+    and a lost executor costs no more than a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
