@@ -20,6 +20,7 @@ from longspark.catalog.sampling import ENT, _entities, _rank
 from longspark.catalog.timelines import _HORIZON, EXAMPLES, examples
 from longspark.operators import fit, history, metrics, timeline
 from longspark.plans import benchmark
+from longspark.session import materialize
 
 # point forecasts: last value, with the code's overall scale
 PTS = (
@@ -29,7 +30,10 @@ PTS = (
 
 
 def points(spark, sf):
-    ex = examples(spark, sf)
+    return _points(materialize(examples(spark, sf)))
+
+
+def _points(ex):
     scale = ex.groupBy("code").agg(F.log(F.stddev_samp("target")).alias("log_scale"))
     # one row per value code of the task
     return ex.join(F.broadcast(scale), "code").select(
@@ -55,7 +59,10 @@ RISK = (
 
 
 def risks(spark, sf):
-    seq = history.cohort_sequences(events(spark, sf, hourly=True), TASK, strict=True)
+    return _risks(history.cohort_sequences(events(spark, sf, hourly=True), TASK, strict=True))
+
+
+def _risks(seq):
     rate = F.col("count_intervention") / (F.col("step") + 1).cast("double")
     return seq.select(
         "patient_id",
@@ -166,8 +173,10 @@ def _(spark, sf):
     " FROM pm JOIN evm USING (cohort) JOIN auc USING (cohort)",
 )
 def evaluate_query(spark, sf):
-    pts = points(spark, sf).withColumn("cohort", F.col("patient_id").cast("bigint") % 10)
-    out = metrics.evaluate(pts, risks(spark, sf), ["cohort"])
+    seq = materialize(history.cohort_sequences(events(spark, sf, hourly=True), TASK))
+    pts = _points(history.forecast_examples(seq, TASK, []))
+    pts = pts.withColumn("cohort", F.col("patient_id").cast("bigint") % 10)
+    out = metrics.evaluate(pts, _risks(seq), ["cohort"])
     return rounded(out, *[c for c in out.columns if c != "cohort"])
 
 

@@ -13,6 +13,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longspark.session import materialize
+
 # Rows of one key that one task may order; larger keys are cut.
 MAX_ROWS = 2_000_000
 # Upper bound of boundary values held in a broadcast (8 bytes each).
@@ -155,6 +157,8 @@ def add_chunks(
     heavy, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not heavy:
         return df, None
+    # the boundaries, the windows and the chunk totals all read the rows: write them once
+    df = materialize(df)
     cuts = min(ceil(largest / max_rows) * 2, _MAX_CHUNKS)
     small = heavy * cuts <= MAX_BROADCAST_BOUNDS
     names = sizes.select(*keys)
