@@ -34,8 +34,10 @@ def benchmark_cells(
     # fitted on, and scored on
     needed = dict.fromkeys([ID, cohort, *test_by, *features, "last_value", "running_mean", "target"])
     examples = materialize(examples.select(*needed))
-    split = sampling.split_entities(
-        entities, by=(cohort,), seed=0, train_fraction=0.8, val_fraction=0.0
+    split = materialize(
+        sampling.split_entities(
+            entities, by=(cohort,), seed=0, train_fraction=0.8, val_fraction=0.0
+        ).select(ID, cohort, "split")
     )
     pool = split.where(F.col("split") == "train").select(ID, cohort)
     members = sampling.budgets(pool, sizes, seeds, by=(cohort,))
