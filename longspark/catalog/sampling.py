@@ -121,7 +121,7 @@ def _(spark, sf):
     return _bundles(spark, sf)
 
 
-_MODELS = ["flow_jump", "flow_jump_observation", "representation_linear"]
+_MODELS = ["adapter", "adapter_observing", "linear"]
 _ABLATIONS = ["none", "no_flow", "no_observation_head"]
 
 
@@ -134,14 +134,14 @@ def _lit(values) -> str:
     f"WITH {_BUNDLES} SELECT b.world, b.cohort_seed, b.subset_seed, b.model_seed, n_train, model, ablation"
     f" FROM bundles b, (SELECT unnest([5, 10, 20, 40]) AS n_train), (SELECT unnest({_lit(_MODELS)}) AS model),"
     f" (SELECT unnest({_lit(_ABLATIONS)}) AS ablation)"
-    " WHERE (model LIKE 'flow_jump%' OR ablation = 'none')"
-    " AND (ablation <> 'no_observation_head' OR model = 'flow_jump_observation')",
+    " WHERE (model LIKE 'adapter%' OR ablation = 'none')"
+    " AND (ablation <> 'no_observation_head' OR model = 'adapter_observing')",
 )
 def _(spark, sf):
     return grids.plan_grid(
         _bundles(spark, sf).drop("bundle"),
         {"n_train": [5, 10, 20, 40], "model": _MODELS, "ablation": _ABLATIONS},
-        allowed=grids.benchmark_rules("flow_jump", "flow_jump_observation"),
+        allowed=grids.benchmark_rules("adapter", "adapter_observing"),
     )
 
 

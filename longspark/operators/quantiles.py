@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
+from longspark.operators.scan import Run, add_chunks, largest_group, running
+
+# Values of one group that an aggregation buffer may hold; a task holds many groups at once.
+MAX_BUFFERED = 100_000
 
 
 def quantiles(
@@ -19,7 +22,7 @@ def quantiles(
     wanted: dict[str, tuple[str, float]],
     *,
     extra: list[Column] | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int = MAX_BUFFERED,
     group_bound: int | None = None,
 ) -> DataFrame:
     """One row per group: ``wanted`` maps a name to (column, probability); ``extra`` aggregates ride along.

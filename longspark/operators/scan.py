@@ -162,7 +162,7 @@ def add_chunks(
     cuts = min(ceil(largest / max_rows) * 2, _MAX_CHUNKS)
     small = heavy * cuts <= MAX_BROADCAST_BOUNDS
     names = sizes.select(*keys)
-    bounds = (
+    bounds = materialize(
         df.join(F.broadcast(names) if small else names, keys, "left_semi")
         .groupBy(*keys)
         .agg(

@@ -14,6 +14,8 @@ from longspark.operators.scan import MAX_ROWS, Run, add_chunks, position, runnin
 from longspark.schema import EVENT_TYPES, MICROS_PER_DAY, Task
 
 ID = "patient_id"
+# Events in one array value.
+MAX_ARRAY = 50_000
 
 
 def days(us: Column) -> Column:
@@ -172,7 +174,7 @@ def horizon_label(steps: DataFrame, task: Task, *, max_rows: int = MAX_ROWS) ->
     return with_horizon(_plain(running(cut, [ID], ["us"], horizon_runs(), chunk=chunk), chunk), task)
 
 
-def timeline_array(events: DataFrame, *, max_rows: int = MAX_ROWS) -> DataFrame:
+def timeline_array(events: DataFrame, *, max_rows: int = MAX_ARRAY) -> DataFrame:
     """Ordered event list per entity; an entity above ``max_rows`` events comes in parts."""
     cut, chunk = add_chunks(events, [ID], "us", max_rows=max_rows)
     part = F.col(chunk) if chunk else F.lit(0)

@@ -42,11 +42,11 @@ def plan_grid(
     return out if allowed is None else out.where(allowed)
 
 
-def benchmark_rules(prefix: str, observation_model: str) -> Column:
+def benchmark_rules(prefix: str, observing: str, *, head_ablation: str = "no_observation_head") -> Column:
     """Ablations only for models of the prefix; the head ablation only for the observing one."""
     ours = F.col("model").startswith(prefix)
     return (ours | (F.col("ablation") == "none")) & (
-        (F.col("ablation") != "no_observation_head") | (F.col("model") == observation_model)
+        (F.col("ablation") != head_ablation) | (F.col("model") == observing)
     )
 
 

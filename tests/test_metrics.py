@@ -43,6 +43,32 @@ def test_probabilities_and_scales_are_clipped(spark):
     assert row.n == pytest.approx(0.5 * np.exp(14) - 7 + 0.5 * np.log(2 * np.pi))
 
 
+def test_event_metrics_match_numpy(spark, scores):
+    df = spark.createDataFrame(scores).withColumn("valid", (F.col("p") < 0.9).cast("int"))
+    part = scores[scores.p < 0.9]
+    p, y = np.clip(part.p.values, 1e-7, 1 - 1e-7), part.y.values
+    for rows in (7, 1000):
+        row = metrics.event_metrics(df, [], label="y", probability="p", max_rows=rows).first()
+        assert row.event_brier == pytest.approx(np.mean((p - y) ** 2))
+        assert row.event_log_loss == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        assert row.event_roc_auc == pytest.approx(auc(y, p))
+
+
+def test_trees_beat_the_mean(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-3, 3, size=400)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.sin(x)}))
+    model = fit.fit_gbt(df, ["x"], "y", trees=20, depth=3)
+    got = fit.predict_model(model, df, ["x"]).agg(metrics.mae(F.col("y"), F.col("prediction"))).first()[0]
+    assert got < 0.1 < np.abs(np.sin(x) - np.sin(x).mean()).mean()
+
+
+def test_logistic_needs_both_classes(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
+    with pytest.raises(ValueError, match="both 0 and 1"):
+        fit.fit_logistic_balanced(df, ["x"], "y")
+
+
 def test_interval_ends_are_inside(spark):
     df = spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, 1.0, 2.0), (2.1, 1.0, 2.0)], "y double, lo double, hi double")
     assert df.agg(metrics.interval_coverage(F.col("y"), F.col("lo"), F.col("hi"))).first()[0] == pytest.approx(2 / 3)
