@@ -146,7 +146,7 @@ def _(spark, sf):
 
 
 def _stage(spark, sf):
-    bundles = _bundles(spark, sf).where(F.col("world") == "A").drop("bundle", "world")
+    bundles = _bundles(spark, sf).drop("bundle", "world").distinct()
     return grids.plan_stage(
         bundles, "d1", ["smooth", "jumps"], [5, 10, 20, 40], {"flow_mode": ["none", "time_scaled"]}
     )
@@ -155,9 +155,8 @@ def _stage(spark, sf):
 _STAGE = (
     "stage AS (SELECT cohort_seed, subset_seed, model_seed, 'd1' AS stage, w.world, n.n_train, f.flow_mode,"
     " concat_ws('__', 'd1', w.world, 'cohort' || cohort_seed, 'subset' || subset_seed, 'model' || model_seed,"
-    " 'n' || n_train, flow_mode) AS cell_id FROM bundles, (SELECT unnest(['smooth', 'jumps']) AS world) w,"
-    " (SELECT unnest([5, 10, 20, 40]) AS n_train) n, (SELECT unnest(['none', 'time_scaled']) AS flow_mode) f"
-    " WHERE bundles.world = 'A')"
+    " 'n' || n_train, flow_mode) AS cell_id FROM (SELECT DISTINCT cohort_seed, subset_seed, model_seed FROM bundles), (SELECT unnest(['smooth', 'jumps']) AS world) w,"
+    " (SELECT unnest([5, 10, 20, 40]) AS n_train) n, (SELECT unnest(['none', 'time_scaled']) AS flow_mode) f)"
 )
 
 

@@ -19,6 +19,9 @@ LOG_SCALE_LIMIT = 7.0
 RADIUS_90 = 1.6448536269514722
 HALF_LOG_TWO_PI = 0.5 * math.log(2.0 * math.pi)
 
+# Columns whose cross moments one aggregation takes at once.
+WIDE = 8
+
 
 def safe_probability(p: Column) -> Column:
     return clip(p, PROBABILITY_CLIP, 1.0 - PROBABILITY_CLIP)
@@ -177,8 +180,11 @@ def metric_rows(wide: DataFrame, metrics: list[str]) -> DataFrame:
 def moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Means and centred cross moments of ``columns`` per group, as arrays.
 
-    Uses mergeable covariance aggregates, so a group of any size combines map-side.
+    Uses mergeable covariance aggregates, so a group of any size combines map-side. Many
+    columns go one matrix row at a time: hundreds of aggregates in one operator are slow.
     """
+    if len(columns) > WIDE:
+        return _moments_by_row(df, by, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     aggs = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)]
     aggs += [F.covar_pop(columns[i], columns[j]).alias(f"_c{i}_{j}") for i, j in pairs]
@@ -192,6 +198,24 @@ def moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     )
 
 
+def _moments_by_row(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    size = len(columns)
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(*by, vector.alias("_x")).select(*by, "_x", F.posexplode("_x").alias("_i", "_xi"))
+    products = [F.covar_pop("_xi", F.col("_x")[j]).alias(f"_c{j}") for j in range(size)]
+    per_row = rows.groupBy(*by, "_i").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_xi").alias("mean"), *products
+    )
+    whole = F.array(*[F.col(f"_c{j}") * F.col("n").cast("double") for j in range(size)])
+    upper = F.slice(whole, F.col("_i") + 1, F.lit(size) - F.col("_i"))
+    # one entry per column
+    gathered = F.sort_array(F.collect_list(F.struct("_i", "mean", upper.alias("cross"))))
+    out = per_row.groupBy(*by).agg(F.max("n").alias("n"), gathered.alias("_r"))
+    return out.select(
+        *by, "n", F.col("_r.mean").alias("means"), F.flatten("_r.cross").alias("cross")
+    )
+
+
 def unpack(cross: np.ndarray, size: int) -> np.ndarray:
     """The symmetric matrix of an upper triangle in row order."""
     out = np.zeros((size, size))

@@ -121,6 +121,18 @@ def test_ridge_matches_the_normal_equations(spark, states):
     assert np.allclose(np.sort(got.prediction), np.sort(x @ w + row.intercept))
 
 
+def test_wide_moments_equal_narrow_ones(spark, states, monkeypatch):
+    df = spark.createDataFrame(states).withColumn("g", (F.col("z0") > 0).cast("int"))
+    narrow = metrics.moments(df, ["g"], list(states.columns)).orderBy("g").collect()
+    monkeypatch.setattr(metrics, "WIDE", 2)
+    wide = metrics.moments(df, ["g"], list(states.columns)).orderBy("g").collect()
+    for a, b in zip(narrow, wide, strict=True):
+        assert a.n == b.n and np.allclose(a.means, b.means) and np.allclose(a.cross, b.cross)
+    whole = metrics.moments(df, [], list(states.columns)).first()
+    want = np.cov(states.values.T, ddof=0)[np.triu_indices(6)] * 200
+    assert whole.n == 200 and np.allclose(whole.cross, want)
+
+
 def test_ridge_per_group(spark, states):
     df = spark.createDataFrame(states).withColumn("g", (F.col("z0") > 0).cast("int"))
     fits = fit.fit_ridge(df, ["h0", "h1"], "z1", by=("g",))
