@@ -199,20 +199,38 @@ def moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def _moments_by_row(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """The same for complete rows of many columns: plain sums of products about overall means."""
     size = len(columns)
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select(*by, vector.alias("_x")).select(*by, "_x", F.posexplode("_x").alias("_i", "_xi"))
-    products = [F.covar_pop("_xi", F.col("_x")[j]).alias(f"_c{j}") for j in range(size)]
+    one = F.lit(1).alias("_one")
+    vector = F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
+    # the shift keeps the sums small; what it is does not change the centred result
+    shift = df.agg(F.array(*[F.avg(c) for c in columns]).alias("_s")).select("_s", one)
+    rows = df.select(*by, vector, one).join(F.broadcast(shift), "_one")
+    rows = rows.select(*by, F.zip_with("_x", "_s", lambda x, s: x - s).alias("_x"))
+    rows = rows.select(*by, "_x", F.posexplode("_x").alias("_i", "_xi"))
+    products = [F.sum(F.col("_xi") * F.col("_x")[j]).alias(f"_p{j}") for j in range(size)]
     per_row = rows.groupBy(*by, "_i").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_xi").alias("mean"), *products
     )
-    whole = F.array(*[F.col(f"_c{j}") * F.col("n").cast("double") for j in range(size)])
+    whole = F.array(*[F.col(f"_p{j}") for j in range(size)])
     upper = F.slice(whole, F.col("_i") + 1, F.lit(size) - F.col("_i"))
     # one entry per column
-    gathered = F.sort_array(F.collect_list(F.struct("_i", "mean", upper.alias("cross"))))
-    out = per_row.groupBy(*by).agg(F.max("n").alias("n"), gathered.alias("_r"))
+    entries = F.sort_array(F.collect_list(F.struct("_i", "mean", upper.alias("products"))))
+    out = per_row.groupBy(*by).agg(F.max("n").alias("n"), entries.alias("_r"), F.max(F.lit(1)).alias("_one"))
+    out = out.join(F.broadcast(shift), "_one")
+    means, n = F.col("_r.mean"), F.col("n").cast("double")
+
+    def centred(entry: Column) -> Column:
+        return F.transform(
+            entry["products"],
+            lambda p, k: p - n * entry["mean"] * F.get(means, entry["_i"] + k),
+        )
+
     return out.select(
-        *by, "n", F.col("_r.mean").alias("means"), F.flatten("_r.cross").alias("cross")
+        *by,
+        "n",
+        F.zip_with("_s", means, lambda s, m: s + m).alias("means"),
+        F.flatten(F.transform("_r", centred)).alias("cross"),
     )
 
 
