@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspark.operators import resample
+from longspark.operators.resample import drop_one_ss
 from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
 from longspark.session import materialize
 
@@ -65,11 +66,12 @@ def factor_ss_general(df: DataFrame, by: list[str], factors: dict[str, list], va
     equations = resample.normal_equations(df, by, columns, value)
     width = len(columns)
 
+    # names the function itself: a module would be imported by the worker
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             frames = []
             for index, cross in enumerate(pdf["cross"]):
-                ss, rest, total = resample.drop_one_ss(np.asarray(cross, float), width, spans)
+                ss, rest, total = drop_one_ss(np.asarray(cross, float), width, spans)
                 out = pd.DataFrame({"component": [*ss, "residual"], "sum_squares": [*ss.values(), rest]})
                 for key in by:
                     out[key] = pdf[key].iloc[index]
