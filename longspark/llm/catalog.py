@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import decontaminate, url_filters
+from longspark.llm import bpe, decontaminate, quality, url_filters
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -63,6 +63,64 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge(table(spark, sf, "pages")).drop("url")
 
 
+def _vocabulary() -> tuple[str, str]:
+    """Place and pattern of the tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@_query("op2_byte_level_bpe")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    ranks, pattern = _vocabulary()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, pattern).drop("text")
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+_OP4 = r"""
+WITH docs AS (
+  SELECT doc_id, text AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), positions AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+), windows AS (
+  SELECT doc_id, i, CASE WHEN i + 2 <= len(w) THEN array_to_string(w[i:i + 2], ' ') END AS three,
+    CASE WHEN i + 9 <= len(w) THEN md5(array_to_string(w[i:i + 9], ' ')) END AS ten,
+    CASE WHEN i + 250 <= len(w) THEN md5(array_to_string(w[i:i + 250], ' ')) END AS long FROM positions
+), counted AS (
+  SELECT doc_id, i, three IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, three) > 1 AS r3,
+    ten IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, ten) > 1 AS r10,
+    long IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long) > 1 AS r251 FROM windows
+), spans AS (
+  SELECT doc_id, bool_or(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+    bool_or(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r251 FROM counted
+), sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE c3) AS n3, count(*) FILTER (WHERE c10) AS n10, bool_or(r251) AS too_long FROM spans GROUP BY 1
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(coalesce(t, ''), chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
+), base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')), 0)::BIGINT AS word_chars,
+    coalesce(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+    coalesce(n3, 0)::BIGINT AS n_repeat_words, coalesce(n10, 0)::BIGINT AS n_covered, coalesce(too_long, false) AS too_long
+  FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN lines USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 50 * n_words AND NOT too_long AS kept
+FROM base
+"""
+
+
+@_query("op4_suffix_array_repetition", _OP4)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.measure(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "longest_repeat")
+
+
 _OP6 = r"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
