@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import bpe, decontaminate, quality, url_filters
+from longspark.llm import bpe, decontaminate, ngram_join, pii, quality, url_filters
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -159,3 +159,23 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@_query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@_query("op10_pii_boosted_trees")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    count = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.KINDS)]
+    kinds = F.array(*[F.lit(k) for k in (*pii.KINDS, "other")])
+    more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), F.lit(len(pii.KINDS)).alias("kind"), s["end"].alias("end")))
+
+    def joined(spans):
+        each = F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(each, ",")
+
+    spans = F.array_sort(F.concat("base", more))
+    return found.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))
