@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import bpe, decontaminate, ngram_join, pii, quality, url_filters
+from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, url_filters
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -179,3 +179,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
     spans = F.array_sort(F.concat("base", more))
     return found.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+@_query("op8_segment_edit_join")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -50,3 +50,45 @@ def jaccard_components(rows, size=3, similarity=90):
         links += [(i, j) for j, c in seen.items() if 100 * c >= similarity * (len(s) + len(sets[j]) - c)]
     comp = least_reachable(len(rows), links, [d for d, _ in rows])
     return {d: (len(s), c) for (d, _), s, c in zip(rows, sets, comp)}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def deduped_lines(rows, edits=2, shortest=20):
+    """{doc_id: (n_lines, exact, near, text)}; ids are different."""
+    first = {}
+    for d, t in sorted(rows):
+        for no, line in enumerate((t or "").split("\n")):
+            if len(line) >= shortest:
+                first.setdefault(line, (d, no))
+    lines = sorted(first, key=len)
+    late = set()
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if len(b) - len(a) > edits:
+                break
+            # with this few edits, a third of the line stays in its place up to the edits
+            if distance(a, b) <= edits:
+                late.add(max(a, b, key=first.get))
+    out = {}
+    for d, t in rows:
+        if t is None:
+            out[d] = (0, 0, 0, None)
+            continue
+        kept, exact, near = [], 0, 0
+        for no, line in enumerate(t.split("\n")):
+            if line in late:
+                near += 1
+            elif line in first and first[line] != (d, no):
+                exact += 1
+            else:
+                kept.append(line)
+        out[d] = (len(t.split("\n")), exact, near, "\n".join(kept))
+    return out
