@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, url_filters
+from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, url_filters, warc
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -185,3 +185,20 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@_query("op9_warc_index_merge")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    # the pages have no capture time: one a second, in the order of their ids
+    index = warc.archive(table(spark, sf, "pages"), ts=F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
+    return warc.read_archives(index).drop("payload", "url")
+
+
+ORACLES["op9_warc_index_merge"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
+"""
