@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, url_filters, warc
+from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, token_output, url_filters, warc
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -202,3 +202,12 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
 """
+
+
+@_query("op3_training_order")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    # byte-level ids: the UTF-8 bytes; 0xFF and 0xFE never occur in them
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    manifest, count = token_output.materialise(docs, F.col("text").cast("binary"))
+    found = token_output.read_shards(manifest, count)
+    return found.select("slot", "sequence", F.sha2("ids", 256).alias("ids_sha256"))
