@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspark.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, token_output, url_filters, warc
+import corpus_pipeline
+from longspark.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    line_dedup,
+    ngram_join,
+    pii,
+    quality,
+    token_output,
+    url_filters,
+    warc,
+)
 from longspark.llm.common import table
 
 QUERIES: dict = {}
@@ -211,3 +223,45 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     manifest, count = token_output.materialise(docs, F.col("text").cast("binary"))
     found = token_output.read_shards(manifest, count)
     return found.select("slot", "sequence", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def _op7_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
+    steps, left, names = [], "ids", []
+    for i, (name, pattern) in enumerate(licenses.RULES):
+        names.append(f"CASE WHEN regexp_matches(l{i}, '{pattern}') THEN '{name}' END")
+        steps.append(f"r{i + 1} AS (SELECT *, regexp_replace(l{i}, '{pattern}', '.', 'g') AS l{i + 1} FROM r{i})")
+    return f"""
+WITH known(id, sentence) AS (VALUES {known}
+), docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|redistribut|permission is hereby|rights reserved') AS hint
+  FROM documents
+), sources AS (
+  SELECT doc_id, 1 AS kind, t FROM docs WHERE hint
+  UNION ALL SELECT doc_id, 2, replace(replace(replace(t, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)) FROM docs WHERE hint
+), cut AS (
+  SELECT doc_id, kind, unnest(string_split_regex(regexp_replace(t, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '[\\n\\r]+')) AS s,
+    generate_subscripts(string_split_regex(regexp_replace(t, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '[\\n\\r]+'), 1) AS i FROM sources
+), hits AS (
+  SELECT doc_id, kind, string_agg(id, '' ORDER BY i) AS ids
+  FROM cut JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL
+), best AS (SELECT doc_id, arg_min(ids, kind) AS ids FROM hits GROUP BY 1
+), r0 AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS l0 FROM docs LEFT JOIN best USING (doc_id)
+), {", ".join(steps)}
+SELECT doc_id, ids AS sentence_ids, array_to_string(list_filter(list_distinct_in_order, lambda x: x IS NOT NULL), ',') AS licenses
+FROM (SELECT *, [{", ".join(names)}] AS list_distinct_in_order FROM r{len(licenses.RULES)})
+"""
+
+
+@_query("op7_sentence_rules", _op7_sql())
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
