@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from longspark.llm.common import worker_cache
 
-#: Kept at most, per Python worker: transitions of the transducer, and twice so many encodings of chunks.
+#: Kept at most, per Python worker: transitions and pairs of the transducer, and twice so many
+#: encodings of chunks.
 MAX_TRANSITIONS = 200_000
+MAX_PAIRS = 400_000
+MAX_TRACES = 20_000
 MAX_CHUNKS = 120_000
 #: Chunks of more characters are not kept.
 LONG_CHUNK = 40
@@ -37,114 +40,145 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The encoding of a short piece, merge by merge: the lowest rank first, the leftmost of equal ones."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        best = min(pairs)
-        if best == _NEVER:
-            break
-        at = pairs.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], _NEVER)
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1], _NEVER)
-    return parts
-
-
-def _agreed(a: tuple, b: tuple) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
-
-
 class Transducer:
-    """Encodes pieces; see the module's text."""
+    """Encodes pieces; see the module's text.
+
+    A state is a tuple of threads (trie node, last token). Since one thread stands at a boundary after each
+    byte, the transition need only name its token: where a state has no other thread, all of them agree, and
+    the tokens up to there are read off backwards.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token = [-1]
+        self.size = {r: len(t) for t, r in ranks.items()}
+        child: dict[int, int] = {}  # node << 8 | byte -> node
+        token = [-1]
         for text, rank in ranks.items():
             node = 0
             for b in text:
                 key = node << 8 | b
-                nxt = self.child.get(key)
-                if nxt is None:
-                    nxt = self.child[key] = len(self.token)
-                    self.token.append(-1)
-                node = nxt
-            if len(text) == 1 or merge(text, ranks) == [text]:  # others never occur
-                self.token[node] = rank
-        self.inner = {key >> 8 for key in self.child}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number = {((0, -1, ()),): 0}
-        self.states = [((0, -1, ()),)]
-        self.moves: dict[int, tuple[int, tuple]] = {}
+                node = child.get(key, -1)
+                if node < 0:
+                    node = child[key] = len(token)
+                    token.append(-1)
+            token[node] = rank
+        self.child, self.token = child, token
+        self.inner = {key >> 8 for key in child}
+        self.follows: dict[int, bool] = {}
+        self.traces: dict[int, tuple | None] = {}
+        self._forget(((0, -1),))
+
+    def _forget(self, start: tuple) -> int:
+        """Drop all states; the number that ``start`` has from now on."""
+        self.states = [((0, -1),)]
+        self.number = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, int, bool]] = {}
+        return self._state(start)
+
+    def _state(self, threads: tuple) -> int:
+        known = self.number.get(threads)
+        if known is None:
+            known = self.number[threads] = len(self.states)
+            self.states.append(threads)
+        return known
+
+    def _trace(self, token: int, end: int) -> tuple | None:
+        """The merges of a token in their order: (rank, what stands at its left (0) or right (-1) end after).
+
+        Starts with the byte at that end. None if the token does not encode to itself.
+        """
+        key = token << 1 | (end == 0)
+        if key not in self.traces:
+            text = self.tokens[token]
+            parts = [text[i : i + 1] for i in range(len(text))]
+            steps = [(_NEVER, parts[end])]
+            while len(parts) > 1:
+                pairs = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+                best = min(pairs)
+                if best == _NEVER:
+                    break
+                at = pairs.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append((best, parts[end]))
+            if len(self.traces) > MAX_TRACES:
+                self.traces.clear()
+            self.traces[key] = tuple(steps) if len(parts) == 1 else None
+        return self.traces[key]
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
+        """The two tokens stay as they are when merged together; ``left`` is -1 at the start of a piece."""
+        key = left << 32 | right
+        known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > MAX_TRANSITIONS:
+            if len(self.follows) > MAX_PAIRS:
                 self.follows.clear()
-            a, b = self.tokens[left], self.tokens[right]
-            known = a + b not in self.ranks and merge(a + b, self.ranks) == [a, b]
-            self.follows[left, right] = known
+            b = self._trace(right, 0)
+            known = b is not None and (left < 0 or self._stay_apart(self._trace(left, -1), b))
+            self.follows[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        threads, boundary = [], None
-        for node, last, pending in self.states[state]:
-            node = self.child.get(node << 8 | byte)
+    def _stay_apart(self, a: tuple, b: tuple) -> bool:
+        """Side by side, both run through their own merges: no merge across comes first at any time."""
+        rank = self.ranks.get
+        i, j, n, m = 1, 1, len(a), len(b)
+        across = rank(a[0][1] + b[0][1], _NEVER)
+        while True:
+            next_a = a[i][0] if i < n else _NEVER
+            next_b = b[j][0] if j < m else _NEVER
+            if across < next_a and across <= next_b and across != _NEVER:
+                return False
+            if next_a == next_b == _NEVER:
+                return True
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+            across = rank(a[i - 1][1] + b[j - 1][1], _NEVER)
+
+    def _move(self, state: int, byte: int) -> tuple[int, int, bool]:
+        threads, boundary = [], -1
+        child, token, inner = self.child, self.token, self.inner
+        for node, last in self.states[state]:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.token[node]
-            if token >= 0 and boundary is None and (last < 0 or self.may_follow(last, token)):
-                boundary = (0, token, (*pending, token))
-            if node in self.inner:
-                threads.append((node, last, pending))
-        threads.append(boundary)
-        # what all threads agree on is emitted
-        first = threads[0][2]
-        out = len(first)
-        for _, _, pending in threads:
-            out = min(out, _agreed(first, pending)) if out else 0
-        if out:
-            threads = [(node, last, pending[out:]) for node, last, pending in threads]
-        key = tuple(threads)
-        nxt = self.number.get(key)
-        if nxt is None:
-            nxt = self.number[key] = len(self.states)
-            self.states.append(key)
-        move = self.moves[state << 8 | byte] = (nxt, first[:out])
+            t = token[node]
+            if t >= 0 and boundary < 0 and self.may_follow(last, t):
+                boundary = t
+            if node in inner:
+                threads.append((node, last))
+        agreed = not threads
+        threads.append((0, boundary))
+        move = self.moves[state << 8 | byte] = (self._state(tuple(threads)), boundary, agreed)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
         if len(self.moves) > MAX_TRANSITIONS:
-            self._forget()
-        state, ids, moves = 0, [], self.moves
+            self._forget(self.states[0])
+        state, out, open_, moves = 0, [], [], self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
                 if len(moves) > 2 * MAX_TRANSITIONS:  # within one very long piece
-                    threads = self.states[state]
-                    self._forget()
+                    state = self._forget(self.states[state])
                     moves = self.moves
-                    state = self.number.setdefault(threads, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(threads)
                 move = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                ids.extend(move[1])
-        return [*ids, *self.states[state][-1][2]]
+            state, token, agreed = move
+            open_.append(token)
+            if agreed and len(open_) > 64:
+                out += self._read_off(open_)
+                open_ = []
+        return out + self._read_off(open_)
+
+    def _read_off(self, ends: list[int]) -> list[int]:
+        """The tokens of an agreed stretch, from the token that ends at each of its bytes."""
+        tokens, at = [], len(ends) - 1
+        while at >= 0:
+            tokens.append(ends[at])
+            at -= self.size[ends[at]]
+        return tokens[::-1]
 
 
 class _Recent(dict):
