@@ -30,7 +30,7 @@ from longspark.session import materialize
 SHINGLE = 3
 #: Per cent of the union that two sets share at least.
 SIMILARITY = 90
-#: Counters of the sketch (4 bytes each), and counters a row of it carries.
+#: Counters of the sketch (2 to this, 4 bytes each), and counters that a row of it carries.
 SKETCH_BITS = 21
 _BLOCK = 1 << 13
 #: Members that are compared with one copy of a list's centre.
@@ -39,6 +39,8 @@ MEMBERS = 500
 ROUNDS = 4
 
 _KNOWN_WORDS = 400_000
+#: Larger counts of the sketch are not told apart.
+_MOST = (1 << 31) - 1
 
 
 class _Hashes(dict):
@@ -53,24 +55,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles: A-Z in lower case, words between ASCII space.
-
-    Fewer words than ``size`` are one shingle; without words the set is empty.
-    """
+def word_hashes(text: str | None, hashes: dict) -> np.ndarray:
+    """64-bit hashes of the words between ASCII space, A-Z in lower case."""
     words = text.encode().lower().split() if text else []  # bytes: ASCII letters and spaces only
-    if not words:
-        return np.empty(0, np.uint64)
     if len(hashes) > _KNOWN_WORDS:
         hashes.clear()
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(w) - size + 1
-    h = _mix(w[:n])
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle in turn; fewer words than ``size`` are one shingle."""
+    size = min(size, len(words))
+    n = len(words) - size + 1 if size else 0
+    h = _mix(words[:n] + np.uint64(size))
     for i in range(1, size):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
-    return np.unique(h)
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return h
+
+
+def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; none without words."""
+    return np.unique(shingle_hashes(word_hashes(text, hashes), size))
 
 
 def occurrences(n, similarity: int = SIMILARITY):
@@ -78,17 +83,18 @@ def occurrences(n, similarity: int = SIMILARITY):
     return (similarity * n + 99) // 100
 
 
-def _sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """How often shingles occur, by the first bits of their hash; every document counts."""
+def _sketch(docs: DataFrame, text: str) -> np.ndarray:
+    """How often words occur, by the first bits of their hash; every document counts."""
     shift, blocks = np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // _BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("shingle words", _Hashes)
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts[(shingle_set(t, size, hashes) >> shift).astype(np.int64)] += 1
-        own = counts.reshape(blocks, _BLOCK)
+            words = [word_hashes(t, hashes) for t in batch.column(0).to_pylist()]
+            places = (np.concatenate([np.empty(0, np.uint64), *words]) >> shift).astype(np.int64)
+            counts += np.bincount(places, minlength=1 << SKETCH_BITS)
+        own = np.minimum(counts, _MOST).astype(np.int32).reshape(blocks, _BLOCK)
         yield from _block_rows([(b, own[b]) for b in range(blocks) if own[b].any()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +102,7 @@ def _sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
                 c = np.frombuffer(c.as_buffer(), np.int32)
-                sums[b] = sums[b] + c if b in sums else c
+                sums[b] = np.minimum(sums.get(b, 0) + c.astype(np.int64), _MOST).astype(np.int32)
         yield from _block_rows(list(sums.items()))
 
     rows = docs.select(text).mapInArrow(count, "block int, counts binary")
@@ -106,7 +112,7 @@ def _sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
         rows = rows.mapInArrow(add, "block int, counts binary")
     out = np.zeros((blocks, _BLOCK), np.int32)
     for b, c in rows.collect():  # of fixed size
-        out[b] += np.frombuffer(c, np.int32)
+        out[b] = np.frombuffer(c, np.int32)
     return out.reshape(-1)
 
 
@@ -119,7 +125,7 @@ def _block_rows(blocks: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch
 
 def _sets(docs: DataFrame, id_: str, text: str, size: int, similarity: int) -> DataFrame:
     """(doc, n, digest, short): the size, a digest of the set, and the hashes of its short lists."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, size))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +133,17 @@ def _sets(docs: DataFrame, id_: str, text: str, size: int, similarity: int) -> D
         for batch in batches:
             sizes, digests, shorts = [], [], []
             for t in batch.column(1).to_pylist():
-                s = shingle_set(t, size, hashes)
+                words = word_hashes(t, hashes)
+                s, at = np.unique(shingle_hashes(words, size), return_index=True)
                 n = len(s)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if n else None)
                 if n:
-                    lengths = counts[(s >> shift).astype(np.int64)]
-                    s = s[np.lexsort((s, lengths))[: n - occurrences(n, similarity) + 1]]
+                    often = counts[(words >> shift).astype(np.int64)]
+                    rarest = often[at]
+                    for i in range(1, min(size, len(words))):
+                        rarest = np.minimum(rarest, often[at + i])
+                    s = s[np.lexsort((s, rarest))[: n - occurrences(n, similarity) + 1]]
                 shorts.append(s.view(np.int64))
             ends = np.cumsum([0, *map(len, shorts)]).astype(np.int32)
             short = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *shorts])))
@@ -200,10 +210,10 @@ def components(
     sets = _sets(docs, id_, text, size, similarity)
     able = sets.where("doc is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
-    classes = materialize(classes.select("digest", "rep"))
-    members = sets.join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc"))
+    classes = broadcast_if_small(materialize(classes.select("digest", "rep")))
+    members = sets.select("doc", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc"))
     alone = able.join(classes, "digest", "left_anti").select("doc", "n", "short")
-    heads = able.join(classes.select("digest", F.col("rep").alias("doc")), ["digest", "doc"])
+    heads = able.join(classes, "digest").where("doc = rep")
     heads = heads.dropDuplicates(["digest", "doc"]).select("doc", "n", "short")
 
     entries = alone.union(heads).select(F.explode("short").alias("token"), "doc", "n")
