@@ -226,7 +226,8 @@ def _(spark, sf):
 @query(
     "plan_hash",
     "WITH h AS (SELECT o_orderstatus AS plan, count(*) AS n_cells,"
-    " sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderpriority)), 1, 15) AS HUGEINT)) AS s"
+    " sum(CAST('0x' || substr(md5(concat_ws('|', 'v' || length(o_orderkey::VARCHAR) || ':' || o_orderkey, 'v' || length(o_custkey::VARCHAR) || ':' || o_custkey,"
+    " 'v' || length(o_orderpriority) || ':' || o_orderpriority)), 1, 15) AS HUGEINT)) AS s"
     " FROM orders GROUP BY 1)"
     " SELECT plan, n_cells, sha256(concat_ws('|', n_cells, s)) AS plan_sha256 FROM h",
 )

@@ -13,7 +13,10 @@ from longspark.operators.checks import check_row, key_sets
 
 
 def row_text(df: DataFrame, columns: list[str]) -> Column:
-    """A row as text; null and NaN are the same, and differ from an empty string."""
+    """A row as text; null and NaN are the same, and differ from an empty string.
+
+    Every value is preceded by its length, so no value can be taken for the border of two.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
 
     def part(c: str) -> Column:
@@ -21,7 +24,7 @@ def row_text(df: DataFrame, columns: list[str]) -> Column:
         if isinstance(kinds[c], (T.DoubleType, T.FloatType)):
             x = F.when(~F.isnan(x), x)
         text = F.to_json(x) if isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType)) else x.cast("string")
-        return F.coalesce(F.concat(F.lit("v"), text), F.lit("n"))
+        return F.coalesce(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
 
     return F.concat_ws("|", *[part(c) for c in columns])
 
@@ -99,28 +102,48 @@ class Tolerance:
 
 
 def diff_numeric(official: DataFrame, rerun: DataFrame, key: list[str], fields: list[Tolerance]) -> DataFrame:
-    """Per field: values further apart than ``atol + rtol * |rerun|``, and the largest gap.
+    """Per field: values further apart than ``atol + rtol * |rerun|``, and the largest gap of finite values.
 
-    Keys on one side only are counted too; with any of them, or with repeated keys, no field is ok.
+    Keys that one side lacks and keys that a side repeats are counted, and with any of them no field is ok;
+    values are compared for keys that stand once on both sides. A value that is no number is a mismatch, even
+    against the same text. Null keys are keys like others.
     """
-    tags = lambda df, side: df.select(
-        *key, *[F.expr(f"try_cast(`{f.column}` AS double)").alias(f"_{side}_{f.column}") for f in fields], F.lit(1).alias(f"_{side}")
-    )
-    both = tags(official, "a").join(tags(rerun, "b"), key, "full")
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        values = []
+        for f in fields:
+            number = F.col(f"`{f.column}`").try_cast("double")
+            values += [
+                F.first(number).alias(f"_{tag}_{f.column}"),
+                F.first(F.col(f"`{f.column}`").isNotNull() & number.isNull()).alias(f"_{tag}x_{f.column}"),
+            ]
+        return df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"_{tag}"), *values)
+
+    a, b = side(official, "a"), side(rerun, "b").withColumnsRenamed({k: f"_k_{k}" for k in key})
+    same_key = F.lit(True)
+    for k in key:
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    both = a.join(b, same_key, "full")
     matched = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    aggs = [F.count_if(~matched).alias("_unmatched")]
+    once = matched & (F.col("_a") == 1) & (F.col("_b") == 1)
+    aggs = [F.count_if(~matched).alias("_unmatched"), F.count_if((F.col("_a") > 1) | (F.col("_b") > 1)).alias("_repeated")]
     for f in fields:
         a, b = F.col(f"_a_{f.column}"), F.col(f"_b_{f.column}")
+        bad = F.col(f"_ax_{f.column}") | F.col(f"_bx_{f.column}")
         none_a, none_b = a.isNull() | F.isnan(a), b.isNull() | F.isnan(b)
-        both_nan = none_a & none_b
-        close = F.abs(a - b) <= F.lit(f.atol) + F.lit(f.rtol) * F.abs(b)
-        same = F.when(both_nan, F.lit(f.equal_nan)).when(none_a | none_b, F.lit(False)).otherwise((a == b) | close)
-        gap = F.when(~none_a & ~none_b, F.abs(a - b))
+        finite = ~none_a & ~none_b & (F.abs(a) != float("inf")) & (F.abs(b) != float("inf"))
+        close = finite & (F.abs(a - b) <= F.lit(f.atol) + F.lit(f.rtol) * F.abs(b))
+        same = (
+            F.when(bad, F.lit(False))
+            .when(none_a & none_b, F.lit(f.equal_nan))
+            .when(none_a | none_b, F.lit(False))
+            .otherwise((a == b) | close)
+        )
         aggs += [
-            F.count_if(matched & ~same).alias(f"_m_{f.column}"),
-            F.max(F.when(matched, gap)).alias(f"_g_{f.column}"),
+            F.count_if(once & ~same).alias(f"_m_{f.column}"),
+            F.max(F.when(once & finite, F.abs(a - b))).alias(f"_g_{f.column}"),
         ]
-    out = both.agg(F.count_if(matched).alias("compared"), *aggs)
+    out = both.agg(F.count_if(once).alias("compared"), *aggs)
     entries = F.array(
         *[
             F.struct(
@@ -131,11 +154,11 @@ def diff_numeric(official: DataFrame, rerun: DataFrame, key: list[str], fields:
             for f in fields
         ]
     )
-    rows = out.select("compared", F.col("_unmatched").alias("unmatched_keys"), F.explode(entries).alias("e"))
-    return rows.select(
-        "e.field", "compared", "unmatched_keys", "e.mismatches", "e.max_abs_error",
-        ((F.col("e.mismatches") == 0) & (F.col("unmatched_keys") == 0)).alias("ok"),
+    rows = out.select(
+        "compared", F.col("_unmatched").alias("unmatched_keys"), F.col("_repeated").alias("repeated_keys"), F.explode(entries).alias("e")
     )
+    ok = (F.col("e.mismatches") == 0) & (F.col("unmatched_keys") == 0) & (F.col("repeated_keys") == 0)
+    return rows.select("e.field", "compared", "unmatched_keys", "repeated_keys", "e.mismatches", "e.max_abs_error", ok.alias("ok"))
 
 
 def multiset_equal(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspark.operators.audit import row_text
+
 
 def zip_seeds(df: DataFrame, columns: list[str], *, default: int | None = None) -> DataFrame:
     """Equal-length seed arrays zipped (not crossed) into one row per bundle.
@@ -98,8 +100,7 @@ def plan_hash(plan: DataFrame, columns: list[str], *, by: tuple[str, ...] = ())
     Rows are hashed where they are and the row hashes are summed exactly, so no task sees the
     whole plan.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    number = F.conv(F.substring(F.md5(row_text(plan, columns).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     total = plan.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.sum(number).alias("_sum"))
     seal = F.concat_ws("|", F.col("n_cells").cast("string"), F.col("_sum").cast("string"))
     return total.select(*by, "n_cells", F.sha2(seal.cast("binary"), 256).alias("plan_sha256"))

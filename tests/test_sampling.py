@@ -126,3 +126,9 @@ def test_plan_hash_ignores_order_and_sees_content(spark, people):
     h = lambda df: grids.plan_hash(df, ["patient_id", "site"]).first()
     assert h(people) == h(people.orderBy(F.desc("patient_id")))
     assert h(people) != h(people.where("patient_id <> '5'"))
+
+
+def test_plan_hash_tells_separators_and_nulls_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("", None), (None, "")]
+    plans = [spark.createDataFrame([r], "x string, y string") for r in rows]
+    assert len({grids.plan_hash(p, ["x", "y"]).first().plan_sha256 for p in plans}) == 4

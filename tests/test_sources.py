@@ -179,6 +179,28 @@ def test_numeric_diff_uses_the_rerun_for_relative_tolerance(spark):
     assert not ok(a, b.where("k = 'k'"), rtol=0.1)
 
 
+def test_numeric_diff_of_text_repeats_and_infinity(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    diff = lambda x, y: audit.diff_numeric(frame(x), frame(y), ["k"], [audit.Tolerance("v")]).first()
+    assert diff([("a", "1")], [("a", "1.0")]).ok
+    assert not diff([("a", "abc")], [("a", "xyz")]).ok and not diff([("a", "abc")], [("a", "abc")]).ok
+    twice = diff([("a", "1"), ("a", "1")], [("a", "1")])
+    assert not twice.ok and (twice.repeated_keys, twice.compared) == (1, 0)
+    equal = diff([("a", "Infinity"), ("b", "1")], [("a", "Infinity"), ("b", "1")])
+    assert equal.ok and equal.max_abs_error == 0.0
+    assert not diff([("a", "Infinity")], [("a", "1")]).ok
+    assert diff([(None, "1")], [(None, "1")]).ok and not diff([(None, "1")], [("a", "1")]).ok
+
+
+def test_values_with_separators_are_told_apart(spark):
+    a = spark.createDataFrame([("a|vb", "c")], "x string, y string")
+    b = spark.createDataFrame([("a", "b|vc")], "x string, y string")
+    assert not audit.multiset_equal(a, b, ["x", "y"]).first().equal
+    h = lambda df: audit.content_hash(df, ["x", "y"]).first().content_sha256
+    assert h(a) != h(b)
+    assert not audit.compare_lineage(audit.lineage_hashes({"t": a}), audit.lineage_hashes({"t": b})).first().ok
+
+
 def test_multisets_count_repeats(spark):
     a = spark.createDataFrame([(1.0,), (1.0,), (float("nan"),)], "x double")
     b = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double")
