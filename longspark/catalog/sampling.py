@@ -70,7 +70,9 @@ def _(spark, sf):
     f" v AS (SELECT *, {_rank('subset_seed + 1', 'validation', 'PARTITION BY site, subset_seed, n_train')} AS vk FROM b)"
     " SELECT site, CAST(subset_seed AS BIGINT) AS subset_seed, CAST(n_train AS BIGINT) AS n_train, patient_id,"
     " CASE WHEN vk <= greatest(1, least(n_train - 1, CAST(round_even(n_train * 0.2::DOUBLE, 0) AS BIGINT)))"
-    " THEN 'validation' ELSE 'fit' END AS role FROM v",
+    " THEN 'validation' ELSE 'fit' END AS role FROM v"
+    " UNION ALL SELECT site, CAST(subset_seed AS BIGINT), CAST(n_train AS BIGINT), NULL, 'shortfall'"
+    " FROM (SELECT site, count(*) AS pool FROM ent GROUP BY 1), s, (SELECT unnest([5, 10, 20, 40]) AS n_train) WHERE pool < n_train",
 )
 def _(spark, sf):
     return sampling.budgets(
@@ -345,8 +347,15 @@ _WORLD = (
 )
 def _(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.expr(_WORLD).alias("world"))
+    settings = {
+        "smooth": {"intervention_rate": 0.01, "observation_regime": "mcar"},
+        "jumps": {"intervention_rate": 0.15, "observation_regime": "mar"},
+        "site_shift": {"observation_regime": "site_shift"},
+        "misspecified": {"intervention_rate": 0.12, "heterogeneity_scale": 2.0, "hidden_regime_switch": True},
+    }
     return missingness.world_overrides(
         rows,
+        settings,
         {
             "intervention_rate": 0.05,
             "observation_regime": "mnar",

@@ -180,9 +180,12 @@ def metric_rows(wide: DataFrame, metrics: list[str]) -> DataFrame:
 def moments(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Means and centred cross moments of ``columns`` per group, as arrays.
 
+    Only complete rows count: a row with a null or NaN in any of the columns is left out of ``n`` too.
+
     Uses mergeable covariance aggregates, so a group of any size combines map-side. Many
     columns go one matrix row at a time: hundreds of aggregates in one operator are slow.
     """
+    df = df.dropna(subset=list(dict.fromkeys(columns)))
     if len(columns) > WIDE:
         return _moments_by_row(df, by, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]

@@ -26,21 +26,6 @@ NOISE_MULTIPLIERS = ((0.6, 1.5, 0.9), (1.6, 0.7, 1.3))
 
 REGIMES = ("mcar", "mar", "mnar", "site_shift")
 
-# Parameters that each named world sets over the defaults.
-WORLD_PRESETS = {
-    "smooth": {"intervention_rate": 0.01, "observation_regime": "mcar"},
-    "jumps": {"intervention_rate": 0.15, "observation_regime": "mar"},
-    "informative_observation": {"observation_regime": "mnar"},
-    "site_shift": {"observation_regime": "site_shift"},
-    "misspecified": {
-        "intervention_rate": 0.12,
-        "observation_regime": "mnar",
-        "heterogeneity_scale": 2.0,
-        "delayed_intervention_effect": True,
-        "hidden_regime_switch": True,
-    },
-}
-
 
 def _by_site_and_code(table: tuple, codes: tuple[str, ...], default: float) -> Column:
     site = F.pmod(F.col("site"), F.lit(2))
@@ -139,14 +124,13 @@ def add_noise(
     )
 
 
-def world_overrides(df: DataFrame, defaults: dict, *, world: str = "world") -> DataFrame:
-    """Add one column per parameter: the preset of the row's world, else the default."""
+def world_overrides(df: DataFrame, settings: dict[str, dict], defaults: dict, *, world: str = "world") -> DataFrame:
+    """Add one column per parameter: what ``settings`` has for the row's label, else the default."""
     out = {}
     for name, default in defaults.items():
-        cases = None
-        for preset, values in WORLD_PRESETS.items():
-            if name in values:
-                hit, value = F.col(world) == preset, F.lit(values[name])
-                cases = F.when(hit, value) if cases is None else cases.when(hit, value)
-        out[name] = F.lit(default) if cases is None else F.coalesce(cases, F.lit(default))
+        value = F.lit(default)
+        for label, own in settings.items():
+            if name in own:
+                value = F.when(F.col(world) == label, F.lit(own[name])).otherwise(value)
+        out[name] = value
     return df.withColumns(out)

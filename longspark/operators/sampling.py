@@ -31,6 +31,12 @@ def ranked(
     )
 
 
+def _refused(rows: DataFrame, problem: DataFrame) -> DataFrame:
+    """``rows``, or an error when it runs: ``problem`` is one row with ``problem``, null if all is well."""
+    fails = F.when(F.col("problem").isNotNull(), F.raise_error("problem").cast("boolean")).otherwise(F.lit(True))
+    return rows.join(F.broadcast(problem)).where(fails).drop("problem")
+
+
 def cut_size(n: Column, fraction: float) -> Column:
     return F.floor(n.cast("double") * F.lit(fraction)).cast("bigint")
 
@@ -44,7 +50,10 @@ def split_entities(
     train_fraction: float = 0.7,
     val_fraction: float = 0.1,
 ) -> DataFrame:
-    """Disjoint ``train``, ``val`` and ``test`` entities with exact sizes ``int(n * f)``."""
+    """Disjoint ``train``, ``val`` and ``test`` entities with exact sizes ``int(n * f)``.
+
+    A repeated entity could fall into two parts: it is an error.
+    """
     if not 0 < train_fraction < 1:
         raise ValueError("train_fraction must be between 0 and 1")
     if not 0 <= val_fraction < 1 or train_fraction + val_fraction >= 1:
@@ -55,20 +64,26 @@ def split_entities(
     part = (
         F.when(F.col("rank") <= train, "train").when(F.col("rank") <= val, "val").otherwise("test")
     )
-    return out.withColumn("split", part).drop("rank", "pool_size")
+    out = out.withColumn("split", part).drop("rank", "pool_size")
+    twice = entities.groupBy(*by, entity).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.col("n").cast("string"), F.lit(" entities are repeated"))
+    return _refused(out, twice.select(F.when(F.col("n") > 0, message).alias("problem")))
 
 
 def sample_entities(
     pool: DataFrame, n: int, seed: int, *, entity: str = "patient_id", stream: str = "sample"
 ) -> DataFrame:
-    """``n`` entities without replacement."""
+    """``n`` entities without replacement; a pool that has fewer is an error."""
     if n <= 0:
         raise ValueError("n must be positive")
+    size = pool.agg(F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.lit(f"{n} wanted from a pool of "), F.col("n").cast("string"))
+    short = size.select(F.when(F.col("n") < n, message).alias("problem"))
     if n <= TOP_N_LIMIT:
         keyed = pool.withColumn("_draw", draw(seed, stream, F.col(entity)))
-        return keyed.orderBy("_draw", entity).limit(n).drop("_draw")
+        return _refused(keyed.orderBy("_draw", entity).limit(n).drop("_draw"), short)
     out = ranked(pool, [], entity, seed, stream)
-    return out.where(F.col("rank") <= n).drop("rank", "pool_size")
+    return _refused(out.where(F.col("rank") <= n).drop("rank", "pool_size"), short)
 
 
 def validation_count(n: Column, fraction: float) -> Column:
@@ -86,7 +101,10 @@ def budgets(
     by: tuple[str, ...] = (),
     validation_fraction: float = 0.2,
 ) -> DataFrame:
-    """For every seed and size: that many entities, split into ``fit`` and ``validation``."""
+    """For every seed and size: that many entities, split into ``fit`` and ``validation``.
+
+    Where a pool is smaller than a size, one row per seed and size says so: no entity, role ``shortfall``.
+    """
     if min(sizes) < 2:
         raise ValueError("a budget holds at least two entities")
     if not 0 < validation_fraction < 1:
@@ -108,7 +126,15 @@ def budgets(
     role = F.when(
         F.col("rank") <= validation_count(F.col("n_train"), validation_fraction), "validation"
     ).otherwise("fit")
-    return again.withColumn("role", role).drop("rank", "pool_size")
+    out = again.withColumn("role", role).drop("rank", "pool_size")
+    return out.unionByName(_shortfalls(pool, sizes, seeds, by), allowMissingColumns=True)
+
+
+def _shortfalls(pool: DataFrame, sizes: list[int], seeds: list[int], by: tuple[str, ...]) -> DataFrame:
+    counts = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    numbers = lambda values: F.explode(F.array(*[F.lit(v).cast("bigint") for v in sorted(values)]))
+    rows = counts.withColumn("n_train", numbers(sizes)).where("_n < n_train")
+    return rows.withColumn("subset_seed", numbers(seeds)).withColumn("role", F.lit("shortfall")).drop("_n")
 
 
 def fit_val_budget(

@@ -24,12 +24,14 @@ def benchmark_cells(
     cohort: str = "site",
     alpha: float = 1.0,
     test_by: tuple[str, ...] = (),
+    fit_on: object = None,
 ) -> DataFrame:
     """Metric rows of every (cohort, seed, size, model) cell.
 
     Each cell fits a ridge on its budget's ``fit`` entities and is scored, like the two naive
     forecasts, on all test entities of the cohort. ``test_by`` adds columns that split the test
-    rows, such as a site.
+    rows, such as a site. With ``fit_on``, fits come from that cohort's budgets alone, and every fit is
+    scored on the test entities of each cohort: what its forecasts are worth elsewhere.
     """
     # fitted on, and scored on
     needed = dict.fromkeys([ID, cohort, *test_by, *features, "last_value", "running_mean", "target"])
@@ -40,6 +42,8 @@ def benchmark_cells(
         ).select(ID, cohort, "split")
     )
     pool = split.where(F.col("split") == "train").select(ID, cohort)
+    if fit_on is not None:
+        pool = pool.where(F.col(cohort) == F.lit(fit_on))
     members = sampling.budgets(pool, sizes, seeds, by=(cohort,))
     fit_members = members.where(F.col("role") == "fit").select(
         ID, "subset_seed", "n_train"
@@ -51,7 +55,12 @@ def benchmark_cells(
     fits = fit_ridge(rows, features, "target", by=cell, alpha=alpha)
 
     test = examples.join(split.where(F.col("split") == "test").select(ID), ID)
-    scored = test.join(F.broadcast(fits) if cells <= MAX_BROADCAST_CELLS else fits, cohort)
+    if fit_on is not None:
+        # one row: the fits of all seeds and sizes, for every test example
+        every = fits.drop(cohort).agg(F.collect_list(F.struct("subset_seed", "n_train", "coefficients", "intercept")).alias("_fits"))
+        scored = test.join(F.broadcast(every)).select("*", F.explode("_fits").alias("_fit")).select("*", "_fit.*")
+    else:
+        scored = test.join(F.broadcast(fits) if cells <= MAX_BROADCAST_CELLS else fits, cohort)
     x = F.array(*[F.col(f).cast("double") for f in features])
     terms = F.zip_with(x, F.col("coefficients"), lambda a, b: a * b)
     ridge = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) + F.col("intercept")

@@ -102,13 +102,26 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.json(path)
 
 
-def read_cell_summaries(spark: SparkSession, path: str, plan: DataFrame, schema: T.StructType) -> DataFrame:
-    """One JSON object per cell, prefixed with the planned identity of its file's cell."""
-    files = read_files(spark, path)
-    rows = files.select(
-        cell_of_path(F.col("path")).alias("cell_id"), F.from_json("content", schema).alias("s")
+def read_cell_summaries(spark: SparkSession, path: str, plan: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """One JSON object per planned cell, prefixed with the cell's planned identity.
+
+    Every planned cell has a row; ``summary_status`` is ``ok``, ``missing`` (no file), ``unreadable`` (no JSON object
+    of the schema) or ``repeated`` (several files, a row each).
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    corrupt = "_corrupt_record"
+    parsed = F.from_json("content", T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]), {"columnNameOfCorruptRecord": corrupt})
+    rows = read_files(spark, path).select(cell_of_path(F.col("path")).alias("cell_id"), parsed.alias("s"))
+    copies = rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = plan.join(rows.withColumn("_found", F.lit(True)), "cell_id", "left").join(copies, "cell_id", "left")
+    bad = F.col("s").isNull() | F.col(f"s.{corrupt}").isNotNull()
+    status = (
+        F.when(F.col("_found").isNull(), "missing")
+        .when(bad, "unreadable")
+        .when(F.col("_copies") > 1, "repeated")
+        .otherwise("ok")
     )
-    return plan.join(rows, "cell_id").select(*plan.columns, "s.*")
+    return rows.select(*plan.columns, *[F.col(f"s.{f.name}") for f in schema.fields], status.alias("summary_status"))
 
 
 def read_cell_traces(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

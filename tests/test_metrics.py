@@ -156,3 +156,18 @@ def test_balanced_logistic_minimises_the_weighted_loss(spark):
     best = loss(a, b)
     for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)):
         assert loss(a + da, b + db) >= best - 1e-6
+
+
+@pytest.mark.parametrize("wide", [0, 8])
+def test_moments_use_complete_rows_only(spark, monkeypatch, wide):
+    monkeypatch.setattr(metrics, "WIDE", wide)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 3))
+    rows = [[None if rng.random() < 0.2 and j == 1 else float(v) for j, v in enumerate(r)] for r in x]
+    rows[0][2] = float("nan")
+    out = metrics.moments(spark.createDataFrame(rows, "a double, b double, c double"), [], ["a", "b", "c"]).first()
+    whole = np.array([r for r in rows if None not in r and r[2] == r[2]])
+    centred = whole - whole.mean(0)
+    assert out.n == len(whole) < 50
+    np.testing.assert_allclose(out.means, whole.mean(0), atol=1e-12)
+    np.testing.assert_allclose(metrics.unpack(np.array(out.cross), 3), centred.T @ centred, atol=1e-9)

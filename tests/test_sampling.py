@@ -132,3 +132,16 @@ def test_plan_hash_tells_separators_and_nulls_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), ("", None), (None, "")]
     plans = [spark.createDataFrame([r], "x string, y string") for r in rows]
     assert len({grids.plan_hash(p, ["x", "y"]).first().plan_sha256 for p in plans}) == 4
+
+
+def test_short_pools_and_repeated_entities_are_not_passed_over(spark):
+    pool = spark.range(8).select(F.col("id").cast("string").alias("patient_id"))
+    out = sampling.budgets(pool, [5, 10], [1, 2])
+    short = out.where("role = 'shortfall'").select("subset_seed", "n_train", "patient_id").collect()
+    assert sorted(tuple(r) for r in short) == [(1, 10, None), (2, 10, None)]
+    assert out.where("n_train = 5").count() == 10
+    assert sampling.budgets(pool.limit(0), [5], [1]).collect()[0].role == "shortfall"
+    assert sampling.sample_entities(pool, 8, 1).count() == 8
+    for action in (sampling.sample_entities(pool, 9, 1), sampling.split_entities(pool.union(pool))):
+        with pytest.raises(Exception, match="wanted from a pool|are repeated"):
+            action.collect()

@@ -88,9 +88,14 @@ def test_traces_take_their_identity_from_the_name(spark, tmp_path):
 
 def test_summaries_join_their_plan(spark, tmp_path):
     write(tmp_path / f"{NAME}.json", '{"stop_epoch": 7}')
-    plan = spark.createDataFrame([(NAME, "w")], "cell_id string, world string")
+    write(tmp_path / "torn.json", '{"stop_epoch": ')
+    write(tmp_path / "again" / f"{NAME}2.json", '{"stop_epoch": 8}')
+    write(tmp_path / f"{NAME}2.json", '{"stop_epoch": 9}')
+    plan = spark.createDataFrame([(NAME, "w"), (f"{NAME}2", "w"), ("torn", "w"), ("gone", "w")], "cell_id string, world string")
     out = cells.read_cell_summaries(spark, str(tmp_path), plan, "stop_epoch BIGINT")
-    assert tuple(out.first()) == (NAME, "w", 7)
+    assert sorted(tuple(r) for r in out.fillna(-1).collect()) == sorted(
+        [(NAME, "w", 7, "ok"), (f"{NAME}2", "w", 8, "repeated"), (f"{NAME}2", "w", 9, "repeated"), ("torn", "w", -1, "unreadable"), ("gone", "w", -1, "missing")]
+    )
 
 
 def test_collecting_reports_unplanned_and_duplicate_rows(spark):
