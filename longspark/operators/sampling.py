@@ -33,7 +33,7 @@ def ranked(
 
 def _refused(rows: DataFrame, problem: DataFrame) -> DataFrame:
     """``rows``, or an error when it runs: ``problem`` is one row with ``problem``, null if all is well."""
-    fails = F.when(F.col("problem").isNotNull(), F.raise_error("problem").cast("boolean")).otherwise(F.lit(True))
+    fails = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(F.lit(True))
     return rows.join(F.broadcast(problem)).where(fails).drop("problem")
 
 
