@@ -59,7 +59,8 @@ def _counts_differ(a: Column, b: Column) -> Column:
     """A lower bound of twice the edits between the lines."""
 
     def differ(i: int) -> Column:
-        d = (F.shiftrightunsigned(a, 8 * i) - F.shiftrightunsigned(b, 8 * i)).bitwiseAND(255)
+        count = lambda x: F.shiftrightunsigned(x, 8 * i).bitwiseAND(255)
+        d = (count(a) - count(b)).bitwiseAND(255)
         return F.least(d, 256 - d)
 
     return reduce(lambda x, y: x + y, [differ(i) for i in range(len(_LETTERS))])

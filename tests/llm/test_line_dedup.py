@@ -57,3 +57,13 @@ def test_odd_rows(spark):
     assert got == {1: (line, 0, 0), 2: ("", 1, 0), 3: ("", 1, 0), 4: ("short", 1, 1), 5: ("", 0, 0), 6: (None, 0, 0)}
     assert line_dedup.dedup_lines(docs).where("doc_id = 3").first().near == 4
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_counts_of_any_letters(spark):
+    lines = ["r" * 200 + "e" * 300, "e" * 10, "r" * 255, "r" * 256 + "e" * 255, ""]
+    pairs = [(a, b) for a in lines for b in lines]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    counts = [line_dedup._letter_counts(F.col(c)) for c in "ab"]
+    for r in df.select("a", "b", line_dedup._counts_differ(*counts).alias("d")).collect():
+        gaps = [abs(r.a.count(c) - r.b.count(c)) % 256 for c in "er"]
+        assert r.d == sum(min(g, 256 - g) for g in gaps)
