@@ -204,19 +204,17 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits:
     are equal lose the same lines, other columns stay; columns of the given names are replaced.
     """
     gone = materialize(removals(docs, id_, text, edits))
+    gone = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in gone.columns])
     docs = docs.drop("n_lines", "n_exact", "n_near")
-    doc = F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("hash"))
-    rows = docs.withColumn("_doc", doc)
+    rows = docs.withColumn("_doc", F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("hash")))
     # null-safe: an id of null is a key like any other
-    rows = rows.join(broadcast_if_small(gone, 50_000), F.col("_doc").eqNullSafe(F.col("doc")), "left")
-    out = F.concat(F.col("exact"), F.col("near"))
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_out", i))
-    rows = rows.withColumn("_out", out).withColumns(
-        {
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long"),
-            "n_exact": F.when(F.col("exact").isNull(), 0).otherwise(F.size("exact")).cast("long"),
-            "n_near": F.when(F.col("near").isNull(), 0).otherwise(F.size("near")).cast("long"),
-        }
+    rows = rows.join(broadcast_if_small(gone, 50_000), F.col("_doc").eqNullSafe(F.col("_gone_doc")), "left")
+    lines = F.split(F.col(text), "\n", -1)
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.concat("_gone_exact", "_gone_near"), i))
+    lost = F.col("_gone_doc").isNotNull()
+    return rows.select(
+        *[F.when(lost, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(lost, F.size("_gone_exact")).otherwise(0).cast("long").alias("n_exact"),
+        F.when(lost, F.size("_gone_near")).otherwise(0).cast("long").alias("n_near"),
     )
-    rows = rows.withColumn(text, F.when(F.col("_out").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return rows.select(*docs.columns, "n_lines", "n_exact", "n_near")
