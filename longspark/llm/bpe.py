@@ -16,6 +16,7 @@ import base64
 import codecs
 import re
 from array import array
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -262,9 +263,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
     data = _rank_data(docs, rank_file)
 
     @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = worker_cache(f"encoder {rank_file} {pattern}", lambda: Encoder(read_ranks(data.value), pattern))
-        return pd.Series([encoder.encode(t) for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
 
     return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
 
@@ -273,10 +275,12 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", text: str = "decoded
     """Add ``text``: packed ids turned back into text; null and empty ids give an empty text."""
     data = _rank_data(df, rank_file)
 
+    # an iterator function is never evaluated within another: the ids are computed once
     @F.pandas_udf("string")
-    def run(packed: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = worker_cache(f"decoder {rank_file}", lambda: Decoder(read_ranks(data.value)))
-        return pd.Series([decoder.decode(bytes(p)) if p is not None else "" for p in packed], dtype=object)
+        for packed in batches:
+            yield pd.Series([decoder.decode(bytes(p)) if p is not None else "" for p in packed], dtype=object)
 
     return df.withColumn(text, run(F.col(ids)))
 
