@@ -42,7 +42,7 @@ WITH RECURSIVE tags AS (
 ), targets AS (
   SELECT url, replace(CASE
     WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>;]+)', 1)
+    WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1)
     END, '&amp;', '&') AS target FROM tags
 ), links AS (
   SELECT regexp_replace(url, '#.*$', '') AS a, regexp_replace(target, '#.*$', '') AS b FROM targets WHERE contains(target, '://')
@@ -245,7 +245,7 @@ WITH known(id, sentence) AS (VALUES {known}
 ), hits AS (
   SELECT doc_id, kind, string_agg(id, '' ORDER BY i) AS ids
   FROM cut JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL
-), best AS (SELECT doc_id, arg_min(ids, kind) AS ids FROM hits GROUP BY 1
+), best AS (SELECT doc_id, arg_max(ids, 2 * length(ids) - kind) AS ids FROM hits GROUP BY 1
 ), r0 AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS l0 FROM docs LEFT JOIN best USING (doc_id)
 ), {", ".join(steps)}
 SELECT doc_id, ids AS sentence_ids, array_to_string(list_filter(list_distinct_in_order, lambda x: x IS NOT NULL), ',') AS licenses

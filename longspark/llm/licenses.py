@@ -79,8 +79,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document row with ``sentence_ids`` and ``licenses``: the names of the rules that match, in the order
     of the rules, joined by commas; both empty where nothing is known.
 
-    Long licence texts may wrap their lines: sentences are looked up line by line and, where that finds
-    nothing, in the text with single line ends taken as spaces. Null texts have no licence. Equal rows and
+    Long licence texts may wrap their lines: sentences are looked up line by line and in the text with single
+    line ends taken as spaces, and what finds more is taken, the lines on a tie. Null texts have no licence. Equal rows and
     other columns stay; columns of the given names are replaced.
     """
     docs = docs.drop("sentence_ids", "licenses")
@@ -89,7 +89,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     by_line = F.when(hint, identifiers(body)).otherwise(F.lit(""))
     out = docs.withColumn("_ids", by_line)
     unwrapped = identifiers(F.regexp_replace(body, r"(?<![\n\r])\r?\n(?![\n\r])", " "))
-    out = out.withColumn("sentence_ids", F.when(hint & (F.col("_ids") == ""), unwrapped).otherwise(F.col("_ids")))
+    out = out.withColumn("_wrapped", F.when(hint, unwrapped).otherwise(F.lit("")))
+    more = F.length("_wrapped") > F.length("_ids")
+    out = out.withColumn("sentence_ids", F.when(more, F.col("_wrapped")).otherwise(F.col("_ids")))
     # each rule takes what it matches, and leaves a mark that nothing matches across
     state = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<string>").alias("names"))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])

@@ -29,7 +29,7 @@ _TAG = r"(?i)<(?:link|meta)\s[^>]*>"
 _CANONICAL = r"""(?i)\srel\s*=\s*["']?canonical\b"""
 _REFRESH = r"""(?i)\shttp-equiv\s*=\s*["']?refresh\b"""
 _HREF = r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?i)url\s*=\s*["']?([^"'\s>;]+)"""
+_TARGET = r"""(?i)url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host(url: Column) -> Column:
