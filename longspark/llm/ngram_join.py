@@ -211,7 +211,8 @@ def components(
     able = sets.where("doc is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
     classes = broadcast_if_small(materialize(classes.select("digest", "rep")))
-    members = sets.select("doc", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc"))
+    members = sets.select("doc", "n", "digest").join(classes, "digest", "left")
+    members = members.withColumn("rep", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")))
     alone = able.join(classes, "digest", "left_anti").select("doc", "n", "short")
     heads = able.join(classes, "digest").where("doc = rep")
     heads = heads.dropDuplicates(["digest", "doc"]).select("doc", "n", "short")
