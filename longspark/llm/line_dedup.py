@@ -24,21 +24,20 @@ EDITS = 2
 MIN_CHARS = 20
 #: Letters whose counts are compared before any text is.
 _LETTERS = "etnaoisr"
+#: Characters of the blocks in which a common beginning is left out.
+_SAME = 16
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """First place (from 0) and size of a segment; later segments take the rest of the division."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    longer = length - base * (edits + 1)  # so many, the last ones, are one longer
-    before = F.greatest(F.lit(0), F.lit(number - 1 - (edits + 1)) + longer)
-    size = base + F.when(F.lit(number) > F.lit(edits + 1) - longer, 1).otherwise(0)
-    return base * (number - 1) + before, size
+def _key(line: Column, length: Column, number: Column, shift: Column, edits: int) -> Column:
+    """The key of segment ``number`` (from 1) of a line of ``length``, read in ``line`` at its place plus ``shift``.
 
-
-def _key(line: Column, length: Column, number: int, shift: int, edits: int) -> Column:
-    """The key of segment ``number`` of a line of ``length``, read in ``line`` at its place plus ``shift``."""
-    at, size = _segment(length, number, edits)
-    return F.xxhash64(F.lit(number), length, F.substring(line, at + shift + 1, size))
+    The last segments, as many as the division leaves, are one character longer.
+    """
+    base = F.call_function("div", length, F.lit(edits + 1)).cast("int")
+    plain = edits + 1 - (length - base * (edits + 1))  # segments that are not longer
+    at = base * (number - 1) + F.greatest(F.lit(0), number - 1 - plain)
+    size = base + (number > plain).cast("int")
+    return F.xxhash64(number, length, F.substring(line, at + shift + 1, size))
 
 
 def shifts(number: int, shorter: int, edits: int) -> range:
@@ -67,11 +66,13 @@ def _counts_differ(a: Column, b: Column) -> Column:
 
 
 def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
-    """Edit distance of two strings whose lengths differ by ``edits`` at most; exact up to ``edits``.
+    """Edit distance of two strings whose lengths differ by ``edits`` at most; exact up to ``edits``,
+    above it some larger number.
 
     The band of 2 * edits + 1 diagonals moves one row with every character; its vertical differences are
     bits of two numbers. Along the diagonal of the last cell the distance grows where the diagonal
-    difference is not zero.
+    difference is not zero; once it is over ``edits`` the rest is passed over. What both begin with is left
+    out beforehand, in blocks.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
@@ -104,7 +105,7 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
                     (acc["far"] + grows).alias("far"),
                 )
 
-            return _let(F.struct(x.alias("x")), with_x)
+            return F.when(acc["far"] > edits, acc).otherwise(_let(F.struct(x.alias("x")), with_x))
 
         gap = F.length(longer) - F.length(shorter)
         start = F.struct(
@@ -116,8 +117,24 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
         )
         return F.aggregate(column, start, go, lambda acc: acc["far"])
 
-    letters = F.struct(F.split(longer, "").alias("a"), F.split(shorter, "").alias("b"))
-    return _let(letters, lambda s: step(s["a"], F.filter(s["b"], lambda c: c != "")))
+    def rest(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        blocks = F.sequence(F.lit(0), F.floor(F.length(b) / _SAME).cast("int"))
+        same = F.aggregate(
+            blocks,
+            F.lit(0),
+            lambda n, i: F.when(
+                (n == i * _SAME) & (n + _SAME <= F.length(b)) & (F.substring(a, n + 1, F.lit(_SAME)) == F.substring(b, n + 1, F.lit(_SAME))),
+                n + _SAME,
+            ).otherwise(n),
+        )
+        return _let(same, lambda n: F.struct(F.substring(a, n + 1, F.length(a)).alias("a"), F.substring(b, n + 1, F.length(b)).alias("b")))
+
+    def measured(tails: Column) -> Column:
+        letters = F.struct(F.split(tails["a"], "").alias("a"), F.split(tails["b"], "").alias("b"))
+        return _let(letters, lambda s: step(s["a"], F.filter(s["b"], lambda c: c != "")))
+
+    return _let(F.struct(longer.alias("a"), shorter.alias("b")), lambda both: _let(rest(both), measured))
 
 
 def _let(value: Column, use) -> Column:
@@ -139,18 +156,19 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     ``lines`` holds each line once: (h, line).
     """
-    size = F.length("line")
-    rows = lines.select("h", "line", size.alias("len"), _letter_counts(F.col("line")).alias("letters"))
-    own = [_key(F.col("line"), F.col("len"), i, 0, edits) for i in range(1, edits + 2)]
-    others = [
-        F.when(F.col("len") - d >= MIN_CHARS, _key(F.col("line"), F.col("len") - d, i, s, edits))
-        for d in range(edits + 1)
-        for i in range(1, edits + 2)
-        for s in shifts(i, d, edits)
-    ]
-    index = rows.select(F.explode(F.array(*own)).alias("key"), F.col("h").alias("a"), F.col("letters").alias("la"))
-    probe = rows.select(F.explode(F.array(*others)).alias("key"), F.col("h").alias("b"), F.col("letters").alias("lb"))
-    met = index.join(probe.where("key is not null"), "key")
+    rows = lines.select("h", "line", F.length("line").alias("len"), _letter_counts(F.col("line")).alias("letters"))
+    # a row per key to compute, so that the generated code stays small enough to be compiled
+    own = [(i, 0, 0) for i in range(1, edits + 2)]
+    others = [(i, d, s) for d in range(edits + 1) for i in range(1, edits + 2) for s in shifts(i, d, edits)]
+
+    def keyed(which: list[tuple[int, int, int]], names: tuple[str, str]) -> DataFrame:
+        wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(s).alias("s")) for i, d, s in which])
+        each = rows.select("*", F.explode(wanted).alias("w")).where(F.col("len") - F.col("w.d") >= MIN_CHARS)
+        key = _key(F.col("line"), F.col("len") - F.col("w.d"), F.col("w.i"), F.col("w.s"), edits)
+        return each.select(key.alias("key"), F.col("h").alias(names[0]), F.col("letters").alias(names[1]))
+
+    index, probe = keyed(own, ("a", "la")), keyed(others, ("b", "lb"))
+    met = index.join(probe, "key")
     met = met.where((F.col("a") != F.col("b")) & (_counts_differ(F.col("la"), F.col("lb")) <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -208,7 +226,7 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits:
     docs = docs.drop("n_lines", "n_exact", "n_near")
     rows = docs.withColumn("_doc", F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("hash")))
     # null-safe: an id of null is a key like any other
-    rows = rows.join(broadcast_if_small(gone, 50_000), F.col("_doc").eqNullSafe(F.col("_gone_doc")), "left")
+    rows = rows.join(broadcast_if_small(gone, 200_000), F.col("_doc").eqNullSafe(F.col("_gone_doc")), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.concat("_gone_exact", "_gone_near"), i))
     lost = F.col("_gone_doc").isNotNull()
