@@ -35,7 +35,7 @@ SKETCH_BITS = 21
 _BLOCK = 1 << 13
 #: Members that are compared with one copy of a list's centre.
 MEMBERS = 500
-#: Rounds with one centre a list, as long as they leave more pairs than list entries.
+#: Rounds with one centre a list at most, as long as they find links and leave more pairs than list entries.
 ROUNDS = 4
 
 _KNOWN_WORDS = 400_000
@@ -165,7 +165,6 @@ def _linked(docs: DataFrame, pairs: DataFrame, id_: str, text: str, size: int, s
 
     A ``q`` with many partners is copied once for every ``MEMBERS`` of them, so none fills a task.
     """
-    pairs = materialize(pairs)
     slots = pairs.groupBy("q").agg(F.ceil(F.count("*") / MEMBERS).alias("slots"))
     salted = pairs.join(slots, "q").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("slots")))
     salted = materialize(salted.select("q", "salt", "doc"))
@@ -232,7 +231,7 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
     """Links that connect whatever the lists' members are connected by."""
     weight = live.groupBy("doc").agg(F.sum("length").alias("weight"))
     open_ = materialize(live.join(weight, "doc").withColumn("part", F.col("doc")))
-    links = None
+    links, few = None, False
     for turn in range(ROUNDS + 1):
         parts = open_.groupBy("token", "part").agg(F.count("*").alias("m"))
         largest = parts.groupBy("token").agg(
@@ -245,7 +244,7 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
         ).first()
         if not entries:
             break
-        last = turn == ROUNDS or left <= 2 * entries
+        last = turn == ROUNDS or few or left <= 2 * entries
         if last:
             asking = rows.where("part <> main").select("token", F.col("doc").alias("q"), F.col("n").alias("nq"), F.col("part").alias("pq"))
             pairs = rows.join(asking, "token").where("part <> pq and (part = main or q < doc)")
@@ -255,7 +254,10 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
             centres = centres.select("token", F.col("c.doc").alias("q"), F.col("c.n").alias("nq"), F.col("c.part").alias("pq"))
             pairs = rows.join(centres, "token").where("part <> pq")
         pairs = pairs.where(_similar_size("n", "nq", similarity)).select("q", "doc").distinct()
+        pairs = materialize(pairs)
         found = _linked(docs, pairs, id_, text, size, similarity)
+        # where centres link little, further centres would not either
+        few = 20 * found.count() < pairs.count()
         links = found if links is None else materialize(links.union(found))
         if last:
             break
