@@ -195,7 +195,7 @@ def safe_corr(
     ranked = average_ranks(ranked, by, y, "_ry", group_bound=bound)
     spearman = ranked.groupBy(*by).agg(*resample._corr_parts("_rx", "_ry"))
     spearman = spearman.select(*by, resample.safe_pearson(least).alias("spearman"))
-    return pearson.join(spearman, by)
+    return resample.beside(pearson, spearman, by)
 
 
 def leave_one_out(

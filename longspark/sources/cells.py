@@ -125,8 +125,11 @@ def read_cell_summaries(spark: SparkSession, path: str, plan: DataFrame, schema:
 
 
 def read_cell_traces(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The CSV traces of a directory, with the identity columns of each file's name."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    """The CSV traces of a directory, with the identity columns of each file's name.
+
+    A file whose header does not name the columns of the schema in their order is an error when it is read.
+    """
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("enforceSchema", "false")
     rows = reader.csv(path, header=True)
     rows = rows.select("*", cell_of_path(F.col("_metadata.file_path")).alias("cell_id"))
     return rows.withColumns(parse_cell_name(F.col("cell_id")))

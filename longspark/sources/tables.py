@@ -44,26 +44,46 @@ def union_metrics(frames: list[DataFrame], order: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).orderBy(*order)
 
 
-def _pointer(spark: SparkSession, root: str) -> str:
-    return f"{root.rstrip('/')}/current"
+#: Rows of a table that is written as one file at most.
+SMALL_ROWS = 100_000
+
+
+def _published(spark: SparkSession, root: str) -> DataFrame | None:
+    """What has been published so far: (number, generation); None if nothing."""
+    try:
+        return spark.read.schema("number BIGINT, generation STRING").json(f"{root.rstrip('/')}/published")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest(spark: SparkSession, root: str):
+    log = _published(spark, root)
+    return None if log is None else log.orderBy(F.desc("number"), F.desc("generation")).first()
 
 
 def publish_tables(tables: dict[str, DataFrame], root: str, generation: str) -> None:
-    """Write all tables of one generation, then point readers to it.
+    """Write all tables of one generation, then add it to the list of what is published.
 
-    Readers follow the pointer, so they never see half a generation.
+    Readers take the entry with the highest number. Entries are only ever added, each by the commit of one
+    file: at any time a reader finds the last generation or the one before, and all of it.
     """
     spark = next(iter(tables.values())).sparkSession
     base = f"{root.rstrip('/')}/generation={generation}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
-    text = json.dumps({"generation": generation, "tables": sorted(tables)})
-    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(_pointer(spark, root))
+    last = _latest(spark, root)
+    entry = {"number": 0 if last is None else last.number + 1, "generation": generation, "tables": sorted(tables)}
+    rows = spark.range(1).select(F.lit(json.dumps(entry)).alias("value"))
+    rows.coalesce(1).write.mode("append").text(f"{root.rstrip('/')}/published")
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    state = json.loads(spark.read.text(_pointer(spark, root)).first()[0])
-    return spark.read.parquet(f"{root.rstrip('/')}/generation={state['generation']}/{name}")
+    last = _latest(spark, root)
+    if last is None:
+        raise ValueError(f"nothing is published in {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/generation={last.generation}/{name}")
 
 
 def write_once(df: DataFrame, path: str) -> bool:
@@ -88,8 +108,13 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def write_tables(df: DataFrame, path: str, order: list[str], *, small: bool = False) -> None:
-    """A sorted table: one CSV file when it is known to be small, else sorted Parquet files."""
+    """A sorted table: one CSV file if ``small``, else sorted Parquet files.
+
+    A table of more than ``SMALL_ROWS`` rows is not small: an error.
+    """
     if small:
+        if df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+            raise ValueError(f"more than {SMALL_ROWS} rows for one file")
         df.orderBy(*order).coalesce(1).write.csv(path, header=True)
     else:
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)

@@ -167,3 +167,9 @@ def test_leave_one_out_counts(spark):
     out = variance.leave_one_out(df, ["g"], "i_", "j_", "x", "y")
     assert {(r.omitted_axis, r.n) for r in out.collect()} == {("context", 40), ("model", 45)}
     assert out.count() == 15
+
+
+def test_correlation_of_a_whole_table(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0), (4.0, 7.5)], "x double, y double")
+    out = variance.safe_corr(df, [], "x", "y").first()
+    assert out.n == 4 and out.spearman == pytest.approx(1.0) and out.pearson == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 4, 7, 7.5])[0, 1])

@@ -86,15 +86,29 @@ def test_traces_take_their_identity_from_the_name(spark, tmp_path):
     assert (row.loss, row.cell_id, row.cohort_seed, row.model_seed, row.n_train, row.variant) == (0.4, NAME, 1, 3, 5, "m__none")
 
 
+def test_traces_with_columns_in_another_order_are_refused(spark, tmp_path):
+    write(tmp_path / "traces" / f"{NAME}.csv", "loss,epoch\n0.5,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        cells.read_cell_traces(spark, str(tmp_path / "traces"), "epoch BIGINT, loss DOUBLE").collect()
+
+
+def test_readers_follow_the_last_published_generation(spark, tmp_path):
+    with pytest.raises(ValueError, match="nothing is published"):
+        tables.read_published(spark, str(tmp_path), "t")
+    for n, name in enumerate(("b", "a", "c")):
+        tables.publish_tables({"t": spark.range(n + 1)}, str(tmp_path), name)
+        assert tables.read_published(spark, str(tmp_path), "t").count() == n + 1
+
+
 def test_summaries_join_their_plan(spark, tmp_path):
     write(tmp_path / f"{NAME}.json", '{"stop_epoch": 7}')
-    write(tmp_path / "torn.json", '{"stop_epoch": ')
+    write(tmp_path / f"{NAME}3.json", '{"stop_epoch": ')
     write(tmp_path / "again" / f"{NAME}2.json", '{"stop_epoch": 8}')
     write(tmp_path / f"{NAME}2.json", '{"stop_epoch": 9}')
-    plan = spark.createDataFrame([(NAME, "w"), (f"{NAME}2", "w"), ("torn", "w"), ("gone", "w")], "cell_id string, world string")
+    plan = spark.createDataFrame([(NAME, "w"), (f"{NAME}2", "w"), (f"{NAME}3", "w"), ("gone", "w")], "cell_id string, world string")
     out = cells.read_cell_summaries(spark, str(tmp_path), plan, "stop_epoch BIGINT")
     assert sorted(tuple(r) for r in out.fillna(-1).collect()) == sorted(
-        [(NAME, "w", 7, "ok"), (f"{NAME}2", "w", 8, "repeated"), (f"{NAME}2", "w", 9, "repeated"), ("torn", "w", -1, "unreadable"), ("gone", "w", -1, "missing")]
+        [(NAME, "w", 7, "ok"), (f"{NAME}2", "w", 8, "repeated"), (f"{NAME}2", "w", 9, "repeated"), (f"{NAME}3", "w", -1, "unreadable"), ("gone", "w", -1, "missing")]
     )
 
 
