@@ -26,3 +26,23 @@ def test_entry_runs_anywhere(tmp_path):
         [sys.executable, "-c", SCRIPT], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert "done" in out.stdout, out.stderr[-2000:]
+
+
+ALONE = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("longspark.llm"):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as entry
+from longspark.catalog import load
+assert entry.queries() == load()[0] and entry.oracle_sql() == load()[1] and len(entry.queries()) > 190
+print("done")
+"""
+
+
+def test_entry_does_without_the_corpus_operators(tmp_path):
+    out = subprocess.run([sys.executable, "-c", ALONE], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "done" in out.stdout, out.stderr[-2000:]
