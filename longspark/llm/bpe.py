@@ -5,9 +5,10 @@ neighbours do: merges inside tokens never look across a boundary that no merge c
 therefore a transducer over bytes whose threads are (place in the token trie, last token before it);
 a thread may end a token only if that token may follow the last one. Its subset construction is done
 lazily: a state is the set of live threads with the tokens they have not yet agreed on, a token is emitted
-as soon as all live threads share it, and the transitions met so far are kept. Since every prefix has one
+as soon as all live threads share it, and the transitions met first are kept. Since every prefix has one
 encoding, exactly one thread stands at a token boundary after each byte, and the lookahead is bounded by
-the threads' tokens. States are forgotten when there are too many and built anew; results do not change.
+the threads' tokens. When as many transitions are known as are kept, a piece that needs another one is run
+on from there with its threads; results do not change.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ from pyspark.sql import functions as F
 
 from longspark.llm.common import worker_cache
 
-#: Kept at most, per Python worker: transitions and pairs of the transducer, and twice so many
+#: Kept at most, per Python worker: transitions, pairs and merge traces of the transducer, and twice so many
 #: encodings of chunks.
 MAX_TRANSITIONS = 200_000
-MAX_PAIRS = 400_000
-MAX_TRACES = 20_000
-MAX_CHUNKS = 120_000
+MAX_PAIRS = 300_000
+MAX_TRACES = 40_000
+MAX_CHUNKS = 130_000
 #: Chunks of more characters are not kept.
 LONG_CHUNK = 40
 
 _NEVER = 1 << 40
+#: Rows handed back at once.
+_ROWS = 500
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -45,8 +48,8 @@ class Transducer:
     """Encodes pieces; see the module's text.
 
     A state is a tuple of threads (trie node, last token). Since one thread stands at a boundary after each
-    byte, the transition need only name its token: where a state has no other thread, all of them agree, and
-    the tokens up to there are read off backwards.
+    byte, the transition need only name its token: where all threads agree, at the latest at the end of the
+    piece, the tokens up to there are read off backwards.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -65,17 +68,14 @@ class Transducer:
                     token.append(-1)
             token[node] = rank
         self.child, self.token = child, token
-        self.inner = {key >> 8 for key in child}
+        self.inner = bytearray(len(token))
+        for key in child:
+            self.inner[key >> 8] = 1
         self.follows: dict[int, bool] = {}
         self.traces: dict[int, tuple | None] = {}
-        self._forget(((0, -1),))
-
-    def _forget(self, start: tuple) -> int:
-        """Drop all states; the number that ``start`` has from now on."""
         self.states = [((0, -1),)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int, bool]] = {}
-        return self._state(start)
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def _state(self, threads: tuple) -> int:
         known = self.number.get(threads)
@@ -85,7 +85,7 @@ class Transducer:
         return known
 
     def _trace(self, token: int, end: int) -> tuple | None:
-        """The merges of a token in their order: (rank, what stands at its left (0) or right (-1) end after).
+        """The merges of a token in their order: a rank, then what stands at its left (0) or right (-1) end.
 
         Starts with the byte at that end. None if the token does not encode to itself.
         """
@@ -93,15 +93,17 @@ class Transducer:
         if key not in self.traces:
             text = self.tokens[token]
             parts = [text[i : i + 1] for i in range(len(text))]
-            steps = [(_NEVER, parts[end])]
-            while len(parts) > 1:
-                pairs = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-                best = min(pairs)
-                if best == _NEVER:
-                    break
+            steps = [_NEVER, parts[end]]
+            pairs = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+            while pairs and (best := min(pairs)) != _NEVER:
                 at = pairs.index(best)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                steps.append((best, parts[end]))
+                del pairs[at]
+                if at:
+                    pairs[at - 1] = self.ranks.get(parts[at - 1] + parts[at], _NEVER)
+                if at < len(pairs):
+                    pairs[at] = self.ranks.get(parts[at] + parts[at + 1], _NEVER)
+                steps += (best, parts[end])
             if len(self.traces) > MAX_TRACES:
                 self.traces.clear()
             self.traces[key] = tuple(steps) if len(parts) == 1 else None
@@ -114,64 +116,83 @@ class Transducer:
         if known is None:
             if len(self.follows) > MAX_PAIRS:
                 self.follows.clear()
-            b = self._trace(right, 0)
-            known = b is not None and (left < 0 or self._stay_apart(self._trace(left, -1), b))
+            if left >= 0 and self.tokens[left] + self.tokens[right] in self.ranks:
+                known = False
+            else:
+                b = self._trace(right, 0)
+                known = b is not None and (left < 0 or self._stay_apart(self._trace(left, -1), b))
             self.follows[key] = known
         return known
 
     def _stay_apart(self, a: tuple, b: tuple) -> bool:
         """Side by side, both run through their own merges: no merge across comes first at any time."""
         rank = self.ranks.get
-        i, j, n, m = 1, 1, len(a), len(b)
-        across = rank(a[0][1] + b[0][1], _NEVER)
+        i, j, n, m = 2, 2, len(a), len(b)
         while True:
-            next_a = a[i][0] if i < n else _NEVER
-            next_b = b[j][0] if j < m else _NEVER
-            if across < next_a and across <= next_b and across != _NEVER:
+            across = rank(a[i - 1] + b[j - 1], _NEVER)
+            next_a = a[i] if i < n else _NEVER
+            next_b = b[j] if j < m else _NEVER
+            if across < next_a and across <= next_b:
                 return False
             if next_a == next_b == _NEVER:
                 return True
             if next_a <= next_b:
-                i += 1
+                i += 2
             else:
-                j += 1
-            across = rank(a[i - 1][1] + b[j - 1][1], _NEVER)
-
-    def _move(self, state: int, byte: int) -> tuple[int, int, bool]:
-        threads, boundary = [], -1
-        child, token, inner = self.child, self.token, self.inner
-        for node, last in self.states[state]:
-            node = child.get(node << 8 | byte)
+                j += 2
+
+    def _step(self, threads: list | tuple, byte: int) -> tuple[list, int]:
+        """The threads after a byte, the one at a boundary last, and the token that ends there."""
+        out, boundary = [], -1
+        child, token, inner, follows = self.child.get, self.token, self.inner, self.follows.get
+        for node, last in threads:
+            node = child(node << 8 | byte)
             if node is None:
                 continue
             t = token[node]
-            if t >= 0 and boundary < 0 and self.may_follow(last, t):
-                boundary = t
-            if node in inner:
-                threads.append((node, last))
-        agreed = not threads
-        threads.append((0, boundary))
-        move = self.moves[state << 8 | byte] = (self._state(tuple(threads)), boundary, agreed)
+            if t >= 0 and boundary < 0:
+                fits = follows(last << 32 | t)
+                if fits or (fits is None and self.may_follow(last, t)):
+                    boundary = t
+            if inner[node]:
+                out.append((node, last))
+        out.append((0, boundary))
+        return out, boundary
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition, which is kept: the next state and the token that ends."""
+        out, boundary = self._step(self.states[state], byte)
+        threads = tuple(out)
+        known = self.number.get(threads)
+        if known is None:
+            known = self.number[threads] = len(self.states)
+            self.states.append(threads)
+        move = self.moves[state << 8 | byte] = (known, boundary)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        if len(self.moves) > MAX_TRANSITIONS:
-            self._forget(self.states[0])
-        state, out, open_, moves = 0, [], [], self.moves
-        for byte in piece:
+        state, ends, moves = 0, [], self.moves
+        for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
-                if len(moves) > 2 * MAX_TRANSITIONS:  # within one very long piece
-                    state = self._forget(self.states[state])
-                    moves = self.moves
+                if len(moves) >= MAX_TRANSITIONS:
+                    return self._run_on(self.states[state], piece, at, ends)
                 move = self._move(state, byte)
-            state, token, agreed = move
-            open_.append(token)
-            if agreed and len(open_) > 64:
-                out += self._read_off(open_)
-                open_ = []
-        return out + self._read_off(open_)
+            state, token = move
+            ends.append(token)
+        return self._read_off(ends)
+
+    def _run_on(self, threads: tuple | list, piece: bytes, at: int, ends: list[int]) -> list[int]:
+        """The ids of a piece whose first ``at`` bytes have been run; long ones are read off on the way."""
+        out, step = [], self._step
+        for byte in piece[at:]:
+            threads, token = step(threads, byte)
+            ends.append(token)
+            if len(ends) > 4096 and len(threads) == 1:  # all agree
+                out += self._read_off(ends)
+                ends = []
+        return out + self._read_off(ends)
 
     def _read_off(self, ends: list[int]) -> list[int]:
         """The tokens of an agreed stretch, from the token that ends at each of its bytes."""
@@ -203,7 +224,11 @@ class _Recent(dict):
 
 
 class Encoder:
-    """Encodes texts: pieces by the pattern, each piece by the transducer."""
+    """Encodes texts: pieces by the pattern, each piece by the transducer.
+
+    The pattern is one of the usual kind: letters with a space before them are a piece, so are punctuation
+    marks, and a piece starts at every space that a non-space follows. Texts are cut into chunks there.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -212,17 +237,26 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.unsafe = re.compile(r" (?=\s|\Z)").search
         self.split = re.compile(r" (?=\S)").split
-        self.piece = _Recent(lambda p: array("I", self.transducer.encode(p.encode())).tobytes())
-        self.chunk = _Recent(lambda c: self.pieces(" " + c))
+        self.mark = {m: self._piece(m) for m in ".,;:!?"}
+        self.chunk = _Recent(self._chunk)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.transducer.encode(piece.encode())).tobytes()
 
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.find(text)))
+        return b"".join(map(self._piece, self.find(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk with the space before it; letters, and letters with a mark, are no work for the pattern."""
+        if chunk.isalpha():
+            return self._piece(" " + chunk)
+        mark = self.mark.get(chunk[-1:])
+        if mark is not None and chunk[:-1].isalpha():
+            return self.chunk[chunk[:-1]] + mark
+        return self.pieces(" " + chunk)
 
-        A piece starts at every space that a non-space follows, so a text falls into chunks there.
-        """
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         chunks = self.split(text) if self.unsafe(text) else text.split(" ")
@@ -266,7 +300,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = worker_cache(f"encoder {rank_file} {pattern}", lambda: Encoder(read_ranks(data.value), pattern))
         for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
+            for at in range(0, len(texts), _ROWS):
+                yield pd.Series([encoder.encode(t) for t in texts[at : at + _ROWS]], dtype=object)
 
     return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
 
@@ -280,7 +315,8 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", text: str = "decoded
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = worker_cache(f"decoder {rank_file}", lambda: Decoder(read_ranks(data.value)))
         for packed in batches:
-            yield pd.Series([decoder.decode(bytes(p)) if p is not None else "" for p in packed], dtype=object)
+            for at in range(0, len(packed), _ROWS):
+                yield pd.Series([decoder.decode(p) if p is not None else "" for p in packed[at : at + _ROWS]], dtype=object)
 
     return df.withColumn(text, run(F.col(ids)))
 
