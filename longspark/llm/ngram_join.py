@@ -9,8 +9,9 @@ estimated by a sketch of fixed size over all documents; any order of the lists g
 Only the components of the links are wanted, so not every pair of a list is a candidate. Equal sets are
 one class. In each list the member with the longest lists (the centre of a group of near copies) is
 compared with the others; a list whose members are then in one component is done. In the other lists, all
-members outside the list's largest component are compared with everyone of another component, which
-leaves no pair of different components unseen.
+members outside the list's largest component are queries against all members of lists with that component,
+which leaves no pair of different components unseen. Blocks of queries have an inverted index of their own;
+a text travels once for a block, not for a pair.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ SKETCH_BITS = 21
 _BLOCK = 1 << 13
 #: Members that are compared with one copy of a list's centre.
 MEMBERS = 500
+#: Queries of a block, and members that are searched with one copy of a block.
+BLOCK = 256
+SEARCHED = 2000
 #: Rounds with one centre a list at most, as long as they find links and leave more pairs than list entries.
 ROUNDS = 4
 
@@ -197,6 +201,66 @@ def _linked(docs: DataFrame, pairs: DataFrame, id_: str, text: str, size: int, s
     return materialize(rows.select("q", "salt", "kind", "id", "text").mapInArrow(probe, "q long, doc long"))
 
 
+def _searched(
+    docs: DataFrame, members: DataFrame, asking: DataFrame, id_: str, text: str, size: int, similarity: int
+) -> DataFrame:
+    """The similar pairs (q, doc) of the queries ``asking`` and the ``members`` of the same ``main``."""
+    blocks = asking.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    shares = members.groupBy("main").agg(F.ceil(F.count("*") / SEARCHED).alias("shares"))
+    dealt = materialize(blocks.join(shares, "main"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    queries = asking.join(dealt, "main").select(
+        F.col("doc").alias("id"), "main", own("blocks").alias("block"), spread("shares").alias("share"), F.lit(0).alias("kind")
+    )
+    others = members.join(dealt, "main").select(
+        F.col("doc").alias("id"), "main", spread("blocks").alias("block"), own("shares").alias("share"), F.lit(1).alias("kind")
+    )
+    need = materialize(queries.union(others))
+    texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
+    keys = ["main", "block", "share"]
+    rows = texts.join(broadcast_if_small(need), "id").repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, sets, names, index = worker_cache("shingle words", _Hashes), None, [], [], None
+        for batch in batches:
+            found = []
+            for main, block, share, kind, doc, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if at != (main, block, share):
+                    at, sets, names, index = (main, block, share), [], [], None
+                own = shingle_set(t, size, hashes)
+                if kind == 0:
+                    sets.append(own)
+                    names.append(doc)
+                elif sets and len(own):
+                    index = index or _inverted(sets)
+                    found += [(names[i], doc) for i in _occurring(index, own, similarity) if names[i] != doc]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["q", "doc"]
+            )
+
+    return materialize(rows.select(*keys, "kind", "id", "text").mapInArrow(search, "q long, doc long"))
+
+
+def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted shingles of several sets, the set of each, and the sizes of the sets."""
+    sizes = np.array([len(s) for s in sets])
+    shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    return shingles[order], owner[order], sizes
+
+
+def _occurring(index: tuple, own: np.ndarray, similarity: int) -> np.ndarray:
+    """Which sets occur often enough in the lists of ``own``'s shingles."""
+    shingles, owner, sizes = index
+    first, end = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+    lengths = end - first
+    before = np.cumsum(lengths) - lengths
+    places = np.repeat(first - before, lengths) + np.arange(int(lengths.sum()))
+    both = np.bincount(owner[places], minlength=len(sizes))
+    return np.flatnonzero(100 * both >= similarity * (sizes + len(own) - both))
+
+
 def components(
     docs: DataFrame, id_: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -246,21 +310,21 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
             break
         last = turn == ROUNDS or few or left <= 2 * entries
         if last:
-            asking = rows.where("part <> main").select("token", F.col("doc").alias("q"), F.col("n").alias("nq"), F.col("part").alias("pq"))
-            pairs = rows.join(asking, "token").where("part <> pq and (part = main or q < doc)")
-        else:
-            centre = F.max(F.struct(F.col("part") != F.col("main") if turn else F.lit(True), "weight", "doc", "n", "part")).alias("c")
-            centres = rows.groupBy("token").agg(centre)
-            centres = centres.select("token", F.col("c.doc").alias("q"), F.col("c.n").alias("nq"), F.col("c.part").alias("pq"))
-            pairs = rows.join(centres, "token").where("part <> pq")
+            asking = materialize(rows.where("part <> main").select("main", "doc").distinct())
+            members = materialize(rows.select("main", "doc").distinct())
+            found = _searched(docs, members, asking, id_, text, size, similarity)
+            links = found if links is None else materialize(links.union(found))
+            break
+        centre = F.max(F.struct(F.col("part") != F.col("main") if turn else F.lit(True), "weight", "doc", "n", "part")).alias("c")
+        centres = rows.groupBy("token").agg(centre)
+        centres = centres.select("token", F.col("c.doc").alias("q"), F.col("c.n").alias("nq"), F.col("c.part").alias("pq"))
+        pairs = rows.join(centres, "token").where("part <> pq")
         pairs = pairs.where(_similar_size("n", "nq", similarity)).select("q", "doc").distinct()
         pairs = materialize(pairs)
         found = _linked(docs, pairs, id_, text, size, similarity)
         # where centres link little, further centres would not either
         few = 20 * found.count() < pairs.count()
         links = found if links is None else materialize(links.union(found))
-        if last:
-            break
         labels = materialize(connected_components(links, "q", "doc"))
         rows = rows.drop("main").join(labels, rows["doc"] == labels["node"], "left")
         rows = rows.withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
