@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.llm.common import worker_cache
+from longspark.llm.common import small_batches, worker_cache
 
 #: Kept at most, per Python worker: transitions, pairs and merge traces of the transducer, and twice so many
 #: encodings of chunks.
-MAX_TRANSITIONS = 200_000
-MAX_PAIRS = 300_000
-MAX_TRACES = 40_000
-MAX_CHUNKS = 130_000
+MAX_TRANSITIONS = 120_000
+MAX_PAIRS = 200_000
+MAX_TRACES = 25_000
+MAX_CHUNKS = 90_000
 #: Chunks of more characters are not kept.
 LONG_CHUNK = 40
 
@@ -284,6 +284,7 @@ class Decoder:
 
 
 def _rank_data(df: DataFrame, rank_file: str):
+    small_batches(df.sparkSession)
     with open(rank_file, "rb") as f:  # a vocabulary of bounded size, installed beside the driver
         return df.sparkSession.sparkContext.broadcast(f.read())
 

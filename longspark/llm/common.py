@@ -35,9 +35,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of 1,000 rows, for memory's sake; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def worker_cache(name: str, build: Callable[[], Any]) -> Any:
-    """An object that one Python worker keeps from task to task."""
+    """An object that a Python worker keeps from task to task; the two used last are kept."""
     holder = sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache"))
-    if not hasattr(holder, name):
-        setattr(holder, name, build())
-    return getattr(holder, name)
+    kept = holder.__dict__.setdefault("kept", {})
+    kept[name] = kept.pop(name) if name in kept else build()
+    while len(kept) > 2:
+        del kept[next(iter(kept))]
+    return kept[name]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspark.llm.common import broadcast_if_small, worker_cache
+from longspark.llm.common import broadcast_if_small, small_batches, worker_cache
 from longspark.llm.components import connected_components
 from longspark.session import materialize
 
@@ -42,7 +42,7 @@ SEARCHED = 2000
 #: Rounds with one centre a list at most, as long as they find links and leave more pairs than list entries.
 ROUNDS = 4
 
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 #: Larger counts of the sketch are not told apart.
 _MOST = (1 << 31) - 1
 
@@ -270,6 +270,7 @@ def components(
     words or text has no shingles and is alone. Rows that repeat an id are one document and one row each;
     rows without an id are linked with nothing and have no component. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sets = _sets(docs, id_, text, size, similarity)
     able = sets.where("doc is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
