@@ -31,6 +31,9 @@ from longspark.session import materialize
 SHINGLE = 3
 #: Per cent of the union that two sets share at least.
 SIMILARITY = 90
+#: The same two for documents of which one stays.
+NEAR_SHINGLE = 5
+NEAR_SIMILARITY = 80
 #: Counters of the sketch (2 to this, 4 bytes each), and counters that a row of it carries.
 SKETCH_BITS = 21
 _BLOCK = 1 << 13
@@ -333,12 +336,14 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
     return live.select(F.col("doc").alias("q"), "doc").limit(0) if links is None else links
 
 
-def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: int = NEAR_SIMILARITY
+) -> DataFrame:
     """One document of each component, that with the least id; documents that are alone all stay.
 
     Of rows that repeat an id one stays; rows without an id stay.
     """
-    found = materialize(components(docs, id_, text))
+    found = materialize(components(docs, id_, text, size, similarity))
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
     twice = materialize(
         found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))

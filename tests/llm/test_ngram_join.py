@@ -48,3 +48,20 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [5, 9, None, None]
     assert ngram_join.components(docs.limit(0)).count() == 0
+
+
+def test_copies_between_the_two_thresholds(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 60, 3):
+        base = [f"{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((i, " ".join(base)))
+        for k in (1, 2):  # 4 of 200 words apart: 0.81 of the fives, 0.89 of the threes
+            copy = list(base)
+            for at in (20, 70, 120, 170):
+                copy[at + k] = f"{rng.randrange(10**6)}"
+            rows.append((i + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = {d for d, (_, c) in jaccard_components(rows, 5, 80).items() if c == d}
+    assert len(want) == 20 and all(c == d for d, (_, c) in jaccard_components(rows).items())
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == want
