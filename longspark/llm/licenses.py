@@ -3,7 +3,7 @@
 A text is cut into sentences, each is normalised and looked up in a table of known licence sentences. What
 a document has of them, in order, is a sequence of sentence identifiers; ordered rules match identifiers in
 that sequence, the first rule that matches takes them, and what is left is matched by later rules. All of
-it is DataFrame functions; only documents with a licence word are cut into sentences.
+it is DataFrame functions; only documents with a word of a known sentence are cut into sentences.
 """
 
 from __future__ import annotations
@@ -54,44 +54,52 @@ RULES = (
     ("Proprietary", "u"),
 )
 
-_HINT = r"(?i)licen[sc]e|redistribut|permission is hereby|rights reserved"
+#: Sentences that notices write with a semicolon or colon inside, at which the cut falls: the words before it.
+PIECES = {"k": ("free software", "software foundation"), "l": ("free software", "software foundation")}
 
+#: A word of every sentence, in lower case.
+_HINT = "licens|redistribut|permission|copyright|warranty|neither|reserved"
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends, and after . ! ? ; : before white space."""
-    cut = F.split(text, r"(?<=[.!?;:])\s+|[\n\r]+")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
+def _cut(text: Column) -> Column:
+    """The text normalised, with letters that it has no more for its cuts: P after ; : and S after . ! ? before white
+    space, S for other than single line ends, L for single ones."""
+    text = F.regexp_replace(F.lower(text), r"(?<=[;:])\s+", "P")
+    text = F.regexp_replace(text, r"(?<=[.!?])\s+|(?<![\n\r])(?!\r?\n(?![\n\r]))[\n\r]+", "S")
+    text = F.regexp_replace(text, r"\r?\n", "L")
+    return F.regexp_replace(text, "[^a-z0-9PSL]+", " ")
 
-def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in their order, as one string."""
 
-    def known(s: Column) -> Column:
-        out = F.lit("")
-        for name, sentence in SENTENCES.items():
-            out = F.when(s == sentence, F.lit(name)).otherwise(out)
-        return out
+def _pattern(name: str) -> str:
+    """A known sentence from cut to cut; its lines may be wrapped, and its pieces cut apart."""
+    sentence = SENTENCES[name].replace(" ", "[ L]+")
+    for words in PIECES.get(name, ()):
+        words = words.replace(" ", "[ L]+")
+        sentence = sentence.replace(f"{words}[ L]+", f"{words}[ LP]+", 1)
+    return sentence
+
 
-    return F.array_join(F.transform(sentences(text), known), "")
+def identifiers(text: Column) -> Column:
+    """The identifiers of a text's known sentences, in their order, as one string."""
+    longest_first = sorted(SENTENCES, key=lambda name: -len(SENTENCES[name]))
+    known = "|".join(map(_pattern, longest_first))
+    pattern = rf"(?<=^ ?|[PSL] ?)(?:{known})(?= ?(?:[PSL]|\z))"
+    names = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
+    found = F.regexp_extract_all(_cut(text), F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: names[F.regexp_replace(s, "[ PL]+", " ")]), "")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document row with ``sentence_ids`` and ``licenses``: the names of the rules that match, in the order
     of the rules, joined by commas; both empty where nothing is known.
 
-    Long licence texts may wrap their lines: sentences are looked up line by line and in the text with single
-    line ends taken as spaces, and what finds more is taken, the lines on a tie. Null texts have no licence. Equal rows and
-    other columns stay; columns of the given names are replaced.
+    A sentence ends at a line end or goes on over single ones, each sentence for itself. Null texts have no
+    licence. Equal rows and other columns stay; columns of the given names are replaced.
     """
     docs = docs.drop("sentence_ids", "licenses")
     body = F.coalesce(F.col(text), F.lit(""))
-    hint = body.rlike(_HINT)
-    by_line = F.when(hint, identifiers(body)).otherwise(F.lit(""))
-    out = docs.withColumn("_ids", by_line)
-    unwrapped = identifiers(F.regexp_replace(body, r"(?<![\n\r])\r?\n(?![\n\r])", " "))
-    out = out.withColumn("_wrapped", F.when(hint, unwrapped).otherwise(F.lit("")))
-    more = F.length("_wrapped") > F.length("_ids")
-    out = out.withColumn("sentence_ids", F.when(more, F.col("_wrapped")).otherwise(F.col("_ids")))
+    hint = F.lower(body).rlike(_HINT)
+    out = docs.withColumn("sentence_ids", F.when(hint, identifiers(body)).otherwise(F.lit("")))
     # each rule takes what it matches, and leaves a mark that nothing matches across
     state = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<string>").alias("names"))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
