@@ -2,16 +2,17 @@
 
 Each document is a set of shingles. To reach the similarity, a partner has to occur in T of the inverted
 lists of the set. As in DivideSkip, the lists are divided by length: of a document's n lists all but T - 1
-are merged, the shortest; whoever occurs in none of them cannot reach T. The T - 1 long lists are never
-read: whether a candidate occurs in them is found by binary probes of its sorted set. Lengths of lists are
+are merged, the shortest; whoever occurs in none of them cannot reach T. With a centre, the T - 1 long
+lists are not read: whether a candidate occurs in them is found by binary probes of its sorted set. Lengths of lists are
 estimated by a sketch of fixed size over all documents; any order of the lists gives the same links.
 
 Only the components of the links are wanted, so not every pair of a list is a candidate. Equal sets are
 one class. In each list the member with the longest lists (the centre of a group of near copies) is
 compared with the others; a list whose members are then in one component is done. In the other lists, all
 members outside the list's largest component are queries against all members of lists with that component,
-which leaves no pair of different components unseen. Blocks of queries have an inverted index of their own;
-a text travels once for a block, not for a pair.
+which leaves no pair of different components unseen. Blocks of queries have an inverted index of their own,
+of all their lists: there the long ones are counted with the short ones. A text travels once for a block, not
+for a pair.
 """
 
 from __future__ import annotations
