@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from longspark.llm import (
     bpe,
+    codes,
     decontaminate,
     licenses,
     line_dedup,
+    mixing,
     ngram_join,
     pii,
     quality,
     token_output,
     url_filters,
     warc,
+    whitening,
 )
 from longspark.llm.common import table
 
@@ -258,6 +261,79 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM d GROUP BY source
+), levels(round, gone, rest, n) AS (
+  SELECT 0, 0::DOUBLE, (SELECT sum(w) FROM s), 0::BIGINT
+  UNION ALL
+  SELECT round + 1, sum(CASE WHEN above THEN 2.0::DOUBLE * source_size ELSE 0 END), sum(CASE WHEN above THEN 0 ELSE w END), count(*) FILTER (above)
+  FROM (SELECT *, w * ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - gone) / rest > 2 * source_size AS above FROM levels, s)
+  GROUP BY round, n HAVING count(*) FILTER (above) > n
+), t AS (
+  SELECT source, source_size, least(w * ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - gone) / rest, 2.0::DOUBLE * source_size) AS target
+  FROM s, (SELECT * FROM levels ORDER BY round DESC LIMIT 1)
+), p AS (
+  SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS budget, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0::BIGINT ELSE
+  size * (budget // source_size) + greatest(least(size, budget % source_size - start), 0) END AS taken FROM p
+"""
+
+
+@_query("op11_source_mix", _OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"), (3, 1, 2), share=150, epochs=2)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@_query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def _op13_sql() -> str:
+    steps = ["b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM cut WHERE vec_id IN (SELECT vec_id FROM first))"]
+    for r in range(5):
+        away = "list_sum(list_transform(range(1, 17), lambda i: (parts.v[i] - b.v[i]) * (parts.v[i] - b.v[i])))::BIGINT"
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT p, v, min(away * 256 + e)::BIGINT AS best FROM (SELECT parts.p, parts.v, b.e, {away} AS away FROM parts JOIN b{r} AS b ON parts.p = b.p) GROUP BY p, v)""")
+        if r < 4:
+            steps.append(f"""m{r} AS (
+  SELECT p, e, list(c ORDER BY i) AS v FROM (
+    SELECT p, best % 256 AS e, i, floor(sum(v[i] * n)::DOUBLE / sum(n))::BIGINT AS c FROM a{r} JOIN parts USING (p, v), range(1, 17) AS t(i) GROUP BY ALL) GROUP BY p, e
+), b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} ON b{r}.p = m{r}.p AND b{r}.e = m{r}.e)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), first AS (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256
+), cut AS MATERIALIZED (SELECT vec_id, p, v[16 * p + 1:16 * p + 16] AS v FROM kept, range(4) AS t(p)
+), parts AS MATERIALIZED (SELECT p, v, count(*) AS n FROM cut GROUP BY p, v
+), {", ".join(steps)}
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM cut JOIN a4 USING (p, v) GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b4)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (vec_id), digest
+"""
+
+
+@_query("op13_trie_codes", _op13_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
+    summed = codes.with_total(coded, "label", F.col("error"), "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
