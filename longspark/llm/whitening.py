@@ -246,7 +246,6 @@ def fit(rows: DataFrame, width: int, x: str = "x", components: int = COMPONENTS)
     count = distinct.count()
     if not count:
         return None
-    distinct = distinct.repartition(-(-count // VECTORS), "x")
     origin = np.array(distinct.first()["x"], np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +264,8 @@ def fit(rows: DataFrame, width: int, x: str = "x", components: int = COMPONENTS)
             whole.join(other)
         return whole.row(0)[1:]
 
-    row = _combined(distinct.mapInArrow(scan, _PARTS), _PARTS, merge)
+    dealt = distinct.repartition(-(-count // VECTORS), "x")
+    row = _combined(dealt.mapInArrow(scan, _PARTS), _PARTS, merge)
     n, sums = int(row["n"]), np.array(row["sums"], np.int64)
     basis = np.linalg.qr(np.array(row["basis"]).reshape(width, width))[0]
     ritz = _moments(distinct, sums, n, basis)
