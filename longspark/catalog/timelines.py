@@ -39,14 +39,17 @@ def _(spark, sf):
     return e.select("seq", metadata_field(F.col("metadata"), "k").cast("bigint").alias("k"))
 
 
-@query(
-    "timeline_array",
-    f"WITH {EV} SELECT patient_id, CAST(0 AS BIGINT) AS part, count(*) AS n_events,"
-    " string_agg(CAST(seq AS VARCHAR) || ':' || code, ',' ORDER BY us, seq) AS ordered"
-    " FROM ev GROUP BY patient_id",
-)
-def _(spark, sf):
-    out = timeline.timeline_array(events(spark, sf, hourly=True))
+def _parts_sql(length: int) -> str:
+    return (
+        f"WITH {EV}, placed AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY us, seq) - 1 AS spot FROM ev)"
+        f" SELECT patient_id, spot // {length} AS part, count(*) AS n_events,"
+        " string_agg(CAST(seq AS VARCHAR) || ':' || code, ',' ORDER BY us, seq) AS ordered"
+        " FROM placed GROUP BY 1, 2"
+    )
+
+
+def _parts(spark, sf, length):
+    out = timeline.timeline_array(events(spark, sf, hourly=True), max_rows=length)
     text = F.transform("events", lambda e: F.concat_ws(":", e["seq"].cast("string"), e["code"]))
     return out.select(
         "patient_id",
@@ -56,6 +59,16 @@ def _(spark, sf):
     )
 
 
+@query("timeline_array", _parts_sql(timeline.MAX_ARRAY))
+def _(spark, sf):
+    return _parts(spark, sf, timeline.MAX_ARRAY)
+
+
+@query("timeline_parts", _parts_sql(7))
+def _(spark, sf):
+    return _parts(spark, sf, 7)
+
+
 @query(
     "group_instants",
     f"WITH {STEPS} SELECT patient_id, us, step, n_events FROM steps",

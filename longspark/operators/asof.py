@@ -27,7 +27,7 @@ def _stream(steps: DataFrame, truth: DataFrame, task, max_rows: int):
         wide.withColumn("_kind", F.lit(_TRUTH)), allowMissingColumns=True
     )
     rows = steps.select(ID).unionByName(truth.select(ID))
-    return add_chunks(both, [ID], "us", max_rows=max_rows, sized_by=rows)
+    return add_chunks(both, [ID], "us", ties=("_kind",), max_rows=max_rows, sized_by=rows)
 
 
 def _seen(code: str):

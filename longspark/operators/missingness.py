@@ -79,7 +79,7 @@ def apply_missingness(
         return drawn.withColumn("kept", kept).drop("_u")
 
     sure = F.when(F.col("_u") < F.lit(LOWEST), 1).otherwise(0)
-    cut, chunk = add_chunks(drawn, [ID], "us", max_rows=max_rows)
+    cut, chunk = add_chunks(drawn, [ID], "us", ties=("seq",), max_rows=max_rows)
     runs = {"_segment": Run("sum", sure.cast("bigint"))}
     cut = running(cut, [ID], ["us", "seq"], runs, chunk=chunk)
     others = [c for c in observations.columns if c not in (ID, "us", "seq")]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.operators.scan import Run, add_chunks, largest_group, running
+from longspark.operators.scan import Run, add_chunks, largest_group, running, same_keys
 
 # Values of one group that an aggregation buffer may hold; a task holds many groups at once.
 MAX_BUFFERED = 100_000
@@ -45,10 +45,7 @@ def quantiles(
     for column in dict.fromkeys(c for c, _ in wanted.values()):
         probs = {n: p for n, (c, p) in wanted.items() if c == column}
         part = _ordered(base, keys, column, probs, max_rows)
-        on = [out[k].eqNullSafe(part[k]) for k in keys]
-        condition = on[0]
-        for c in on[1:]:
-            condition = condition & c
+        condition = same_keys(out, part, keys, keys)
         names = [n for n in out.columns]
         out = out.join(part, condition, "left").select(
             *[out[n] for n in names], *[part[n] for n in probs]
@@ -66,22 +63,20 @@ def _ordered(
         .groupBy(*keys, F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    filled = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(keys)]
-    ids = [f"_k{i}" for i in range(len(keys))]
-    named = counted.select("*", *filled)
-    cut, chunk = add_chunks(named, ids, "_v", max_rows=max_rows)
-    ranked = running(cut, ids, ["_v"], {"_upto": Run("sum", F.col("_c"))}, chunk=chunk)
-    totals = counted.groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_c").alias("_total"))
-    placed = ranked.join(totals, ids)
+    cut, chunk = add_chunks(counted, keys, "_v", max_rows=max_rows)
+    runs = {"_upto": Run("sum", F.col("_c")), "_after": Run("sum", F.col("_c"), inclusive=False, reverse=True)}
+    placed = running(cut, keys, ["_v"], runs, chunk=chunk)
+    total = F.col("_upto") + F.coalesce(F.col("_after"), F.lit(0))
     aggs = []
     for name, p in probs.items():
-        spot = F.lit(p) * (F.col("_total") - 1)
+        spot = F.lit(p) * (total - 1)
         low, high = F.floor(spot), F.ceil(spot)
 
         def at(rank: Column) -> Column:
             inside = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
             return F.max(F.when(inside, F.col("_v")))
 
-        share = F.max(spot - low)
-        aggs.append((at(low) + (at(high) - at(low)) * share).alias(name))
+        # the sum that the built-in percentile takes, so that both give the same bits
+        between = F.max(high - spot) * at(low) + F.max(spot - low) * at(high)
+        aggs.append(F.when(F.max(low) == F.max(high), at(low)).otherwise(between).alias(name))
     return placed.groupBy(*keys).agg(*aggs)

@@ -33,7 +33,7 @@ def number_units(
     max_rows: int = MAX_ROWS,
     group_bound: int | None = None,
 ) -> DataFrame:
-    """Number the rows of each group 1..n by a unique numeric ``unit``; add ``n``."""
+    """Number the rows of each group 1..n by a unique ``unit`` of any type; add ``n``."""
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     cut, chunk = add_chunks(base, keys, unit, max_rows=max_rows, group_bound=group_bound)
@@ -248,7 +248,7 @@ def holm_adjust(
     """Holm-adjusted p-values inside each family; equal p-values are ordered by ``tie``."""
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    cut, chunk = add_chunks(base, keys, p_value, max_rows=max_rows)
+    cut, chunk = add_chunks(base, keys, p_value, ties=(tie,), max_rows=max_rows)
     runs = {"_remaining": Run("count", reverse=True)}
     cut = running(cut, keys, [p_value, tie], runs, chunk=chunk)
     cut = cut.withColumn("_scaled", F.col("_remaining") * F.col(p_value))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspark.functions.draws import draw, draw_slice
-from longspark.operators.scan import Run, running
+from longspark.operators.scan import MAX_ROWS, Run, add_chunks, running
 
 SLICES = 256
 # Largest sample taken by a top-n sort; larger ones are cut by rank.
@@ -182,20 +182,19 @@ def nearest_match(
     by: list[str],
     target_id: str,
     candidate_id: str,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Per target the candidate of least absolute mismatch; the smaller one on a tie.
 
     Both sides walk one ordered stream per group, so no target meets every candidate.
     """
-    from longspark.operators.scan import add_chunks
-
     offers = candidates.groupBy(*by, F.col(value).alias("_v")).agg(F.min(candidate_id).alias("_cid"))
     stream = targets.select(
         *by, F.col(value).alias("_v"), F.col(target_id).alias("_tid"), F.lit(1).alias("_kind")
     ).unionByName(
         offers.select(*by, "_v", "_cid", F.lit(0).alias("_kind")), allowMissingColumns=True
     )
-    cut, chunk = add_chunks(stream, by, "_v")
+    cut, chunk = add_chunks(stream, by, "_v", ties=("_kind", "_tid"), max_rows=max_rows)
     offer = F.when(F.col("_kind") == 0, F.struct(F.col("_v").alias("v"), F.col("_cid").alias("id")))
     runs = {"_low": Run("last", offer, False, False), "_high": Run("last", offer, False, True)}
     out = running(cut, by, ["_v", "_kind", "_tid"], runs, chunk=chunk).where(F.col("_kind") == 1)

@@ -17,9 +17,8 @@ from longspark.session import materialize
 
 # Rows of one key that one task may order; larger keys are cut.
 MAX_ROWS = 2_000_000
-# Upper bound of boundary values held in a broadcast (8 bytes each).
-MAX_BROADCAST_BOUNDS = 4_000_000
-_MAX_CHUNKS = 4096
+# Heavy keys that a broadcast may hold; with more of them Spark chooses the join.
+MAX_BROADCAST_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +108,9 @@ def running(
         )
         carried.append(_over(kinds[name], F.col(f"_t_{name}"), window).alias(f"_c_{name}"))
     carry = totals.select(*part, *carried)
-    merged = local.join(carry, part, "left")
+    # null keys are keys too
+    carry = carry.withColumnsRenamed({c: f"_j_{c}" for c in part})
+    merged = local.join(carry, same_keys(local, carry, part, [f"_j_{c}" for c in part]), "left")
     out = []
     for name, run in specs.items():
         column = _merge(kinds[name], F.col(name), F.col(f"_c_{name}"))
@@ -133,50 +134,98 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> Column:
+    """Null-safe equality of the key columns of two frames."""
+    out = F.lit(True)
+    for a, b in zip(keys, names, strict=True):
+        out = out & left[a].eqNullSafe(right[b])
+    return out
+
+
+def _cells(df: DataFrame, keys: list[str], order: list[str], rows: int, max_rows: int) -> DataFrame:
+    """Deal rows into cells that follow (keys, order), and write them with their ``_cell`` number.
+
+    The range partitioner samples keys and order together, so it cuts inside a heavy key, inside equal leading
+    columns, and for every type that can be sorted. Once written, a row's cell is fixed.
+    """
+    count = max(1, ceil(2 * rows / max_rows))
+    dealt = df.repartitionByRange(count, *keys, *order)
+    return materialize(dealt.withColumn("_cell", F.spark_partition_id()))
+
+
+def exact_starts(
+    df: DataFrame, keys: list[str], order: list[str], rows: int, *, weight: str | None = None, max_rows: int = MAX_ROWS, name: str = "_start"
+) -> DataFrame:
+    """Add the exact number of rows (or sum of ``weight``) in front of each row inside its key.
+
+    Counts per cell are added up over the cells before, and a window orders one cell at a time, so no task holds
+    a key. Without ``weight`` rows with equal ``order`` have the same number in front of them; with it ``order`` must be
+    unique. ``rows`` is the number of rows, for the number of cells.
+    """
+    celled = _cells(df, keys, order, rows, max_rows)
+    amount = F.lit(1) if weight is None else F.col(weight)
+    totals = celled.groupBy(*keys, "_cell").agg(F.sum(amount).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key_{i}" for i in range(len(keys))]
+    before = materialize(
+        totals.select(
+            *[F.col(k).alias(n) for k, n in zip(keys, names)],
+            F.col("_cell").alias("_at"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("_before"),
+        )
+    )
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    if weight is None:
+        local = F.rank().over(inside) - 1
+    else:
+        local = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = celled.withColumn("_local", local.cast("bigint"))
+    placed = placed.join(before, same_keys(placed, before, keys, names) & (F.col("_cell") == F.col("_at")))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
 def add_chunks(
     df: DataFrame,
     keys: list[str],
     order: str,
     *,
+    ties: tuple[str, ...] = (),
     max_rows: int = MAX_ROWS,
     sized_by: DataFrame | None = None,
     group_bound: int | None = None,
 ) -> tuple[DataFrame, str | None]:
-    """Cut keys with more than ``max_rows`` rows at approximate quantiles of ``order``.
+    """Cut keys with more than ``max_rows`` rows into chunks of ``max_rows`` rows, by exact position.
+
+    The position of a row follows (``order``, ``ties``), which may have any type that sorts; rows that are equal in all of them stay
+    together, so with a unique composite no chunk is longer. A row's chunk depends on the rows alone, not on how they
+    are spread out.
 
     One aggregation over the key columns sizes the keys, on ``sized_by`` where a frame with at
     least as many rows per key is cheaper to count. Where no key is heavy the frame comes back
     unchanged with no chunk column, and a plain window is the right plan. A ``group_bound``
-    proven before (``largest_group``) within ``max_rows`` spares the sizing. Rows with equal
-    ``order`` stay together.
+    proven before (``largest_group``) within ``max_rows`` spares the sizing. Only rows of heavy keys are
+    ordered; those of other keys are chunk 0.
     """
     if group_bound is not None and group_bound <= max_rows:
         return df, None
     counted = df if sized_by is None else sized_by
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    heavy, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    heavy, rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not heavy:
         return df, None
-    # the boundaries, the windows and the chunk totals all read the rows: write them once
+    # the heavy and the other rows, the cells and the windows all read the rows: write them once
     df = materialize(df)
-    cuts = min(ceil(largest / max_rows) * 2, _MAX_CHUNKS)
-    small = heavy * cuts <= MAX_BROADCAST_BOUNDS
-    names = sizes.select(*keys)
-    bounds = materialize(
-        df.join(F.broadcast(names) if small else names, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 20 * cuts).alias(
-                "_bounds"
-            )
-        )
-    )
-    placed = df.join(F.broadcast(bounds) if small else bounds, keys, "left")
-    chunk = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
-    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(chunk)
-    placed = placed.withColumn("_chunk", chunk.cast("int")).drop("_bounds")
+    names = [f"_heavy_{i}" for i in range(len(keys))]
+    listed = materialize(sizes.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    listed = F.broadcast(listed) if heavy <= MAX_BROADCAST_KEYS else listed
+    is_heavy = same_keys(df, listed, keys, names)
+    large, small = df.join(listed, is_heavy, "left_semi"), df.join(listed, is_heavy, "left_anti")
+    placed = exact_starts(large, keys, [order, *ties], rows, max_rows=max_rows)
+    chunk = F.floor(F.col("_start") / max_rows).cast("bigint")
+    cut = placed.select(*df.columns, chunk.alias("_chunk"))
+    both = cut.unionByName(small.withColumn("_chunk", F.lit(0).cast("bigint")))
     # an explicit exchange: a join on the key alone would leave the heavy key in one task
-    return placed.repartition(*keys, "_chunk"), "_chunk"
+    return both.repartition(*keys, "_chunk"), "_chunk"
 
 
 def position(

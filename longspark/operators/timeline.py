@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.operators.scan import MAX_ROWS, Run, add_chunks, position, running
+from longspark.operators.scan import MAX_ROWS, Run, add_chunks, exact_starts, position, running
 from longspark.schema import EVENT_TYPES, MICROS_PER_DAY, Task
 
 ID = "patient_id"
@@ -174,19 +174,29 @@ def horizon_label(steps: DataFrame, task: Task, *, max_rows: int = MAX_ROWS) ->
     return with_horizon(_plain(running(cut, [ID], ["us"], horizon_runs(), chunk=chunk), chunk), task)
 
 
-def timeline_array(events: DataFrame, *, max_rows: int = MAX_ARRAY) -> DataFrame:
-    """Ordered event list per entity; an entity above ``max_rows`` events comes in parts."""
-    cut, chunk = add_chunks(events, [ID], "us", max_rows=max_rows)
-    part = F.col(chunk) if chunk else F.lit(0)
-    return (
-        cut.withColumn("part", part.cast("bigint"))
-        .groupBy(ID, "part")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("us", "seq", "code", "value", "event_type"))).alias(
-                "events"
-            )
-        )
-    )
+def timeline_array(events: DataFrame, *, max_rows: int = MAX_ARRAY, cell_rows: int = MAX_ROWS) -> DataFrame:
+    """Ordered event list per entity, in parts of ``max_rows`` events numbered from 0.
+
+    Part p holds the events at positions ``p * max_rows`` and on, whatever their instants: an entity with up to ``max_rows`` events
+    has part 0 alone, one instant may be cut, and events that are equal in all columns take positions side by side.
+    ``cell_rows`` bounds the rows that one task orders and changes nothing in the result.
+    """
+    if max_rows <= 0:
+        raise ValueError("max_rows must be positive")
+    columns = ["us", "seq", "code", "value", "event_type"]
+    row = F.struct(*columns)
+    sizes = events.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"))
+    largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= max_rows:
+        placed = events.select(ID, F.lit(0).cast("bigint").alias("part"), row.alias("_row"))
+    else:
+        # equal events become one counted row, so that they can be told apart by position
+        counted = events.groupBy(ID, *columns).agg(F.count(F.lit(1)).alias("_copies"))
+        starts = exact_starts(counted, [ID], columns, total, weight="_copies", max_rows=cell_rows)
+        copies = F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1))
+        spots = starts.select(ID, row.alias("_row"), copies.alias("_spot"))
+        placed = spots.select(ID, F.floor(F.col("_spot") / max_rows).cast("bigint").alias("part"), "_row")
+    return placed.groupBy(ID, "part").agg(F.sort_array(F.collect_list("_row")).alias("events"))
 
 
 def pad_sequences(

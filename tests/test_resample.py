@@ -45,6 +45,20 @@ def test_holm(spark, max_rows):
     assert out == pytest.approx({"d": 0.025, "a": 0.04, "c": 0.09, "b": 0.09, "e": 0.9})
 
 
+def test_holm_cuts_equal_p_values(spark):
+    rows = [("f", f"n{i:03d}", 0.001 if i < 150 else 0.0001) for i in range(200)]
+    df = spark.createDataFrame(rows, "f string, n string, p double")
+    whole = {r.n: r.holm_p_value for r in resample.holm_adjust(df, ["f"], "p", "n").collect()}
+    cut = {r.n: r.holm_p_value for r in resample.holm_adjust(df, ["f"], "p", "n", max_rows=20).collect()}
+    assert whole == cut and cut["n199"] == pytest.approx(200 * 0.0001) and cut["n149"] == pytest.approx(150 * 0.001)
+
+
+def test_units_with_text_labels_are_numbered(spark):
+    df = spark.createDataFrame([("s", f"unit-{i:03d}") for i in range(90)], "study string, unit string")
+    out = resample.number_units(df, ["study"], "unit", max_rows=8)
+    assert {r.unit: (r.k, r.n) for r in out.collect()} == {f"unit-{i:03d}": (i + 1, 90) for i in range(90)}
+
+
 def matrix(spark, x, y):
     rows = [(i, j, float(x[i, j]), float(y[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1])]
     return spark.createDataFrame(rows, "i_ int, j_ int, x double, y double")

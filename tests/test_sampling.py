@@ -74,6 +74,16 @@ def test_nearest_match_prefers_the_smaller_on_a_tie(spark):
     assert {r.t: r.c for r in out.collect()} == {1: 10, 2: 11, 3: None}
 
 
+def test_nearest_match_cuts_equal_values(spark):
+    targets = spark.createDataFrame([("g", i, float(i % 3)) for i in range(300)], "g string, t int, v double")
+    offers = spark.createDataFrame([("g", 10 + i, i * 0.7) for i in range(6)], "g string, c int, v double")
+    options = {"by": ["g"], "target_id": "t", "candidate_id": "c"}
+    whole = sampling.nearest_match(targets, offers, "v", **options)
+    cut = sampling.nearest_match(targets, offers, "v", max_rows=40, **options)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, cut.collect()))
+    assert {r.t % 3: r.c for r in cut.collect()} == {0: 10, 1: 11, 2: 13}
+
+
 @pytest.mark.parametrize("max_rows", [20, 100_000])
 def test_mar_mask_equals_the_sequential_rule(spark, max_rows):
     rows = [(f"p{i % 3}" if i % 4 else "hot", i * 10, i, "a", i % 2, math.sin(i)) for i in range(600)]

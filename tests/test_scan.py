@@ -62,10 +62,37 @@ def test_equal_order_values_stay_together(spark):
     assert cut.where("t = 5").select(chunk).distinct().count() == 1
 
 
+def test_a_composite_cuts_equal_order_values(spark):
+    rows = [("a", 5, i) for i in range(400)] + [(None, 1, i) for i in range(30)] + [("b", 1, 0)]
+    df = spark.createDataFrame(rows, "k string, t int, v int").repartition(7)
+    cut, chunk = add_chunks(df, ["k"], "t", ties=("v",), max_rows=20)
+    got = {(r.k, r[chunk]): r.n for r in cut.groupBy("k", chunk).agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", i): 20 for i in range(20)} | {(None, 0): 20, (None, 1): 10, ("b", 0): 1}
+    out = running(cut, ["k"], ["t", "v"], {"n": Run("count")}, chunk=chunk)
+    assert all(r.n == r.v + 1 for r in out.collect())
+
+
+@pytest.mark.parametrize("label", ["name-{:03d}", "é{:03d}"])
+def test_text_orders_are_cut(spark, label):
+    df = spark.createDataFrame([("a", label.format(i)) for i in range(100)], "k string, t string").repartition(5)
+    cut, chunk = add_chunks(df, ["k"], "t", max_rows=9)
+    for r in cut.collect():
+        assert r[chunk] == int(r.t[-3:]) // 9
+
+
+def test_a_chunk_does_not_hang_on_the_layout(spark, heavy):
+    df = frame(spark, heavy)
+    cuts = []
+    for spread in (df.repartition(1), df.repartition(13), df.orderBy(F.desc("v"))):
+        cut, chunk = add_chunks(spread, ["k"], "v", ties=("t",), max_rows=7)
+        cuts.append(sorted((r.k, r.t, r[chunk]) for r in cut.collect()))
+    assert cuts[0] == cuts[1] == cuts[2]
+
+
 def test_a_broadcast_is_not_needed(spark, heavy, monkeypatch):
     from longspark.operators import scan
 
-    monkeypatch.setattr(scan, "MAX_BROADCAST_BOUNDS", 0)
+    monkeypatch.setattr(scan, "MAX_BROADCAST_KEYS", 0)
     df = frame(spark, heavy)
     cut, chunk = add_chunks(df, ["k"], "t", max_rows=17)
     got = _collect(running(cut, ["k"], ["t"], {"n": Run("count")}, chunk=chunk).select("k", "t", "n"))
@@ -85,6 +112,13 @@ def test_quantiles_match_numpy(spark, heavy, max_rows):
         assert row.q90 == pytest.approx(np.quantile(values, 0.9))
 
 
+def test_quantiles_have_the_same_bits_however_they_are_found(spark, heavy):
+    df = frame(spark, heavy).withColumn("v", F.col("v") / 3 + F.col("t") * 0.7).withColumn("k", F.when(F.col("k") != "k3", F.col("k")))
+    wanted = {f"q{p}": ("v", p / 1000) for p in (25, 100, 333, 500, 975)}
+    results = [sorted(map(repr, quantiles(df, ["k"], wanted, max_rows=n).collect())) for n in (5, 40, 1000)]
+    assert results[0] == results[1] == results[2] and len(results[0]) == 11
+
+
 @pytest.mark.parametrize("max_rows", [5, 1000])
 def test_quantiles_without_keys_and_with_null_keys(spark, heavy, max_rows):
     df = frame(spark, heavy)

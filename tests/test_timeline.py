@@ -158,6 +158,22 @@ def test_a_long_timeline_comes_in_bounded_parts(spark, busy):
     assert parts.agg(F.sum(F.size("events"))).first()[0] == busy.count()
 
 
+def test_one_instant_and_equal_events_are_cut(spark):
+    rows = [("p", 7, i // 2, "a", float(i // 4), "observation") for i in range(400)] + [("q", 1, 0, "a", 1.0, "observation")]
+    df = spark.createDataFrame(rows, "patient_id string, us bigint, seq bigint, code string, value double, event_type string")
+    answers = []
+    for spread in (df.repartition(1), df.repartition(9)):
+        out = timeline.timeline_array(spread, max_rows=50, cell_rows=90).orderBy("patient_id", "part").collect()
+        assert [(r.patient_id, r.part, len(r.events)) for r in out] == [("p", i, 50) for i in range(8)] + [("q", 0, 1)]
+        assert [e.seq for r in out[:8] for e in r.events] == sorted(i // 2 for i in range(400))
+        answers.append([repr(r) for r in out])
+    assert answers[0] == answers[1]
+    whole = timeline.timeline_array(df).orderBy("patient_id").collect()
+    assert [(r.part, len(r.events)) for r in whole] == [(0, 400), (0, 1)]
+    with pytest.raises(ValueError):
+        timeline.timeline_array(df, max_rows=0)
+
+
 def test_nearest_takes_the_earlier_on_a_tie(spark):
     steps = timeline.group_instants(make(spark, [drug("p", 2)]), TASK)
     truth = make(spark, [obs("p", 1, "a", 10.0), obs("p", 3, "a", 30.0)])
