@@ -9,7 +9,7 @@ from longspark.catalog.gates import PAIRS, pairs
 from longspark.catalog.registry import query
 from longspark.operators import resample, variance
 
-REPS = 1000
+REPS = 10_000
 SCALE = 1.0471975511965976
 _E = f"abs(l_discount - l_tax) * {SCALE}::DOUBLE"
 
@@ -456,7 +456,7 @@ def _(spark, sf):
 
 _MECH = {"m_standard": "mae_candidate_standard - mae_control_standard", "m_forced": "mae_candidate_forced - mae_control_forced"}
 _SECOND = {"m_h": "h_candidate"}
-_SCREEN_REPS = 300
+_SCREEN_REPS = 10_000
 _SCREEN = (
     f"{CX}, src AS ("
     + " UNION ALL ".join(

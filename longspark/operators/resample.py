@@ -14,12 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspark.functions.draws import draw
+from longspark.functions.draws import draw, driver_draw
 from longspark.functions.numeric import pearson
+from longspark.operators import matrices
 from longspark.operators.metrics import unpack
 from longspark.operators.quantiles import quantiles
 from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
+from longspark.session import materialize
 
+# Values in one array of units, and replicates that one row of it works out.
+BLOCK = 4096
+REPLICATE_BLOCK = 250
 # Fixed value: residual variation below this share of the total counts as none.
 ZERO_SHARE = 1e-12
 
@@ -49,26 +54,100 @@ def replicates(df: DataFrame, count: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(count))))
 
 
+def _block_counts(seed: int, block: int, n: int, number: int, first: int, count: int) -> np.ndarray:
+    """How many of a group's ``n`` draws fall into block ``number`` of its units, for replicates from ``first``.
+
+    The draws are split in two over and over, each time by a binomial number that hangs on the place alone, so all blocks of a group agree
+    and their counts are multinomial.
+    """
+    low, high, counts = 0, -(-n // block), np.full(count, n)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, whole = (middle - low) * block, min(n, high * block) - low * block
+        rng = np.random.Generator(np.random.Philox(key=driver_draw(seed, "split", n, first, low, high)))
+        into = rng.binomial(counts, left / whole)
+        counts, low, high = (into, low, middle) if number < middle else (counts - into, middle, high)
+    return counts
+
+
+def _drawn_sums(seed: int, block: int, resamples: int, by: list[str]):
+    """For arrays of units and runs of replicates: sum and number of the values drawn, a row each replicate."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        kept: dict = {}
+
+        def slots(n: int, first: int, count: int) -> np.ndarray:
+            # groups of one size share their draws
+            if (n, first) not in kept:
+                while len(kept) > 7:
+                    del kept[next(iter(kept))]
+                drawn = [driver_draw(seed, r, k) % n for r in range(first, first + count) for k in range(1, n + 1)]
+                kept[n, first] = np.array(drawn, np.int64).reshape(count, n)
+            return kept[n, first]
+
+        for pdf in frames:
+            for record in pdf.to_dict("records"):
+                values = np.array([np.nan if v is None else v for v in record["_values"]], float)
+                n, number, first = int(record["n"]), int(record["_block"]), int(record["_first"])
+                count = min(REPLICATE_BLOCK, resamples - first + 1)
+                if n <= block:
+                    picked = values[slots(n, first, count)]
+                    known = ~np.isnan(picked)
+                    sums, sizes = np.where(known, picked, 0.0).sum(1), known.sum(1)
+                else:
+                    counts = _block_counts(seed, block, n, number, first, count)
+                    rng = np.random.Generator(np.random.Philox(key=driver_draw(seed, "block", n, first, number)))
+                    sums, sizes = np.zeros(count), np.zeros(count, np.int64)
+                    for r, m in enumerate(counts):
+                        picked = values[rng.integers(0, len(values), m)]
+                        known = ~np.isnan(picked)
+                        sums[r], sizes[r] = picked[known].sum(), known.sum()
+                out = pd.DataFrame({"replicate": np.arange(first, first + count), "_s": sums, "_n": sizes})
+                for k in by:
+                    out[k] = record[k]
+                yield out
+
+    return run
+
+
 def bootstrap_means(
-    df: DataFrame, by: list[str], unit: str, value: str, *, resamples: int = 10_000, seed: int = 20260824
+    df: DataFrame,
+    by: list[str],
+    unit: str,
+    value: str,
+    *,
+    resamples: int = 10_000,
+    seed: int = 20260824,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Mean of each resample: n units drawn with replacement from the group."""
-    units = number_units(df.select(*by, unit, value), by, unit)
-    slots = replicates(units.select(*by, "k", "n"), resamples)
-    picked = slots.select(
-        *by, "replicate", (draw(seed, F.col("replicate"), F.col("k")) % F.col("n") + 1).alias("k")
-    )
-    return (
-        picked.join(units.select(*by, "k", value), [*by, "k"])
-        .groupBy(*by, "replicate")
-        .agg(F.avg(value).alias("mean"))
+    """Mean of each resample: n units drawn with replacement from the group.
+
+    Units travel once, as arrays of up to ``block`` values; an array and a run of replicates add up their own draws. Of a
+    group with more units each block first gets its multinomial share of the draws. No draw becomes a row.
+    """
+    if resamples <= 0:
+        raise ValueError("the number of replicates must be positive")
+    bound = largest_group(df, by)
+    units = number_units(df.select(*by, unit, value), by, unit, group_bound=bound)
+    number = F.floor((F.col("k") - 1) / block).cast("bigint")
+    packed = units.groupBy(*by, number.alias("_block")).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v")))).alias("_units")
     )
+    packed = packed.select(*by, "_block", "n", F.col("_units.v").alias("_values"))
+    firsts = F.explode(F.sequence(F.lit(1), F.lit(resamples), F.lit(REPLICATE_BLOCK)))
+    rows = packed.withColumn("_first", firsts).repartition(*by, "_block", "_first")
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    sums = rows.mapInPandas(_drawn_sums(seed, block, resamples, by), f"{keys}replicate int, _s double, _n long")
+    found = sums.groupBy(*by, "replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return found.select(*by, "replicate", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def bootstrap_mean_ci(
     df: DataFrame, by: list[str], unit: str, value: str, *, resamples: int = 10_000, seed: int = 20260824
 ) -> DataFrame:
     """Observed mean and the 2.5 and 97.5 percentiles of the resampled means."""
+    # sized, numbered and averaged: written once
+    df = materialize(df.select(*by, unit, value))
     means = bootstrap_means(df, by, unit, value, resamples=resamples, seed=seed)
     ci = quantiles(
         means,
@@ -190,20 +269,13 @@ def crossed_bootstrap(
     Intervals of the mean effect and of the residual sd ratio, which is recomputed inside each
     replicate with its own margins; the ratio interval is null unless every replicate is valid.
     """
-    cells = _matrix(pairs, by, row, col, [standard, forced, effect])
-    slots = replicates(cells.select(*by, F.col("i").alias("si"), F.col("j").alias("sj"), "n_i", "n_j"), resamples)
-    picked = slots.select(
-        *by,
-        "replicate",
-        "si",
-        "sj",
-        (draw(seed, F.col("replicate"), "row", F.col("si")) % F.col("n_i") + 1).alias("i"),
-        (draw(seed, F.col("replicate"), "column", F.col("sj")) % F.col("n_j") + 1).alias("j"),
-    )
-    sampled = picked.join(cells.drop("n_i", "n_j"), [*by, "i", "j"])
-    stats = residual_ss(sampled, [*by, "replicate"], "si", "sj", [standard, forced, effect])
-    ratio = F.when(F.col(f"ss_{standard}") > 0, F.sqrt(F.col(f"ss_{forced}") / F.col(f"ss_{standard}")))
-    stats = stats.withColumn("_ratio", ratio)
+    form = matrices.shape(pairs, by, row, col)
+    if form.fits and form.complete:
+        groups = matrices.gathered(pairs, by, row, col, [standard, forced, effect])
+        stats = matrices.crossed_resamples(groups, by, resamples, seed, ZERO_SHARE)
+        stats = stats.withColumnsRenamed({"mean": f"mean_{effect}", "ratio": "_ratio"})
+    else:
+        stats = _joined_resamples(pairs, by, row, col, standard, forced, effect, resamples, seed)
     out = quantiles(
         stats,
         by,
@@ -220,6 +292,26 @@ def crossed_bootstrap(
     return out.withColumns({c: F.when(whole, F.col(c)) for c in ("ratio_ci_lower", "ratio_ci_upper")})
 
 
+def _joined_resamples(
+    pairs: DataFrame, by: list[str], row: str, col: str, standard: str, forced: str, effect: str, resamples: int, seed: int
+) -> DataFrame:
+    """The replicates of matrices that are too large for one row or have holes: a row for each slot."""
+    cells = _matrix(pairs, by, row, col, [standard, forced, effect])
+    slots = replicates(cells.select(*by, F.col("i").alias("si"), F.col("j").alias("sj"), "n_i", "n_j"), resamples)
+    picked = slots.select(
+        *by,
+        "replicate",
+        "si",
+        "sj",
+        (draw(seed, F.col("replicate"), "row", F.col("si")) % F.col("n_i") + 1).alias("i"),
+        (draw(seed, F.col("replicate"), "column", F.col("sj")) % F.col("n_j") + 1).alias("j"),
+    )
+    sampled = picked.join(cells.drop("n_i", "n_j"), [*by, "i", "j"])
+    stats = residual_ss(sampled, [*by, "replicate"], "si", "sj", [standard, forced, effect])
+    ratio = F.when(F.col(f"ss_{standard}") > 0, F.sqrt(F.col(f"ss_{forced}") / F.col(f"ss_{standard}")))
+    return stats.withColumn("_ratio", ratio)
+
+
 def sign_test(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """One-sided exact binomial test of more wins than losses; ties are dropped."""
     out = df.groupBy(*by).agg(
@@ -282,6 +374,22 @@ def crossed_permutation(
     Row and column labels of ``x`` are permuted independently. The p-value is
     ``(exceedances + 1) / (resamples + 1)``, and 1 where the correlation is undefined.
     """
+    form = matrices.shape(cells, by, row, col)
+    if form.fits:
+        groups = matrices.gathered(cells, by, row, col, [x, y])
+        return with_p_value(matrices.permutation_counts(groups, by, resamples, seed), resamples)
+    return _joined_permutation(cells, by, row, col, x, y, resamples, seed, group_bound)
+
+
+def with_p_value(counted: DataFrame, resamples: int) -> DataFrame:
+    p = (F.col("exceedances") + 1) / F.lit(float(resamples + 1))
+    return counted.withColumn("p_value", F.when(F.col("observed").isNull(), F.lit(1.0)).otherwise(p))
+
+
+def _joined_permutation(
+    cells: DataFrame, by: list[str], row: str, col: str, x: str, y: str, resamples: int, seed: int, group_bound: int | None
+) -> DataFrame:
+    """The same for matrices that are too large for one row: a row for each cell of each replicate."""
     matrix = _matrix(cells, by, row, col, [x, y], group_bound)
     observed = matrix.groupBy(*by).agg(*_corr_parts(x, y))
     observed = observed.select(*by, safe_pearson().alias("observed"))
@@ -295,8 +403,7 @@ def crossed_permutation(
     # the identical arrangement may differ in the last bits of its sum
     hit = F.abs("_r") >= F.abs("observed") - F.lit(1e-12)
     out = joined.groupBy(*by).agg(F.max("observed").alias("observed"), F.count_if(hit).alias("exceedances"))
-    p = (F.col("exceedances") + 1) / F.lit(float(resamples + 1))
-    return out.withColumn("p_value", F.when(F.col("observed").isNull(), F.lit(1.0)).otherwise(p))
+    return with_p_value(out, resamples)
 
 
 def _corr_parts(x: str, y: str) -> list[Column]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspark.operators import resample
+from longspark.operators import matrices, resample
 from longspark.operators.resample import drop_one_ss
 from longspark.operators.scan import MAX_ROWS, Run, add_chunks, largest_group, running
 from longspark.session import materialize
@@ -201,7 +201,13 @@ def safe_corr(
 def leave_one_out(
     df: DataFrame, by: list[str], row: str, col: str, x: str, y: str, *, group_bound: int | None = None
 ) -> DataFrame:
-    """Residual correlation without each row label and without each column label."""
+    """Residual correlation without each row label and without each column label.
+
+    A matrix that fits in a row keeps its margins, from which a label is taken out; no cell is copied.
+    """
+    form = matrices.shape(df, by, row, col)
+    if form.fits:
+        return matrices.omitted_rows(matrices.gathered(df, by, row, col, [x, y]), by)
     bound = largest_group(df, by) if group_bound is None else group_bound
     parts = []
     for axis, label in (("context", row), ("model", col)):
@@ -254,8 +260,54 @@ def association_screen(
     wide = pairs.select(*by, row, col, outcome, *[F.col(m).cast("double").alias(m) for m in names])
     long = materialize(wide.unpivot([*by, row, col, outcome], names, "mechanism", "x"))
     keys = [*by, "mechanism"]
-    # every step works on groups of this size: they are sized once
-    bound = largest_group(long, keys)
+    form = matrices.shape(long, keys, row, col)
+    if form.fits:
+        groups = materialize(matrices.gathered(long, keys, row, col, ["x", outcome]))
+        found = matrices.screened(groups, keys)
+        moved = matrices.permutation_counts(_residual_groups(groups), keys, resamples, seed)
+        table = found.join(resample.with_p_value(moved, resamples).select(*keys, F.col("p_value").alias("permutation_p")), keys)
+    else:
+        table = _joined_screen(long, keys, row, col, outcome, resamples, seed, form.largest)
+    family = F.when(F.col("mechanism").isin(*primary), "primary").otherwise("secondary")
+    table = materialize(table.withColumn("family", family))
+    first = resample.holm_adjust(
+        table.where("family = 'primary'").select(*keys, "permutation_p"), list(by), "permutation_p", "mechanism",
+        name="permutation_p_holm",
+    ).select(*keys, "permutation_p_holm")
+    table = table.join(first, keys, "left")
+    passes = (
+        (F.abs("pearson") >= MIN_PEARSON)
+        & (F.abs("spearman") >= MIN_SPEARMAN)
+        & (F.col("pearson") * F.col("spearman") > 0)
+        & (F.col("permutation_p_holm") <= MAX_P)
+        & (F.col("same_sign_context") >= MIN_SAME_SIGN)
+        & (F.col("same_sign_model") >= MIN_SAME_SIGN)
+    )
+    return table.withColumn("passes", F.coalesce(passes, F.lit(False)))
+
+
+def _residual_groups(groups: DataFrame) -> DataFrame:
+    """Gathered matrices with their two-way residuals, rounded as ``rounded_corr`` does, in place of the values."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in frames:
+            records = pdf.to_dict("records")
+            for r in records:
+                matrix = matrices.Matrix(r, 2)
+                i = [matrix.rows.index(v) for v in r["_rows"]]
+                j = [matrix.cols.index(v) for v in r["_cols"]]
+                for k, m in enumerate(matrix.values):
+                    rest = np.round(matrices.Margins(m).residuals(), 12)[i, j]
+                    r[f"_v{k}"] = [None if np.isnan(v) else float(v) for v in rest]
+            yield pd.DataFrame(records, columns=pdf.columns)
+
+    return groups.mapInPandas(run, groups.schema)
+
+
+def _joined_screen(
+    long: DataFrame, keys: list[str], row: str, col: str, outcome: str, resamples: int, seed: int, bound: int
+) -> DataFrame:
+    """The screen's statistics for matrices that are too large for one row."""
     raw = safe_corr(long, keys, "x", outcome, group_bound=bound).select(
         *keys, F.col("pearson").alias("raw_pearson"), F.col("spearman").alias("raw_spearman")
     )
@@ -283,13 +335,7 @@ def association_screen(
         seed=seed,
         group_bound=bound,
     ).select(*keys, F.col("p_value").alias("permutation_p"))
-    family = F.when(F.col("mechanism").isin(*primary), "primary").otherwise("secondary")
-    table = raw.join(context, keys).join(two_way, keys).join(permuted, keys).withColumn("family", family)
-    first = resample.holm_adjust(
-        table.where("family = 'primary'").select(*keys, "permutation_p"), list(by), "permutation_p", "mechanism",
-        name="permutation_p_holm",
-    ).select(*keys, "permutation_p_holm")
-    table = table.join(first, keys, "left")
+    table = raw.join(context, keys).join(two_way, keys).join(permuted, keys)
     omitted = leave_one_out(long, keys, row, col, "x", outcome, group_bound=bound)
     same = same_sign_fraction(omitted, two_way, keys)
     same = same.groupBy(*keys).agg(
@@ -298,13 +344,4 @@ def association_screen(
             for a in ("context", "model")
         ]
     )
-    table = table.join(same, keys, "left")
-    passes = (
-        (F.abs("pearson") >= MIN_PEARSON)
-        & (F.abs("spearman") >= MIN_SPEARMAN)
-        & (F.col("pearson") * F.col("spearman") > 0)
-        & (F.col("permutation_p_holm") <= MAX_P)
-        & (F.col("same_sign_context") >= MIN_SAME_SIGN)
-        & (F.col("same_sign_model") >= MIN_SAME_SIGN)
-    )
-    return table.withColumn("passes", F.coalesce(passes, F.lit(False)))
+    return table.join(same, keys, "left")
