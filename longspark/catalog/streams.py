@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from longspark.catalog.checks import _RAW, _REASONS, raw_events
-from longspark.catalog.fixtures import EV1, H_US, TASK, events, micros, table
+from longspark.catalog.fixtures import EV1, H_US, R, TASK, events, micros, rounded, table
 from longspark.catalog.registry import query
 from longspark.session import work_folder
-from longspark.streaming import streams
+from longspark.streaming import stateful, streams
 
 DELAY = "1 day"
 DAY_US = 86_400_000_000
@@ -97,6 +97,24 @@ def _(spark, sf):
     return streams.latest(spark, out, keys)
 
 
+_DAYS = f"{DAY_US}.0::DOUBLE"
+
+
+@query(
+    "stream_running_history",
+    f"WITH {EV1}, o AS (SELECT *, row_number() OVER w AS k, first_value(us) OVER w AS f, lag(us) OVER w AS p, lag(value) OVER w AS last_value FROM ev1"
+    " WHERE event_type = 'observation' WINDOW w AS (PARTITION BY patient_id, code ORDER BY us, seq))"
+    " SELECT patient_id, code, us, seq, value, last_value, p AS last_us, k - 1 AS n_before,"
+    f" {R(f'(us - f) / {_DAYS}')} AS elapsed_days, CASE WHEN p IS NULL THEN NULL ELSE {R(f'(us - p) / {_DAYS}')} END AS gap_days"
+    f" FROM o WHERE us <= {_MARK}",
+)
+def _(spark, sf):
+    out, checkpoint = _folders(spark)
+    rows = _stream(spark, sf).where("event_type = 'observation'")
+    stateful.run_keyed(stateful.running_history(rows, ["patient_id", "code"], delay=DELAY), out, checkpoint)
+    return rounded(spark.read.parquet(out), "elapsed_days", "gap_days")
+
+
 _HIT = (
     "SELECT s.patient_id, s.us, s.seq, EXISTS (SELECT 1 FROM ev1 t WHERE t.patient_id = s.patient_id AND t.event_type = 'intervention'"
     f" AND t.us > s.us AND t.us <= s.us + {H_US}) AS hit FROM ev1 s"
@@ -121,6 +139,19 @@ def _(spark, sf):
     return passed.where(F.col("us") + H_US < F.col("_w")).drop("_w", "_one")
 
 
+@query(
+    "stream_horizon_labels",
+    f"WITH {EV1}, h AS ({_HIT}) SELECT patient_id, us, seq, CAST(hit AS BIGINT) AS horizon_label FROM h WHERE us + {H_US} <= {_MARK}",
+)
+def _(spark, sf):
+    out, checkpoint = _folders(spark)
+    labels = stateful.horizon_labels(
+        _stream(spark, sf), F.col("event_type") == "intervention", days=TASK.event_horizon_days, delay=DELAY
+    )
+    stateful.run_keyed(labels, out, checkpoint)
+    return spark.read.parquet(out)
+
+
 @query(
     "stream_check_events",
     f"WITH {_RAW} SELECT {_REASONS} AS reasons, count(*) AS n FROM raw GROUP BY 1",
@@ -184,3 +215,20 @@ def _(spark, sf):
     copies = raw.select("o_custkey", F.timestamp_micros(micros("o_orderdate")).alias("arrived"))
     streams.run_to_table(streams.cells_once(copies, ["o_custkey"], delay="3650 days"), out, checkpoint)
     return spark.read.parquet(out).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_first_copies",
+    "WITH c AS (SELECT o_custkey, (epoch_us(o_orderdate::TIMESTAMP))::BIGINT AS arrived_us, sha256(concat_ws('|', o_orderstatus, o_orderpriority)) AS digest FROM orders),"
+    " f AS (SELECT o_custkey, arg_min(digest, (arrived_us, digest)) AS digest_1, min(arrived_us) AS us_1 FROM c GROUP BY 1)"
+    " SELECT o_custkey, us_1 AS arrived_us, digest_1 AS digest, 'first' AS status FROM f"
+    " UNION ALL SELECT o_custkey, arrived_us, digest, 'conflict' FROM c JOIN f USING (o_custkey) WHERE digest <> digest_1",
+)
+def _(spark, sf):
+    out, checkpoint = _folders(spark)
+    raw = streams.file_stream(spark, sf, table(spark, sf, "orders").schema, pattern="orders.parquet")
+    copies = raw.withColumn("arrived", F.timestamp_micros(micros("o_orderdate")))
+    content = F.concat_ws("|", "o_orderstatus", "o_orderpriority").cast("binary")
+    found = stateful.first_copies(copies, ["o_custkey"], content, keep_days=3650.0)
+    stateful.run_keyed(found, out, checkpoint)
+    return spark.read.parquet(out)
