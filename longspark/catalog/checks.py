@@ -26,7 +26,7 @@ _RAW = (
     f" {_ISO} || CASE WHEN event_id % 40 = 1 THEN '' ELSE 'Z' END AS start_time, event_type AS code,"
     " CASE WHEN event_id % 30 = 2 THEN 'high' WHEN event_id % 30 = 3 THEN NULL ELSE CAST(event_id % 7 AS VARCHAR) END AS value,"
     " CASE WHEN event_id % 4 = 0 THEN ' ' ELSE 'mg' END AS unit,"
-    " CASE WHEN event_id % 60 = 3 THEN 'visit' ELSE ' Observation' END AS event_type, 'app' AS source,"
+    " CASE event_id % 60 WHEN 3 THEN 'visit' WHEN 33 THEN ' Observation' ELSE 'observation' END AS event_type, 'app' AS source,"
     " CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS metadata, event_id AS seq, epoch_us(ts) AS us FROM events)"
 )
 
@@ -42,7 +42,7 @@ def raw_events(spark, sf):
         F.col("event_type").alias("code"),
         F.when(i % 30 == 2, "high").when(i % 30 == 3, F.lit(None)).otherwise((i % 7).cast("string")).alias("value"),
         F.when(i % 4 == 0, " ").otherwise("mg").alias("unit"),
-        F.when(i % 60 == 3, "visit").otherwise(" Observation").alias("event_type"),
+        F.when(i % 60 == 3, "visit").when(i % 60 == 33, " Observation").otherwise("observation").alias("event_type"),
         F.lit("app").alias("source"),
         F.when(i % 5 != 0, F.col("props")).alias("metadata"),
         i.alias("seq"),
@@ -52,17 +52,22 @@ def raw_events(spark, sf):
 _REASONS = (
     "array_to_string(list_filter([CASE WHEN patient_id = '' THEN 'empty_patient_id' END,"
     " CASE WHEN NOT start_time LIKE '%Z' THEN 'time_without_zone' END,"
-    " CASE WHEN event_type = 'visit' THEN 'unknown_event_type' END], lambda x: x IS NOT NULL), ',')"
+    " CASE WHEN event_type <> 'observation' THEN 'unknown_event_type' END], lambda x: x IS NOT NULL), ',')"
 )
 
 
 @query(
     "read_events",
-    f"WITH {_RAW} SELECT seq, patient_id, us, code, TRY_CAST(value AS DOUBLE) AS value, CASE WHEN trim(unit) = '' THEN NULL ELSE unit END AS unit,"
-    f" lower(trim(event_type)) AS event_type, coalesce(metadata, '{{}}') AS metadata FROM raw WHERE {_REASONS} = ''",
+    f"WITH {_RAW} SELECT seq, patient_id, us, code, value, unit, event_type, metadata FROM (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq,"
+    " patient_id, us, code, TRY_CAST(value AS DOUBLE) AS value, CASE WHEN trim(unit) = '' THEN NULL ELSE unit END AS unit,"
+    f" event_type, coalesce(metadata, '{{}}') AS metadata, {_REASONS} AS reasons FROM raw) WHERE reasons = ''",
 )
 def _(spark, sf):
-    out = event_source.accepted(event_source.type_events(raw_events(spark, sf)))
+    # files in the order of the events, as a delivery would have them
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    ordered = raw_events(spark, sf).repartitionByRange("seq").sortWithinPartitions("seq")
+    ordered.drop("seq").write.options(header="true", quote='"', escape='"').csv(path)
+    out = event_source.accepted(event_source.type_events(event_source.read_event_files(spark, path)))
     return out.select("seq", "patient_id", "us", "code", "value", "unit", "event_type", "metadata")
 
 

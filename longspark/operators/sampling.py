@@ -37,6 +37,13 @@ def _refused(rows: DataFrame, problem: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(problem)).where(fails).drop("problem")
 
 
+def _repeats(entities: DataFrame, key: list[str]) -> DataFrame:
+    """One row whose ``problem`` says how many keys are given more than once, null for none."""
+    twice = entities.groupBy(*key).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.col("n").cast("string"), F.lit(" entities are repeated"))
+    return twice.select(F.when(F.col("n") > 0, message).alias("problem"))
+
+
 def cut_size(n: Column, fraction: float) -> Column:
     return F.floor(n.cast("double") * F.lit(fraction)).cast("bigint")
 
@@ -65,9 +72,7 @@ def split_entities(
         F.when(F.col("rank") <= train, "train").when(F.col("rank") <= val, "val").otherwise("test")
     )
     out = out.withColumn("split", part).drop("rank", "pool_size")
-    twice = entities.groupBy(*by, entity).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    message = F.concat(F.col("n").cast("string"), F.lit(" entities are repeated"))
-    return _refused(out, twice.select(F.when(F.col("n") > 0, message).alias("problem")))
+    return _refused(out, _repeats(entities, [*by, entity]))
 
 
 def sample_entities(
@@ -157,15 +162,33 @@ def site_split(
     entity: str = "patient_id",
     seed: int = 0,
     train_fraction: float = 0.8,
+    sites: list | None = None,
 ) -> DataFrame:
-    """Development and test part of the training site; every other site is all test."""
+    """Development and test part of the training site; every other site is all test.
+
+    An entity may stand once, at one site: a repeated one could be on both sides and is an error. So is a training site
+    that has no development or no test entity, and a site of ``sites`` without any entity.
+    """
+    if not 0 < train_fraction < 1:
+        raise ValueError("train_fraction must be between 0 and 1")
     out = ranked(entities, [site], entity, seed, "split")
-    develop = (F.col(site) == F.lit(train_site)) & (
-        F.col("rank") <= cut_size(F.col("pool_size"), train_fraction)
-    )
-    return out.withColumn("role", F.when(develop, "development").otherwise("test")).drop(
-        "rank", "pool_size"
-    )
+    here = F.col(site) == F.lit(train_site)
+    develop = F.coalesce(here & (F.col("rank") <= cut_size(F.col("pool_size"), train_fraction)), F.lit(False))
+    out = out.withColumn("role", F.when(develop, "development").otherwise("test")).drop("rank", "pool_size")
+    sizes = entities.agg(F.count_if(here).alias("n"))
+    short = (cut_size(F.col("n"), train_fraction) < 1) | (cut_size(F.col("n"), train_fraction) >= F.col("n"))
+    message = F.concat(F.lit(f"site {train_site} cannot be split: it has "), F.col("n").cast("string"), F.lit(" entities"))
+    problems = [_repeats(entities, [entity]), sizes.select(F.when(short, message).alias("problem"))]
+    if sites:
+        empty = missing_sites(entities, sites, site=site).agg(F.array_sort(F.collect_list(F.col(site).cast("string"))).alias("_s"))
+        said = F.concat(F.lit("no entity at site "), F.array_join("_s", ", "))
+        problems.append(empty.select(F.when(F.size("_s") > 0, said).alias("problem")))
+    every = problems[0]
+    for p in problems[1:]:
+        every = every.unionByName(p)
+    return _refused(out, every.agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("problem")).select(
+        F.when(F.col("problem") != "", F.col("problem")).alias("problem")
+    ))
 
 
 def missing_sites(entities: DataFrame, sites: list, *, site: str = "site") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longspark.operators.scan import exact_starts
 from longspark.schema import EVENT_FILE_COLUMNS, EVENT_FILE_SCHEMA, EVENT_TYPES
+from longspark.session import materialize
 
 # ISO-8601 date and time with an explicit offset
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
@@ -14,11 +16,34 @@ _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2}
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
+#: Blocks of files whose first numbers may be broadcast.
+MAX_BROADCAST_BLOCKS = 500_000
+
+
+def in_file_order(raw: DataFrame, name: str = "seq") -> DataFrame:
+    """Number the rows of a file-based frame from 0 by (path, place in the file), however Spark has split the files.
+
+    A row knows its file and block, and rows of a block are read in order. The rows are written once with these; counts of
+    blocks are added up over the blocks before, so no task sees all rows. ``raw`` must come straight from a file reader.
+    """
+    marked = raw.withColumns(
+        {"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_read": F.monotonically_increasing_id()}
+    )
+    rows = materialize(marked)
+    counted = rows.groupBy("_path", "_block").agg(F.min("_read").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    blocks = materialize(counted)
+    number = blocks.count()
+    starts = exact_starts(blocks, [], ["_path", "_block"], number, weight="_rows")
+    starts = F.broadcast(starts) if number <= MAX_BROADCAST_BLOCKS else starts
+    placed = rows.join(starts, ["_path", "_block"])
+    place = F.col("_start") + F.col("_read") - F.col("_least")
+    return placed.select(*[c for c in raw.columns if c != name], place.alias(name))
+
+
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
-    """Event CSV files as text columns; ``seq`` numbers rows in file order."""
+    """Event CSV files as text columns; ``seq`` numbers rows from 0 in file order, files by path."""
     reader = spark.read.schema(EVENT_FILE_SCHEMA).options(**_CSV)
-    raw = reader.csv(path, enforceSchema=False)
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+    return in_file_order(reader.csv(path, enforceSchema=False))
 
 
 def blank(c: Column) -> Column:
@@ -32,7 +57,8 @@ def type_events(raw: DataFrame) -> DataFrame:
     instant = F.when(zoned, F.try_to_timestamp(text["start_time"]))
     number = F.expr("try_cast(value AS double)")
     metadata = F.when(blank(text["metadata"]), F.lit("{}")).otherwise(text["metadata"])
-    kind = F.lower(F.trim(text["event_type"]))
+    # a type is one of the list as it stands; other case or spaces are another type
+    kind = text["event_type"]
     rules = [
         (blank(text["patient_id"]), "empty_patient_id"),
         (blank(text["code"]), "empty_code"),

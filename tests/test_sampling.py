@@ -61,6 +61,23 @@ def test_other_sites_are_all_test(spark, people):
     assert [r.site for r in sampling.missing_sites(people, [0, 1, 7]).collect()] == [7]
 
 
+def test_site_split_refuses_repeats_and_empty_sites(spark):
+    people = spark.createDataFrame([(f"p{i}", i % 3) for i in range(60)], "patient_id string, site int")
+    assert sampling.site_split(people, sites=[0, 1, 2]).count() == 60
+    cases = [
+        (people.union(people.limit(4)), {}, "4 entities are repeated"),
+        (people.unionByName(spark.createDataFrame([("p0", 2)], "patient_id string, site int")), {}, "1 entities are repeated"),
+        (people, {"sites": [0, 9, 7]}, "no entity at site 7, 9"),
+        (people, {"train_site": 5}, "site 5 cannot be split"),
+        (people, {"train_fraction": 0.01}, "site 0 cannot be split"),
+    ]
+    for rows, options, message in cases:
+        with pytest.raises(Exception, match=message):
+            sampling.site_split(rows, **options).collect()
+    with pytest.raises(ValueError):
+        sampling.site_split(people, train_fraction=1.0)
+
+
 def test_driver_draws_equal_column_draws(spark):
     row = spark.range(1).select(draw(3, "x", F.lit(4)).alias("d"), normal(3, "x", F.lit(4)).alias("z")).first()
     assert row.d == driver_draw(3, "x", 4)

@@ -21,7 +21,9 @@ def test_event_files_are_typed_and_bad_rows_are_kept_apart(spark, tmp_path):
         tmp_path / "in" / "e.csv",
         HEADER
         + 'p1,2024-01-02T03:04:05+02:00,a,1.5,mg,observation,x,"{""site_id"": 3, ""measurement_opportunity"": true}"\n'
-        + "p1,2024-01-02T03:04:05Z,a,high,,Observation,x,\n"
+        + "p1,2024-01-02T03:04:05Z,a,high,,observation,x,\n"
+        + "p3,2024-01-02T03:04:05Z,a,1,,Observation,x,\n"
+        + "p4,2024-01-02T03:04:05Z,a,1,, observation,x,\n"
         + "p2,2024-01-02T03:04:05,a,1,,observation,x,\n"
         + ",2024-01-02T03:04:05Z,,1,,visit,x,{bad\n",
     )
@@ -33,9 +35,34 @@ def test_event_files_are_typed_and_bad_rows_are_kept_apart(spark, tmp_path):
     ]
     bad = {r.patient_id: r.reasons for r in events.quarantine(typed).collect()}
     assert bad["p2"] == ["time_without_zone"]
+    # another case or a space is not a known type
+    assert bad["p3"] == bad["p4"] == ["unknown_event_type"]
     assert bad[None] == ["empty_patient_id", "empty_code", "unknown_event_type", "bad_metadata"]
 
 
+@pytest.mark.parametrize("size", ["2000", "100000", "1g"])
+def test_rows_are_numbered_in_file_order_under_any_split(spark, tmp_path, size):
+    for k, n in (("b", 300), ("a", 200), ("d", 0), ("c", 1)):
+        lines = "".join(f"p{k}{i},2024-01-02T03:04:05Z,{'x' * (i % 40)}c,1,,observation,s,\n" for i in range(n))
+        write(tmp_path / "in" / f"{k}.csv", HEADER + lines)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], size)
+        spark.conf.set(names[1], "100")
+        out = {r.seq: r.patient_id for r in events.read_event_files(spark, str(tmp_path / "in")).collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    want = [f"pa{i}" for i in range(200)] + [f"pb{i}" for i in range(300)] + ["pc0"]
+    assert out == dict(enumerate(want))
+
+
+def test_no_event_files_rows(spark, tmp_path):
+    write(tmp_path / "in" / "e.csv", HEADER)
+    assert events.read_event_files(spark, str(tmp_path / "in")).count() == 0
+
+
 def test_event_files_round_trip(spark, tmp_path):
     write(
         tmp_path / "in" / "e.csv",
