@@ -48,11 +48,30 @@ def shifts(number: int, shorter: int, edits: int) -> range:
     return range(max(-left, shorter - right), min(left, shorter + right) + 1)
 
 
+def _letter_bits(rests: list[Column]) -> Column:
+    """Counts of the letters modulo 16, four bits for each, from a line and what is left of it after each letter."""
+    bits = [
+        F.shiftleft((F.octet_length(x) - F.octet_length(y)).bitwiseAND(15).cast("long"), 4 * i)
+        for i, (x, y) in enumerate(zip(rests, rests[1:]))
+    ]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
 def _letter_counts(line: Column) -> Column:
-    """Counts of a few letters modulo 16, four bits for each."""
-    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    bits = [F.shiftleft(count(c).bitwiseAND(15).cast("long"), 4 * i) for i, c in enumerate(_LETTERS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    """The counts as one expression."""
+    rests = [line]
+    for c in _LETTERS:
+        rests.append(F.replace(rests[-1], F.lit(c), F.lit("")))
+    return _letter_bits(rests)
+
+
+def _with_letters(rows: DataFrame) -> DataFrame:
+    """Add ``letters``, the counts of ``line``: a column for each rest, so that each search goes over a shorter one, once."""
+    rests, out = [F.col("line")], rows
+    for i, c in enumerate(_LETTERS):
+        out = out.withColumn(f"_rest{i}", F.replace(rests[-1], F.lit(c), F.lit("")))
+        rests.append(F.col(f"_rest{i}"))
+    return out.select(*rows.columns, _letter_bits(rests).alias("letters"))
 
 
 def _counts_differ(a: Column, b: Column) -> Column:
@@ -155,9 +174,10 @@ def _lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
 def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs (a, b) of hashes of different lines that share a segment and nearly share letter counts.
 
-    ``lines`` holds each line once: (h, line).
+    ``lines`` holds each line once: (h, line), and ``letters`` where they have been counted.
     """
-    rows = lines.select("h", "line", F.length("line").alias("len"), _letter_counts(F.col("line")).alias("letters"))
+    counted = lines if "letters" in lines.columns else _with_letters(lines)
+    rows = counted.select("h", "line", F.length("line").alias("len"), "letters")
     # a row per key to compute, so that the generated code stays small enough to be compiled
     own = [(i, 0, 0) for i in range(1, edits + 2)]
     others = [(i, d, s) for d in range(edits + 1) for i in range(1, edits + 2) for s in shifts(i, d, edits)]
@@ -200,10 +220,12 @@ def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: in
     again = materialize(first.where("n > 1").select("h", "h2", "first"))
     lines = lines.join(broadcast_if_small(again), ["h", "h2"], "left")
     once = lines.where(F.col("first").isNull() | (F.col("first") == place))
-    pairs = materialize(near_pairs(once.select("h", "line"), edits))
+    # split, hashed and counted once: the keys of both sides and the texts start from the written lines
+    once = materialize(_with_letters(once.select("h", "h2", "line", place.alias("at"))))
+    pairs = materialize(near_pairs(once, edits))
     met = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = once.join(broadcast_if_small(met), "h", "left_semi")
-    texts = materialize(texts.select("h", "h2", "line", place.alias("at")))
+    texts = materialize(texts.select("h", "h2", "line", "at"))
     close = materialize(verified(pairs, texts, edits).select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b"))
     late = close.where("at_a < at_b").select(F.col("h_b").alias("h"), F.col("h2_b").alias("h2"))
     late = materialize(late.union(close.where("at_b < at_a").select("h_a", "h2_a")).distinct().withColumn("near", F.lit(True)))
