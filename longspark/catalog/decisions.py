@@ -373,7 +373,7 @@ def _(spark, sf):
 @query("d2_analysis")
 def _(spark, sf):
     rows = arrays(spark, sf).withColumn("unit", F.col("cohort") * 5 + F.col("subset"))
-    return reports.array_analysis(rows, ["design"], LEVELS, "unit", resamples=200)
+    return reports.array_analysis(rows, ["design"], LEVELS, "unit", resamples=REPS)
 
 
 _OVER = f"{AR}, ov AS (SELECT a.n_train, a.delta_mae AS x, b.delta_mae AS y FROM ar a JOIN ar b USING (n_train, cohort, subset, model) WHERE a.design = 'a' AND b.design = 'b')"

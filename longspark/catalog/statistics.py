@@ -172,7 +172,7 @@ def _(spark, sf):
 LEVELS = {f: [0, 1, 2, 3, 4] for f in FACTORS}
 
 
-def dominance(spark, sf, reps=200):
+def dominance(spark, sf, reps=REPS):
     rows = arrays(spark, sf).withColumn("unit", F.col("cohort") * 5 + F.col("subset"))
     return resample.bootstrap_dominance(
         rows, ["design", "n_train"], "unit", LEVELS, "delta_mae", resamples=reps
@@ -285,6 +285,71 @@ def _(spark, sf):
     )
 
 
+# two factors of two levels have a closed form: the effect of one is its mean difference inside the levels of the other
+TWO = ["first", "second"]
+_TWO = (
+    "tw AS (SELECT l_returnflag AS design, l_partkey % 24 AS unit, l_partkey % 24 % 2 AS first, l_partkey % 24 // 2 % 2 AS second,"
+    f" avg({_E}) AS value FROM lineitem GROUP BY 1, 2, 3, 4)"
+)
+
+
+def _two_sums(source: str, keys: str) -> str:
+    """Sums of squares ``s1``, ``s2`` of both factors and ``total`` per group of rows (first, second, value)."""
+
+    def effect(f: str, g: str) -> str:
+        n = {(i, j): f"count(*) FILTER (WHERE {f} = {i} AND {g} = {j})" for i in (0, 1) for j in (0, 1)}
+        m = {(i, j): f"avg(value) FILTER (WHERE {f} = {i} AND {g} = {j})" for i in (0, 1) for j in (0, 1)}
+        w = [f"coalesce({n[0, j]} * {n[1, j]}::DOUBLE / nullif({n[0, j]} + {n[1, j]}, 0), 0)" for j in (0, 1)]
+        d = [f"coalesce({m[1, j]} - {m[0, j]}, 0)" for j in (0, 1)]
+        up = " + ".join(f"{w[j]} * {d[j]}" for j in (0, 1))
+        return f"coalesce(power({up}, 2) / nullif({w[0]} + {w[1]}, 0), 0)"
+
+    raw = f"SELECT {keys}, {effect('first', 'second')} AS r1, {effect('second', 'first')} AS r2, var_pop(value) * count(*) AS total FROM {source} GROUP BY {keys}"
+    return (
+        f"SELECT {keys}, CASE WHEN r1 <= 1e-12 * total THEN 0 ELSE r1 END AS s1, CASE WHEN r2 <= 1e-12 * total THEN 0 ELSE r2 END AS s2, total FROM ({raw})"
+    )
+
+
+_TWO_FREQ = (
+    f"{_TWO}, u AS {_units('tw', 'design', 'unit')}, pk AS (SELECT u.design, rep, v.first, v.second, v.value"
+    f" FROM u, (SELECT unnest(range(1, {REPS + 1})) AS rep) r, u v WHERE u.design = v.design AND v.k = {sql_draw('20260827', 'rep', 'u.k')} % u.n + 1),"
+    f" rs AS ({_two_sums('pk', 'design, rep')}), fq AS (SELECT design, factor, count(*) AS resamples, count(*) FILTER (WHERE (s1 >= s2) = (factor = 'first')) AS largest_count"
+    " FROM rs, (VALUES ('first'), ('second')) AS t(factor) GROUP BY 1, 2)"
+)
+
+
+def _two(spark, sf):
+    unit = F.col("l_partkey") % 24
+    keys = [F.col("l_returnflag").alias("design"), unit.alias("unit"), (unit % 2).alias("first"), F.floor(unit / 2 % 2).cast("bigint").alias("second")]
+    return table(spark, sf, "lineitem").groupBy(*keys).agg(F.avg(_error()).alias("value"))
+
+
+def _two_frequencies(spark, sf):
+    return resample.bootstrap_dominance(_two(spark, sf), ["design"], "unit", {f: [0, 1] for f in TWO}, "value", resamples=REPS)
+
+
+@query(
+    "dominance_two_level",
+    f"WITH {_TWO_FREQ} SELECT design, factor, resamples, largest_count, largest_count / resamples AS largest_frequency FROM fq",
+)
+def _(spark, sf):
+    return _two_frequencies(spark, sf)
+
+
+@query(
+    "factor_class_bootstrap",
+    f"WITH {_TWO_FREQ}, fs AS ({_two_sums('tw', 'design')}), lg AS (SELECT design, factor, largest_count / resamples AS f,"
+    " CASE factor WHEN 'first' THEN s1 ELSE s2 END / total AS share, CASE factor WHEN 'first' THEN s2 ELSE s1 END / total AS other, total FROM fs JOIN fq USING (design))"
+    f" SELECT design, factor AS component, {R('share')} AS variance_share, f AS largest_frequency,"
+    " CASE WHEN total <= 2.220446049250313e-16 THEN 'unresolved' WHEN share <= other + 1e-8 + 1e-5 * abs(other) AND f <= 0.2 THEN 'weak'"
+    " WHEN share >= other AND share > 0 AND share >= 2 * other AND f >= 0.8 THEN 'dominant' ELSE 'unresolved' END AS factor_classification FROM lg",
+)
+def _(spark, sf):
+    parts = variance.factor_ss_general(_two(spark, sf), ["design"], {f: [0, 1] for f in TWO}, "value")
+    out = variance.factor_class(parts, _two_frequencies(spark, sf), ["design"])
+    return rounded(out.select("design", "component", "variance_share", "largest_frequency", "factor_classification"), "variance_share")
+
+
 # the largest share of a design stands in for a bootstrap frequency of 1
 CLASSES = (
     f"{_LEVELS}, nm AS (SELECT *, max(variance_share) OVER w AS mx, min(variance_share) OVER w AS mi,"

@@ -97,6 +97,7 @@ def _(spark, sf):
     return streams.latest(spark, out, keys)
 
 
+# the stream holds observations only, so they alone move its watermark
 _DAYS = f"{DAY_US}.0::DOUBLE"
 
 
@@ -106,7 +107,7 @@ _DAYS = f"{DAY_US}.0::DOUBLE"
     " WHERE event_type = 'observation' WINDOW w AS (PARTITION BY patient_id, code ORDER BY us, seq))"
     " SELECT patient_id, code, us, seq, value, last_value, p AS last_us, k - 1 AS n_before,"
     f" {R(f'(us - f) / {_DAYS}')} AS elapsed_days, CASE WHEN p IS NULL THEN NULL ELSE {R(f'(us - p) / {_DAYS}')} END AS gap_days"
-    f" FROM o WHERE us <= {_MARK}",
+    " FROM o WHERE us <= " + _MARK.replace("FROM ev1", "FROM ev1 WHERE event_type = 'observation'"),
 )
 def _(spark, sf):
     out, checkpoint = _folders(spark)

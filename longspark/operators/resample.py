@@ -433,40 +433,79 @@ def bootstrap_dominance(
     """How often each factor has the largest main-effect sum of squares over resamples.
 
     A resample is unbalanced and may lose a level, so effects come from dropping the factor out
-    of a least-squares fit. Spark aggregates the normal equations of every resample; only those
-    small matrices reach Python.
+    of a least-squares fit; effects under ``ZERO_SHARE`` of the total count as none, and the first factor wins a tie. Groups of up to ``BLOCK`` units
+    travel once, and runs of replicates weigh their products; of larger groups Spark aggregates the normal equations of every
+    resample. Only small matrices are solved in Python.
     """
+    if resamples <= 0:
+        raise ValueError("the number of replicates must be positive")
     names = list(factors)
-    units = number_units(df.select(*by, unit, *names, value), by, unit)
-    slots = replicates(units.select(*by, "k", "n"), resamples)
-    picked = slots.select(
-        *by, "replicate", (draw(seed, F.col("replicate"), F.col("k")) % F.col("n") + 1).alias("k")
-    )
-    rows = picked.join(units.drop("n"), [*by, "k"])
     spans, columns = dummy_columns(factors)
-    equations = normal_equations(rows, [*by, "replicate"], columns, value)
-    width = len(columns)
-
-    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.drop(columns=["cross", "n"])
-            largest = []
-            for cross in pdf["cross"]:
-                ss, _, _ = drop_one_ss(np.asarray(cross, float), width, spans)
-                largest.append(names[int(np.argmax([ss[f] for f in names]))])
-            out["largest"] = largest
-            yield out
-
-    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in equations.schema if f.name in by)
-    winners = equations.mapInPandas(solve, f"{keys}replicate int, largest string")
-    counted = winners.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("resamples"),
-        *[F.count_if(F.col("largest") == f).alias(f) for f in names],
+    bound = largest_group(df, by)
+    units = number_units(df.select(*by, unit, *names, value), by, unit, group_bound=bound)
+    if bound <= BLOCK:
+        line = F.array(*columns, F.col(value).cast("double"))
+        packed = units.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("_units"))
+        packed = packed.select(*by, F.col("_units.line").alias("_lines"))
+        firsts = F.explode(F.sequence(F.lit(1), F.lit(resamples), F.lit(REPLICATE_BLOCK)))
+        rows = packed.withColumn("_first", firsts).repartition(*by, "_first")
+        found = rows.mapInPandas(_dominance_counts(seed, resamples, by, names, spans, len(columns)), _winner_fields(df, by))
+    else:
+        slots = replicates(units.select(*by, "k", "n"), resamples)
+        picked = slots.select(
+            *by, "replicate", (draw(seed, F.col("replicate"), F.col("k")) % F.col("n") + 1).alias("k")
+        )
+        rows = picked.join(units.drop("n"), [*by, "k"])
+        equations = normal_equations(rows, [*by, "replicate"], columns, value)
+        found = equations.mapInPandas(_dominance_winners(by, names, spans, len(columns)), _winner_fields(df, by))
+    counted = found.groupBy(*by).agg(
+        F.sum("wins").alias("resamples"), *[F.sum(F.when(F.col("largest") == f, F.col("wins")).otherwise(0)).alias(f) for f in names]
     )
     long = counted.unpivot([*by, "resamples"], names, "factor", "largest_count")
     return long.withColumn("largest_frequency", F.col("largest_count") / F.col("resamples"))
 
 
+def _winner_fields(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema) + "largest string, wins long"
+
+
+def _largest(cross: np.ndarray, names: list[str], width: int, spans: dict[str, range]) -> list[str]:
+    """The factor with the largest effect of each matrix of a stack."""
+    effects, _, total = drop_one_stack(cross, width, spans)
+    table = np.stack([np.where(effects[f] <= ZERO_SHARE * total, 0.0, effects[f]) for f in names], 1)
+    return [names[i] for i in table.argmax(1)]
+
+
+def _dominance_counts(seed: int, resamples: int, by: list[str], names: list[str], spans: dict[str, range], width: int):
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for record in pdf.to_dict("records"):
+                lines = np.array([list(u) for u in record["_lines"]], float)
+                n, first = len(lines), int(record["_first"])
+                count = min(REPLICATE_BLOCK, resamples - first + 1)
+                drawn = [driver_draw(seed, r, k) % n for r in range(first, first + count) for k in range(1, n + 1)]
+                weights = np.zeros((count, n))
+                np.add.at(weights, (np.repeat(np.arange(count), n), np.array(drawn, np.int64)), 1.0)
+                products = (lines[:, :, None] * lines[:, None, :]).reshape(n, -1)
+                largest = _largest((weights @ products).reshape(count, width + 1, width + 1), names, width, spans)
+                out += [[*[record[k] for k in by], f, largest.count(f)] for f in names]
+            yield pd.DataFrame(out, columns=[*by, "largest", "wins"])
+
+    return run
+
+
+def _dominance_winners(by: list[str], names: list[str], spans: dict[str, range], width: int):
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in frames:
+            out = pdf[by].copy()
+            cross = np.stack([unpack(np.asarray(c, float), width + 1) for c in pdf["cross"]]) if len(pdf) else np.zeros((0, width + 1, width + 1))
+            out["largest"], out["wins"] = _largest(cross, names, width, spans) if len(pdf) else [], 1
+            yield out
+
+    return run
+
+
 def dummy_columns(factors: dict[str, list]) -> tuple[dict[str, range], list[Column]]:
     """Indicator columns of all but the first level; column 0 is the intercept."""
     columns = [F.lit(1.0)]
@@ -490,19 +529,22 @@ def normal_equations(df: DataFrame, keys: list[str], columns: list[Column], valu
     return out.select(*keys, "n", packed.alias("cross"))
 
 
-def drop_one_ss(cross: np.ndarray, width: int, spans: dict[str, range]) -> tuple[dict[str, float], float, float]:
-    """Main-effect sums of squares, residual and total, from the normal equations."""
-    m = unpack(cross, width + 1)
-    gram, right, square = m[:width, :width], m[:width, width], m[width, width]
+def drop_one_stack(cross: np.ndarray, width: int, spans: dict[str, range]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Main-effect sums of squares, residual and total of each matrix of normal equations in a stack."""
+    gram, right, square = cross[:, :width, :width], cross[:, :width, width], cross[:, width, width]
 
-    def sse(keep: list[int]) -> float:
-        b = right[keep]
-        fitted = b @ np.linalg.pinv(gram[np.ix_(keep, keep)], rcond=1e-10, hermitian=True) @ b
-        return max(0.0, float(square - fitted))
+    def sse(keep: list[int]) -> np.ndarray:
+        b = right[:, keep]
+        inverse = np.linalg.pinv(gram[:, keep][:, :, keep], rcond=1e-10, hermitian=True)
+        return np.maximum(0.0, square - np.einsum("ri,rij,rj->r", b, inverse, b))
 
     everything = list(range(width))
     full = sse(everything)
-    effects = {
-        name: max(0.0, sse([i for i in everything if i not in span]) - full) for name, span in spans.items()
-    }
+    effects = {name: np.maximum(0.0, sse([i for i in everything if i not in span]) - full) for name, span in spans.items()}
     return effects, full, sse([0])
+
+
+def drop_one_ss(cross: np.ndarray, width: int, spans: dict[str, range]) -> tuple[dict[str, float], float, float]:
+    """The same of one matrix, given as its upper triangle."""
+    effects, full, total = drop_one_stack(unpack(cross, width + 1)[None], width, spans)
+    return {f: float(v[0]) for f, v in effects.items()}, float(full[0]), float(total[0])

@@ -102,3 +102,16 @@ def test_units_in_many_blocks_are_drawn_multinomially(spark):
     assert len(means) == 600 and sorted(means) == pytest.approx(sorted(again))
     assert np.mean(means) == pytest.approx(values.mean(), abs=5 * values.std() / np.sqrt(n * 600))
     assert np.std(means) == pytest.approx(values.std() / np.sqrt(n), rel=0.15)
+
+
+def test_dominance_equals_the_joined_form(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, f"u{i:02d}", i % 2, i % 3, float(rng.normal() + (i % 3) * (g == "a"))) for g in "ab" for i in range(18)]
+    df = spark.createDataFrame(rows, "g string, unit string, p int, q int, v double")
+    factors = {"p": [0, 1], "q": [0, 1, 2]}
+    fast = resample.bootstrap_dominance(df, ["g"], "unit", factors, "v", resamples=60)
+    assert {r.resamples for r in fast.collect()} == {60}
+    fast = {(r.g, r.factor): r.largest_count for r in fast.collect()}
+    monkeypatch.setattr(resample, "BLOCK", 3)
+    slow = resample.bootstrap_dominance(df, ["g"], "unit", factors, "v", resamples=60).collect()
+    assert fast == {(r.g, r.factor): r.largest_count for r in slow} and fast["a", "q"] > 30
