@@ -52,4 +52,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written._written_path = path
+    return written
+
+
+def release(*written: DataFrame) -> None:
+    """Remove materialized frames that nothing reads any more; what was derived from them must be written."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
