@@ -2,21 +2,22 @@
 
 Each document is a set of shingles. To reach the similarity, a partner has to occur in T of the inverted
 lists of the set. As in DivideSkip, the lists are divided by length: of a document's n lists all but T - 1
-are merged, the shortest; whoever occurs in none of them cannot reach T. With a centre, the T - 1 long
-lists are not read: whether a candidate occurs in them is found by binary probes of its sorted set. Lengths of lists are
+are merged, the shortest; whoever occurs in too few of them cannot reach T. The T - 1 long lists are not
+read: whether a candidate occurs in them is found by binary probes of its sorted set. Lengths of lists are
 estimated by a sketch of fixed size over all documents; any order of the lists gives the same links.
 
 Only the components of the links are wanted, so not every pair of a list is a candidate. Equal sets are
 one class. In each list the member with the longest lists (the centre of a group of near copies) is
 compared with the others; a list whose members are then in one component is done. In the other lists, all
 members outside the list's largest component are queries against all members of lists with that component,
-which leaves no pair of different components unseen. Blocks of queries have an inverted index of their own,
-of all their lists: there the long ones are counted with the short ones. A text travels once for a block, not
-for a pair.
+which leaves no pair of different components unseen. Blocks of queries of about one size have inverted lists of their
+own: the short lists of the members travel to them and are merged, by sorting, and only members that occur
+often enough there are sent as texts, once for a part of a block, not for a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from longspark.llm.common import broadcast_if_small, small_batches, worker_cache
 from longspark.llm.components import connected_components
-from longspark.session import materialize
+from longspark.session import materialize, release
 
 SHINGLE = 3
 #: Per cent of the union that two sets share at least.
@@ -40,11 +41,14 @@ SKETCH_BITS = 21
 _BLOCK = 1 << 13
 #: Members that are compared with one copy of a list's centre.
 MEMBERS = 500
-#: Queries of a block, and members that are searched with one copy of a block.
-BLOCK = 256
-SEARCHED = 2000
-#: Rounds with one centre a list at most, as long as they find links and leave more pairs than list entries.
+#: Entries of short lists in a block of queries, and of members that are searched with one copy of it.
+BLOCK = 1 << 19
+SEARCHED = 1 << 20
+#: Parts of a block whose whole sets are held together.
+SUBS = 16
+#: Rounds with one centre a list at most, as long as they find links and leave more than so many pairs for a list entry.
 ROUNDS = 4
+FEW = 64
 
 _KNOWN_WORDS = 200_000
 #: Larger counts of the sketch are not told apart.
@@ -131,28 +135,30 @@ def _block_rows(blocks: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch
     )
 
 
-def _sets(docs: DataFrame, id_: str, text: str, size: int, similarity: int) -> DataFrame:
+def _divided(words: np.ndarray, size: int, similarity: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set of shingles, and those of them whose lists are the short ones (all but T - 1), shortest first."""
+    s, at = np.unique(shingle_hashes(words, size), return_index=True)
+    if not len(s):
+        return s, s
+    often = counts[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    rarest = often[at]
+    for i in range(1, min(size, len(words))):
+        rarest = np.minimum(rarest, often[at + i])
+    return s, s[np.lexsort((s, rarest))[: len(s) - occurrences(len(s), similarity) + 1]]
+
+
+def _sets(docs: DataFrame, sketch, id_: str, text: str, size: int, similarity: int) -> DataFrame:
     """(doc, n, digest, short): the size, a digest of the set, and the hashes of its short lists."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
-    shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = worker_cache("shingle words", _Hashes), sketch.value
         for batch in batches:
             sizes, digests, shorts = [], [], []
             for t in batch.column(1).to_pylist():
-                words = word_hashes(t, hashes)
-                s, at = np.unique(shingle_hashes(words, size), return_index=True)
-                n = len(s)
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if n else None)
-                if n:
-                    often = counts[(words >> shift).astype(np.int64)]
-                    rarest = often[at]
-                    for i in range(1, min(size, len(words))):
-                        rarest = np.minimum(rarest, often[at + i])
-                    s = s[np.lexsort((s, rarest))[: n - occurrences(n, similarity) + 1]]
-                shorts.append(s.view(np.int64))
+                s, short = _divided(word_hashes(t, hashes), size, similarity, counts)
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                shorts.append(short.view(np.int64))
             ends = np.cumsum([0, *map(len, shorts)]).astype(np.int32)
             short = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *shorts])))
             yield pa.RecordBatch.from_arrays(
@@ -193,76 +199,142 @@ def _linked(docs: DataFrame, pairs: DataFrame, id_: str, text: str, size: int, s
                 own = shingle_set(t, size, hashes)
                 if kind == 0:
                     at, centre = (q, salt), own
-                elif at == (q, salt) and len(own) and len(centre):
-                    place = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-                    both = int((centre[place] == own).sum())
-                    if 100 * both >= similarity * (len(own) + len(centre) - both):
-                        found.append((q, doc))
+                elif at == (q, salt) and len(own) and len(centre) and _similar(centre, own, similarity):
+                    found.append((q, doc))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["q", "doc"]
             )
 
-    return materialize(rows.select("q", "salt", "kind", "id", "text").mapInArrow(probe, "q long, doc long"))
+    links = materialize(rows.select("q", "salt", "kind", "id", "text").mapInArrow(probe, "q long, doc long"))
+    release(salted, need)
+    return links
 
 
 def _searched(
-    docs: DataFrame, members: DataFrame, asking: DataFrame, id_: str, text: str, size: int, similarity: int
+    docs: DataFrame, sets: DataFrame, members: DataFrame, sketch, id_: str, text: str, size: int, similarity: int
 ) -> DataFrame:
-    """The similar pairs (q, doc) of the queries ``asking`` and the ``members`` of the same ``main``."""
-    blocks = asking.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    shares = members.groupBy("main").agg(F.ceil(F.count("*") / SEARCHED).alias("shares"))
-    dealt = materialize(blocks.join(shares, "main"))
+    """Similar pairs (q, doc) that join different parts, of ``members`` (main, doc, n, part) of the same ``main``.
+
+    Queries are the members whose part is not ``main``. They are dealt by (main, band of size), as sizes further than a
+    band apart are never similar, and then by hash to blocks. First only short lists travel and are merged; the texts follow for the
+    members and queries that reach the count, and their long lists are probed. One pair is enough for two parts.
+    """
+    band = F.floor(F.log("n") / (max(math.log(100 / similarity), 0.01) * 1.0001))
+    entries = F.sum(F.col("n") - F.floor((similarity * F.col("n") + 99) / 100) + 1)
+    keys, h = ["main", "band"], F.xxhash64("doc")
+    members = members.withColumn("band", band)
+    asking = members.where("part <> main")
+    blocks = materialize(asking.groupBy(keys).agg(F.ceil(entries / BLOCK).alias("blocks")))
+    met = members.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    met = materialize(met.join(broadcast_if_small(blocks), keys))
+    shares = met.groupBy(keys).agg(F.first("blocks").alias("blocks"), F.ceil(entries / SEARCHED).alias("shares"))
+    dealt = broadcast_if_small(materialize(shares))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    queries = asking.join(dealt, "main").select(
-        F.col("doc").alias("id"), "main", own("blocks").alias("block"), spread("shares").alias("share"), F.lit(0).alias("kind")
-    )
-    others = members.join(dealt, "main").select(
-        F.col("doc").alias("id"), "main", spread("blocks").alias("block"), own("shares").alias("share"), F.lit(1).alias("kind")
-    )
-    need = materialize(queries.union(others))
+    sub = F.pmod(h, F.col("blocks") * SUBS)
+    queries = asking.join(dealt, keys).withColumn("sub", sub).withColumn("block", F.pmod("sub", "blocks"))
+    queries = queries.withColumn("share", spread("shares")).withColumn("kind", F.lit(0))
+    others = met.drop("blocks").join(dealt, keys).withColumn("sub", F.lit(-1).cast("long")).withColumn("block", spread("blocks"))
+    others = others.withColumn("share", F.pmod(h, F.col("shares"))).withColumn("kind", F.lit(1))
+    columns = [*keys, "block", "share", "kind", "doc", "n", "part", "sub"]
+    need = materialize(queries.select(columns).union(others.select(columns)))
+    rows = sets.select("doc", "short").join(broadcast_if_small(need), "doc").repartition(*columns[:4]).sortWithinPartitions(*columns[:5])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index, asked = None, None, []
+        for batch in batches:
+            found = []
+            ends, tokens = batch.column(9).offsets.to_numpy(), batch.column(9).values.to_numpy().view(np.uint64)
+            for i, (main, band, block, share, kind, doc, n, part, sub) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:9]))):
+                if at != (main, band, block, share):
+                    at, index, asked = (main, band, block, share), None, []
+                short = tokens[ends[i] : ends[i + 1]]
+                if kind == 0:
+                    asked.append((short, n, part, sub, doc))
+                    continue
+                if index is None:
+                    index, named = _Lists(asked), set()
+                who = index.reaching(short, n, part, similarity)
+                found += [(main, band, int(s), 1, doc) for s in np.unique(index.subs[who])]
+                for k in who:
+                    if k not in named:
+                        named.add(k)
+                        found.append((main, band, asked[k][3], 0, asked[k][4]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=[*keys, "sub", "kind", "doc"])
+
+    reached = rows.select(*columns, "short").mapInArrow(merge, "main long, band long, sub long, kind int, doc long")
+    reached = materialize(reached.distinct())
+    release(need, met)
+    parts = materialize(members.select("main", "doc", "part").distinct())
+    keys = [*keys, "sub"]
+    copies = reached.where("kind = 1").groupBy(keys).agg(F.ceil(F.count("*") / MEMBERS).alias("shares"))
+    copies = broadcast_if_small(materialize(copies))
+    share = F.when(F.col("kind") == 0, F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).otherwise(F.array(F.pmod(h, F.col("shares"))))
+    need = reached.join(copies, keys).withColumn("share", F.explode(share)).join(parts, ["main", "doc"])
+    need = materialize(need.select(*keys, "share", "kind", F.col("doc").alias("id"), "part"))
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
-    keys = ["main", "block", "share"]
-    rows = texts.join(broadcast_if_small(need), "id").repartition(*keys).sortWithinPartitions(*keys, "kind")
+    rows = texts.join(broadcast_if_small(need), "id").repartition(*keys, "share").sortWithinPartitions(*keys, "share", "kind")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, sets, names, index = worker_cache("shingle words", _Hashes), None, [], [], None
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, index, asked, linked = worker_cache("shingle words", _Hashes), None, None, [], set()
         for batch in batches:
             found = []
-            for main, block, share, kind, doc, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if at != (main, block, share):
-                    at, sets, names, index = (main, block, share), [], [], None
-                own = shingle_set(t, size, hashes)
+            for *key, kind, doc, part, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
+                    at, index, asked, linked = key, None, [], set()
+                own, short = _divided(word_hashes(t, hashes), size, similarity, sketch.value)
                 if kind == 0:
-                    sets.append(own)
-                    names.append(doc)
-                elif sets and len(own):
-                    index = index or _inverted(sets)
-                    found += [(names[i], doc) for i in _occurring(index, own, similarity) if names[i] != doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["q", "doc"]
-            )
-
-    return materialize(rows.select(*keys, "kind", "id", "text").mapInArrow(search, "q long, doc long"))
-
-
-def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted shingles of several sets, the set of each, and the sizes of the sets."""
-    sizes = np.array([len(s) for s in sets])
-    shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(shingles, kind="stable")
-    return shingles[order], owner[order], sizes
-
-
-def _occurring(index: tuple, own: np.ndarray, similarity: int) -> np.ndarray:
-    """Which sets occur often enough in the lists of ``own``'s shingles."""
-    shingles, owner, sizes = index
-    first, end = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
-    lengths = end - first
-    before = np.cumsum(lengths) - lengths
-    places = np.repeat(first - before, lengths) + np.arange(int(lengths.sum()))
-    both = np.bincount(owner[places], minlength=len(sizes))
-    return np.flatnonzero(100 * both >= similarity * (sizes + len(own) - both))
+                    asked.append((short, len(own), part, own, doc))
+                    continue
+                index = index or _Lists(asked)
+                for k in index.reaching(short, len(own), part, similarity):
+                    _, n, other, whole, q = asked[k]
+                    if (other, part) not in linked and _similar(whole, own, similarity):
+                        linked.add((other, part))
+                        found.append((q, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["q", "doc"])
+
+    links = materialize(rows.select(*keys, "share", "kind", "id", "part", "text").mapInArrow(probe, "q long, doc long"))
+    release(need, reached, parts)
+    return links
+
+
+class _Lists:
+    """Inverted lists of the short part of several sets: tuples that begin with (short, size, part, sub)."""
+
+    def __init__(self, sets: list[tuple]):
+        lengths = [len(s[0]) for s in sets]
+        tokens, owner = np.concatenate([np.empty(0, np.uint64), *(s[0] for s in sets)]), np.repeat(np.arange(len(sets)), lengths)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.sizes = np.array([s[1] for s in sets], np.int64)
+        self.parts = np.array([s[2] for s in sets], np.int64)
+        self.subs = np.array([s[3] if np.isscalar(s[3]) else 0 for s in sets], np.int64)
+
+    def reaching(self, short: np.ndarray, n: int, part: int, similarity: int) -> np.ndarray:
+        """Which sets of other parts occur in enough of the merged lists of ``short``.
+
+        All short parts go by one order, so of two sets that share ``least`` shingles those of one set beyond its short part
+        are T - 1, and the others stand in both short parts.
+        """
+        first, end = np.searchsorted(self.tokens, short, "left"), np.searchsorted(self.tokens, short, "right")
+        lengths = end - first
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(first - before, lengths) + np.arange(int(lengths.sum()))
+        who, count = np.unique(self.owner[places], return_counts=True)
+        sizes = self.sizes[who]
+        least = -(-similarity * (sizes + n) // (100 + similarity))
+        most = np.maximum(occurrences(sizes, similarity), occurrences(n, similarity))
+        fits = (100 * sizes >= similarity * n) & (100 * n >= similarity * sizes)
+        return who[(count >= least - most + 1) & fits & (self.parts[who] != part)]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Two sorted sets: the smaller one's members are probed in the larger one."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[place] == small).sum())
+    return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
 def components(
@@ -275,7 +347,8 @@ def components(
     rows without an id are linked with nothing and have no component. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    sets = _sets(docs, id_, text, size, similarity)
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
+    sets = _sets(docs, sketch, id_, text, size, similarity)
     able = sets.where("doc is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
     classes = broadcast_if_small(materialize(classes.select("digest", "rep")))
@@ -286,9 +359,11 @@ def components(
     heads = heads.dropDuplicates(["digest", "doc"]).select("doc", "n", "short")
 
     entries = alone.union(heads).select(F.explode("short").alias("token"), "doc", "n")
-    lists = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    # written, so that the join of a very long list can be split
+    lists = materialize(entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     live = materialize(entries.join(lists, "token"))
-    links = _all_links(docs, live, id_, text, size, similarity)
+    release(lists)
+    links = _all_links(docs, sets, live, sketch, id_, text, size, similarity)
     labels = materialize(connected_components(links, "q", "doc"))
     out = members.join(labels, members["rep"] == labels["node"], "left")
     return out.select(
@@ -296,7 +371,9 @@ def components(
     )
 
 
-def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int, similarity: int) -> DataFrame:
+def _all_links(
+    docs: DataFrame, sets: DataFrame, live: DataFrame, sketch, id_: str, text: str, size: int, similarity: int
+) -> DataFrame:
     """Links that connect whatever the lists' members are connected by."""
     weight = live.groupBy("doc").agg(F.sum("length").alias("weight"))
     open_ = materialize(live.join(weight, "doc").withColumn("part", F.col("doc")))
@@ -313,11 +390,9 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
         ).first()
         if not entries:
             break
-        last = turn == ROUNDS or few or left <= 2 * entries
-        if last:
-            asking = materialize(rows.where("part <> main").select("main", "doc").distinct())
-            members = materialize(rows.select("main", "doc").distinct())
-            found = _searched(docs, members, asking, id_, text, size, similarity)
+        if turn == ROUNDS or few or (turn and left <= FEW * entries):
+            members = materialize(rows.select("main", "doc", "n", "part").distinct())
+            found = _searched(docs, sets, members, sketch, id_, text, size, similarity)
             links = found if links is None else materialize(links.union(found))
             break
         centre = F.max(F.struct(F.col("part") != F.col("main") if turn else F.lit(True), "weight", "doc", "n", "part")).alias("c")
@@ -329,11 +404,13 @@ def _all_links(docs: DataFrame, live: DataFrame, id_: str, text: str, size: int,
         found = _linked(docs, pairs, id_, text, size, similarity)
         # where centres link little, further centres would not either
         few = 20 * found.count() < pairs.count()
+        release(pairs)
         links = found if links is None else materialize(links.union(found))
         labels = materialize(connected_components(links, "q", "doc"))
         rows = rows.drop("main").join(labels, rows["doc"] == labels["node"], "left")
         rows = rows.withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
-        open_ = materialize(rows)
+        before, open_ = open_, materialize(rows)
+        release(before, labels, largest)
     return live.select(F.col("doc").alias("q"), "doc").limit(0) if links is None else links
 
 
@@ -342,14 +419,19 @@ def keep_one(
 ) -> DataFrame:
     """One document of each component, that with the least id; documents that are alone all stay.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Of rows with equal id and text one stays. Where an id has several texts, each of them stays: the id does not tell
+    which of them is meant. Rows without an id stay. Other columns stay, of any name; null and empty texts are alone.
     """
     found = materialize(components(docs, id_, text, size, similarity))
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    twice = materialize(
-        found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_corpus_gone")).distinct())
+    name = "_corpus_twice"
+    copies = docs.where(F.col(id_).isNotNull()).groupBy(F.col(id_).alias(name)).agg(
+        F.count("*").alias("n"), F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")
     )
-    left = docs.join(broadcast_if_small(gone), F.col(id_) == F.col("_gone"), "left_anti")
-    once = left.join(broadcast_if_small(twice), F.col(id_) == F.col("_twice"), "left_anti")
-    more = left.join(broadcast_if_small(twice), F.col(id_) == F.col("_twice"), "left_semi")
-    return once.union(more.dropDuplicates([id_]))
+    copies = materialize(copies.where("n > 1"))
+    many, twice = copies.where("a <> b").select(name), copies.select(name)
+    gone = gone.join(many, F.col("_corpus_gone") == F.col(name), "left_anti")
+    left = docs.join(broadcast_if_small(materialize(gone)), F.col(id_) == F.col("_corpus_gone"), "left_anti")
+    once = left.join(broadcast_if_small(twice), F.col(id_) == F.col(name), "left_anti")
+    more = left.join(broadcast_if_small(twice), F.col(id_) == F.col(name), "left_semi")
+    return once.union(more.dropDuplicates([id_, text]))
