@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import jaccard_components
 
@@ -65,3 +66,30 @@ def test_copies_between_the_two_thresholds(spark):
     want = {d for d, (_, c) in jaccard_components(rows, 5, 80).items() if c == d}
     assert len(want) == 20 and all(c == d for d, (_, c) in jaccard_components(rows).items())
     assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == want
+
+
+def test_texts_of_one_id_stay(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (3, " ".join(words)), (3, "quite another text of its own"), (3, "quite another text of its own"), (4, None), (4, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[2], rows[4], rows[6]], key=str)
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size, similarity", [(3, 90), (5, 80), (2, 50)])
+def test_merged_lists_lose_no_partner(size, similarity):
+    rng = random.Random(similarity)
+    hashes, counts = ngram_join._Hashes(), np.array([rng.randrange(9) for _ in range(1 << ngram_join.SKETCH_BITS)], np.int32)
+    texts = [t for n in (4, 12, 40, 150) for _ in range(8) for t in near_copies(rng, 6, n, 1 + n // 12)]
+    split = [ngram_join._divided(ngram_join.word_hashes(t, hashes), size, similarity, counts) for t in texts]
+    lists = ngram_join._Lists([(short, len(whole), i, 0) for i, (whole, short) in enumerate(split)])
+    links = 0
+    for i, (whole, short) in enumerate(split):
+        reached = set(lists.reaching(short, len(whole), i, similarity).tolist())
+        for j, (other, _) in enumerate(split):
+            both = len(np.intersect1d(whole, other))
+            alike = i != j and 100 * both >= similarity * (len(whole) + len(other) - both)
+            assert not alike or (j in reached and ngram_join._similar(whole, other, similarity))
+            links += alike
+    assert links > 20

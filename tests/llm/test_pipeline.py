@@ -47,7 +47,7 @@ def test_pipeline(spark, tmp_path):
     kept = [(d, t) for d, t in rows if (c := counts[d])[0] >= 50 and 2 * c[4] <= c[0] and 2 * c[5] <= c[0] and c[6] <= 250]
     lines = deduped_lines(kept)
     kept = [(d, lines[d][3]) for d, _ in kept if lines[d][3].strip() or lines[d][1] + lines[d][2] == 0]
-    comp = jaccard_components(kept)
+    comp = jaccard_components(kept, 5, 80)
     kept = [(d, t) for d, t in kept if comp[d][1] == d]
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = {tuple(w[i : i + 13]) for _, t in bench for w in [re.findall(pattern, t)] for i in range(len(w) - 12)}
