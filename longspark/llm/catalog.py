@@ -105,16 +105,16 @@ WITH docs AS (
 ), windows AS (
   SELECT doc_id, i, CASE WHEN i + 2 <= len(w) THEN array_to_string(w[i:i + 2], ' ') END AS three,
     CASE WHEN i + 9 <= len(w) THEN md5(array_to_string(w[i:i + 9], ' ')) END AS ten,
-    CASE WHEN i + 250 <= len(w) THEN md5(array_to_string(w[i:i + 250], ' ')) END AS long FROM positions
+    CASE WHEN i + 100 <= len(w) THEN md5(array_to_string(w[i:i + 100], ' ')) END AS long FROM positions
 ), counted AS (
   SELECT doc_id, i, three IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, three) > 1 AS r3,
     ten IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, ten) > 1 AS r10,
-    long IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long) > 1 AS r251 FROM windows
+    long IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, long) > 1 AS r101 FROM windows
 ), spans AS (
   SELECT doc_id, bool_or(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
-    bool_or(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r251 FROM counted
+    bool_or(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r101 FROM counted
 ), sums AS (
-  SELECT doc_id, count(*) FILTER (WHERE c3) AS n3, count(*) FILTER (WHERE c10) AS n10, bool_or(r251) AS too_long FROM spans GROUP BY 1
+  SELECT doc_id, count(*) FILTER (WHERE c3) AS n3, count(*) FILTER (WHERE c10) AS n10, bool_or(r101) AS too_long FROM spans GROUP BY 1
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(coalesce(t, ''), chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
@@ -126,7 +126,7 @@ WITH docs AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 50 * n_words AND NOT too_long AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 30 * n_words AND NOT too_long AS kept
 FROM base
 """
 

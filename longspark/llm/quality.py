@@ -17,10 +17,11 @@ from longspark.llm.common import small_batches, worker_cache
 
 #: Words of a repeat that counts.
 MIN_REPEAT = 10
-#: Per cent of the words that such repeats may cover.
-MAX_COVERED = 50
-#: Words of the longest repeat that is let through.
-MAX_LENGTH = 250
+#: Per cent of the words that such repeats may cover. Clearly under the 50 of the base rule, which counts all of these words
+#: too: a sentence that happens to stand twice in a short text stays, a passage that makes up a third of it does not.
+MAX_COVERED = 30
+#: Words of the longest repeat that is let through: a paragraph that stands twice is refused in a text of any length.
+MAX_LENGTH = 100
 #: Base rules: fewest words, and per cent of words in repeated windows of three.
 MIN_WORDS = 50
 MAX_REPEAT_WORDS = 50

@@ -44,7 +44,7 @@ def test_pipeline(spark, tmp_path):
 
     numbers = quality._Numbers()
     counts = {d: quality.text_counts(t or "", numbers) for d, t in rows}
-    kept = [(d, t) for d, t in rows if (c := counts[d])[0] >= 50 and 2 * c[4] <= c[0] and 2 * c[5] <= c[0] and c[6] <= 250]
+    kept = [(d, t) for d, t in rows if (c := counts[d])[0] >= 50 and 2 * c[4] <= c[0] and 10 * c[5] <= 3 * c[0] and c[6] <= 100]
     lines = deduped_lines(kept)
     kept = [(d, lines[d][3]) for d, _ in kept if lines[d][3].strip() or lines[d][1] + lines[d][2] == 0]
     comp = jaccard_components(kept, 5, 80)

@@ -67,3 +67,20 @@ def test_frames(spark):
     assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [3, 3, 5]
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.measure(docs.limit(0)).count() == 0
+
+
+def test_refused_by_one_limit_alone(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [
+        (1, f"{words(0, 80)} {words(0, 20)}"),  # 40 of 100 words covered
+        (2, f"{words(0, 900)} {words(0, 101)}"),  # a fifth covered, but by a repeat of 101 words
+        (3, f"{words(0, 900)} {words(0, 100)}"),
+        (4, f"{words(0, 85)} {words(0, 15)}"),  # 30 of 100
+        (5, f"{words(0, 84)} {words(0, 16)}"),
+        (6, f"{words(0, 80)} " + " ".join(f"{words(i, i + 9)} x{i}" for i in range(0, 18, 9))),  # short repeats cover nothing
+    ]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {d: r.kept for d, r in got.items()} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
+    assert (got[1].n_covered, got[1].longest_repeat, got[2].n_covered, got[2].longest_repeat) == (40, 20, 202, 101)
+    assert got[6].n_covered == 0 < got[6].n_repeat_words
