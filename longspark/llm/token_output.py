@@ -25,6 +25,9 @@ from longspark.session import materialize, work_folder
 #: Token ids of a sequence, and sequences of a shard.
 LENGTH = 2048
 PER_SHARD = 4096
+#: Bytes of shards that a task writes or reads, and tasks at most.
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 100_000
 _ROUNDS = 6
 _MANIFEST = "shard long, first_slot long, sequences long, file string, sha256 string"
 
@@ -192,12 +195,26 @@ def write_shards(
             yield end()
 
     pieces = placed.mapInArrow(cut, "shard long, slot long, at int, ids binary")
-    ordered = pieces.repartition("shard").sortWithinPartitions("shard", "slot", "at")
+    shards = -(-count // per_shard)
+    ordered = _by_range(pieces, 0, shards, shards * per_shard * length * width).sortWithinPartitions("shard", "slot", "at")
     return materialize(ordered.mapInArrow(write, _MANIFEST)), count
 
 
+def _by_range(rows: DataFrame, first: int, shards: int, size: int) -> DataFrame:
+    """``rows`` dealt by equal ranges of ``shards`` shards from ``first`` on, of ``size`` bytes in all.
+
+    Slots are random, so equal ranges are equal work and need no sample; their number is set and never coalesced.
+    """
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(shards, MOST_RANGES, max(least, -(-size // RANGE_BYTES))))
+    return rows.repartitionById(n, F.floor((F.col("shard") - first) * n / max(1, shards)).cast("int"))
+
+
 def read_shards(manifest: DataFrame, count: int, length: int = LENGTH, width: int = 1, key: int = 1, from_slot: int = 0) -> DataFrame:
-    """The sequences from ``from_slot`` on: (slot, sequence, ids); each shard is read from front to back."""
+    """The sequences from ``from_slot`` on: (slot, sequence, ids); each shard is read from front to back.
+
+    Tasks read ranges of neighbouring shards, of about ``RANGE_BYTES`` each. An empty manifest gives no rows.
+    """
     step = length * width
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +233,10 @@ def read_shards(manifest: DataFrame, count: int, length: int = LENGTH, width: in
                             names=["slot", "sequence", "ids"],
                         )
 
-    files = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).repartition("shard")
+    files = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot)
+    least, most, sequences = files.agg(F.min("shard"), F.max("shard"), F.sum("sequences")).first()
+    if least is not None:
+        files = _by_range(files, least, most - least + 1, sequences * step).sortWithinPartitions("shard")
     return files.mapInArrow(read, "slot long, sequence long, ids binary")
 
 

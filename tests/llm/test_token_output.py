@@ -41,3 +41,21 @@ def test_shards(spark, width):
 def test_no_documents(spark):
     manifest, count = token_output.materialise(spark.createDataFrame([], "doc_id long, t binary"), F.col("t"))
     assert count == 0 and token_output.read_shards(manifest, count).count() == 0
+
+
+def test_ranges_of_shards(spark, monkeypatch):
+    """As many tasks as there are bytes, whatever the size of the manifest; each has neighbouring shards."""
+    docs = spark.createDataFrame([(i, bytes(range(100))) for i in range(40)], "doc_id long, t binary")
+    options = {"length": 8, "per_shard": 4, "separator": 200, "padding": 201}
+    manifest, count = token_output.materialise(docs, F.col("t"), **options)
+    assert manifest.count() == -(-count // 4) == 127
+    own = spark.sparkContext.defaultParallelism
+    assert token_output.read_shards(manifest, count, length=8).rdd.getNumPartitions() == own
+    monkeypatch.setattr(token_output, "RANGE_BYTES", 128)
+    found = token_output.read_shards(manifest, count, length=8)
+    assert found.rdd.getNumPartitions() == 32  # 127 shards of 32 bytes
+    tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    spans = sorted((r.a, r.b) for r in tasks.collect())
+    assert len(spans) == 32 and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    late = token_output.read_shards(manifest, count, length=8, from_slot=count - 3)
+    assert sorted(r.slot for r in late.collect()) == [count - 3, count - 2, count - 1]
