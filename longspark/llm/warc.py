@@ -1,8 +1,8 @@
 """WARC archives of pages, and their capture index by external merging.
 
 Tasks write their pages into archives of their own, a gzip member per record, and with each archive a run
-of index entries sorted by (URL key, timestamp, page). The runs are dealt out by ranges of that order; each
-range merges the sorted slices it has got from the runs in a loser tree, so the index as a whole is one
+of index entries sorted by (URL key, timestamp, page). The runs are dealt out by ranges of that order, as many
+as keep a range small; each merges the sorted slices it has got from the runs in a loser tree, so the index as a whole is one
 globally ordered list of capture histories. Archives are read back by their index entries.
 
 A file gets a name of its own for every attempt of a task, and only what committed attempts report is read:
@@ -30,6 +30,9 @@ from longspark.session import materialize, work_folder
 LEAST_REVISIT = 1000
 #: Records of one archive at most; its index entries are sorted in memory.
 RECORDS = 50_000
+#: Index entries of a range about, which a task holds to merge them; bytes of archives that a task reads.
+RANGE = 100_000
+READ_BYTES = 64 << 20
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -194,20 +197,23 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The capture index: all entries, ordered by (urlkey, ts, page_id) within and across partitions.
 
-    Ranges cut histories too, so that a URL captured very often does not fill a task.
+    Ranges cut histories too, so that a URL captured very often does not fill a task. Their number follows the number of entries,
+    so what a task holds does not grow with the index.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[list[tuple]]] = {}
         schema = None
         for batch in batches:
             schema = batch.schema
             for run, file, offset, length, key, ts, page in zip(*(c.to_pylist() for c in batch.columns)):
-                slices.setdefault(run, []).append((key, ts, page, offset, length, run, file))
-        for part in slices.values():
-            part.sort(key=_order)  # the slice of a run comes sorted unless its blocks were fetched in parts
+                entry = (key, ts, page, offset, length, run, file)
+                item, parts = (_order(entry), entry), slices.setdefault(run, [[]])
+                if parts[-1] and item[0] < parts[-1][-1][0]:
+                    parts.append([])  # a slice comes sorted; where its blocks come in another order, each is a slice
+                parts[-1].append(item)
         rows = []
-        for key, ts, page, offset, length, run, file in LoserTree(list(slices.values()), _order):
+        for _, (key, ts, page, offset, length, run, file) in LoserTree([p for parts in slices.values() for p in parts], lambda item: item[0]):
             rows.append((run, file, offset, length, key, ts, page))
             if len(rows) == 10_000:
                 yield _batch(rows, schema)
@@ -215,7 +221,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows, schema)
 
-    return runs.repartitionByRange("urlkey", "ts", "page_id", "offset").mapInArrow(merge, _INDEX)
+    n = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RANGE))
+    return runs.repartitionByRange(n, "urlkey", "ts", "page_id", "offset").mapInArrow(merge, _INDEX)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -224,7 +231,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def read_archives(index: DataFrame) -> DataFrame:
     """The records that index entries name: (page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest, payload). A revisit has the size and digest of what it refers to, and no payload."""
+    payload_digest, payload). A revisit has the size and digest of what it refers to, and no payload.
+
+    Tasks read ranges of (file, offset) of about ``READ_BYTES``, or ``RECORDS`` records where these are short.
+    """
     schema = (
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     )
@@ -262,8 +272,10 @@ def read_archives(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     names = [f.split()[0] for f in schema.split(", ")]
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return rows.mapInArrow(read, schema)
+    size, records = index.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    n = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES), -(-records // RECORDS))
+    rows = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset")
+    return rows.sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", ts: Column | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from longspark.llm import warc
 
@@ -58,6 +59,25 @@ def test_index_is_globally_ordered(spark):
     assert order == sorted(order) and len(order) == 300
 
 
+def test_tasks_follow_the_size(spark, monkeypatch):
+    rows = [(i, f"http://{'abc'[i % 3]}.example/", "t" * 50) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    own = spark.sparkContext.defaultParallelism
+    index = warc.archive(pages)
+    assert warc.read_archives(index).rdd.getNumPartitions() == own
+    monkeypatch.setattr(warc, "RANGE", 10)
+    monkeypatch.setattr(warc, "READ_BYTES", index.groupBy().sum("length").first()[0] // 30)
+    runs = warc.write_archives(pages.withColumn("ts", pages["page_id"] % 7), _folder(spark), records=30)
+    merged = warc.merge_runs(runs)
+    assert merged.rdd.getNumPartitions() >= 39  # ranges of equal entries may be one
+    held = merged.withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert max(r["count"] for r in held.collect()) <= 30
+    order = [(r.urlkey, r.ts, r.page_id) for r in merged.collect()]
+    assert order == sorted(order) and len(order) == 400
+    read = warc.read_archives(index)
+    assert read.rdd.getNumPartitions() >= 29 and sorted(r.page_id for r in read.collect()) == list(range(400))
+
+
 def _folder(spark):
     from longspark.session import work_folder
 
