@@ -367,6 +367,31 @@ def _second(out):
     return vector_to_array(out["probability"])[1]
 
 
+_RETURNED = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "fit_logistic_grouped",
+    # at the optimum of a convex loss its slope is zero in every direction
+    "WITH g AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_positive FROM lineitem GROUP BY 1)"
+    " SELECT l_suppkey, n, n_positive, n_positive NOT IN (0, n) AS converged, "
+    + ", ".join(f"CASE WHEN n_positive NOT IN (0, n) THEN 0.0::DOUBLE END AS slope{i}" for i in range(len(_RETURNED) + 1))
+    + " FROM g",
+)
+def _(spark, sf):
+    label = (F.col("l_returnflag") == "R").cast("int").alias("returned")
+    rows = table(spark, sf, "lineitem").select("l_suppkey", *_RETURNED, label)
+    fits = fit.fit_logistic_grouped(rows, _RETURNED, "returned", by=["l_suppkey"])
+    out = fit.predict_logistic(rows, fits, _RETURNED, by=["l_suppkey"], name="p").join(fits, "l_suppkey")
+    weight = F.col("n") / (2 * F.when(F.col("returned") == 1, F.col("n_positive")).otherwise(F.col("n") - F.col("n_positive")))
+    off = weight * (F.col("p") - F.col("returned"))
+    slopes = [F.sum(off * (F.col(_RETURNED[i - 1]).cast("double") if i else 1.0)) for i in range(len(_RETURNED) + 1)]
+    keys = ["l_suppkey", "n", "n_positive", "converged", "coefficients"]
+    out = out.groupBy(keys).agg(*[s.alias(f"s{i}") for i, s in enumerate(slopes)])
+    slope = lambda i: F.col(f"s{i}") + (F.col("coefficients")[i] if i else 0.0)
+    return out.select(*keys[:4], *[F.round(F.abs(slope(i)), 5).alias(f"slope{i}") for i in range(len(slopes))])
+
+
 @query("fit_gbt")
 def _(spark, sf):
     ex = examples(spark, sf)

@@ -171,3 +171,45 @@ def test_moments_use_complete_rows_only(spark, monkeypatch, wide):
     assert out.n == len(whole) < 50
     np.testing.assert_allclose(out.means, whole.mean(0), atol=1e-12)
     np.testing.assert_allclose(metrics.unpack(np.array(out.cross), 3), centred.T @ centred, atol=1e-9)
+
+
+def test_grouped_logistic_fits_equal_the_single_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in (("a", 400), ("b", 60), ("c", 30)):
+        for _ in range(n):
+            u, v = rng.normal(), 20 * rng.normal() + 5
+            rows.append((g, float(u), float(v), int(rng.random() < 1 / (1 + np.exp(1.5 - u - 0.05 * v)))))
+    rows += [("apart", float(i), 0.0, int(i >= 10)) for i in range(20)]  # separable: the penalty keeps it finite
+    rows += [("one", 1.0, 2.0, 1), ("one", 2.0, 1.0, 1)]
+    noise = [("a", None, 1.0, 1), ("a", float("nan"), 1.0, 0), ("a", 1.0, float("inf"), 0), ("a", 1.0, 1.0, None), ("a", 1.0, 1.0, 7), (None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows + noise, "g string, u double, v double, y int").repartition(3)
+    fits = fit.fit_logistic_grouped(df, ["u", "v"], "y", by=["g"])
+    got = {r.g: r for r in fits.collect()}
+    assert set(got) == {"a", "b", "c", "apart", "one"}
+    assert got["one"].coefficients is None and not got["one"].converged and got["one"].n == got["one"].n_positive == 2
+    for g in ("a", "b", "c", "apart"):
+        own = [(u, v, y) for k, u, v, y in rows if k == g]
+        x = np.array([(1, u, v) for u, v, _ in own], float)
+        y = np.array([r[2] for r in own], float)
+        w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        b = np.array(got[g].coefficients)
+        slope = x.T @ (w * (1 / (1 + np.exp(-x @ b)) - y)) + np.r_[0, b[1:]]
+        assert got[g].converged and got[g].n == len(y) and np.abs(slope).max() < 1e-6
+    model = fit.fit_logistic_balanced(df.where("g = 'b'"), ["u", "v"], "y")
+    assert np.allclose([model.intercept, *model.coefficients], got["b"].coefficients, atol=1e-3)
+    out = fit.predict_logistic(df, fits, ["u", "v"], by=["g"]).collect()
+    assert len(out) == len(rows) + len(noise)
+    assert all((r.probability is None) == (r.u is None or r.g in (None, "one")) or np.isnan(r.probability) for r in out)
+    assert fit.fit_logistic_grouped(df.limit(0), ["u", "v"], "y", by=["g"]).count() == 0
+    with pytest.raises(ValueError, match="strength"):
+        fit.fit_logistic_grouped(df, ["u"], "y", by=["g"], strength=0.0)
+
+
+def test_grouped_logistic_fits_do_not_depend_on_the_join(spark, monkeypatch):
+    rows = [(i % 7, float(i % 5), int(i * 7919 % 11 < 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, u double, y int")
+    near = {r.g: r.coefficients for r in fit.fit_logistic_grouped(df, ["u"], "y", by=["g"]).collect()}
+    monkeypatch.setattr(fit, "MAX_BROADCAST_GROUPS", 2)
+    far = {r.g: r.coefficients for r in fit.fit_logistic_grouped(df, ["u"], "y", by=["g"]).collect()}
+    assert near.keys() == far.keys() and all(np.allclose(near[g], far[g], atol=1e-8) for g in near)
