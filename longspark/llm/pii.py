@@ -12,6 +12,7 @@ All of it is DataFrame functions and Spark ML; no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
 import warnings
 from functools import reduce
 
@@ -39,8 +40,6 @@ _HIDDEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({](?i:at)[\])}] ?[A-Za-
 MOST_DIGITS = 19
 #: Characters of context before and after a span.
 CONTEXT = 32
-#: Candidates the trees are fitted and calibrated on at most, chosen by a hash of their content.
-FIT_ROWS = 20_000
 #: Precision that the calibrated threshold reaches on candidates held out of the fit.
 PRECISION = 0.95
 #: First trees' probability from which an unconfirmed candidate is no example. Of any numbers a tenth passes the
@@ -255,32 +254,36 @@ def _with_probability(model: GBTClassificationModel, rows: DataFrame) -> DataFra
 def fit(candidates: DataFrame) -> tuple[GBTClassificationModel, float] | None:
     """Trees and threshold from labelled candidates (``FEATURES``, ``label``, ``draw``).
 
-    At most ``FIT_ROWS`` rows are used, those with the least ``draw``; one in five is held out for the
+    All rows count: equal ones are one row with their number as its weight, so what the trees pass over again and again are
+    the different formats. One row in five is held out for the
     threshold: the least probability, from ``LEAST``, from which on they reach ``PRECISION``. Unconfirmed rows
     that first trees find like confirmed ones are left out of both, but not those that ``_refuted`` names. None, with a warning
     that says why, if a class is missing or no threshold reaches it.
     """
-    sample = materialize(candidates.select(*FEATURES, "label", "draw").orderBy("draw", *FEATURES).limit(FIT_ROWS))
-    trees = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, seed=7, maxMemoryInMB=64)
+    held = (F.pmod("draw", F.lit(5)) == 0).alias("held")
+    counted = candidates.groupBy(*FEATURES, "label", held).agg(F.count("*").cast("double").alias("weight"))
+    counted = materialize(counted)
+    # Spark ML looks for splits in a sample once there are more rows than the square of the bins
+    bins = min(46_340, max(32, math.isqrt(counted.count()) + 1))
+    trees = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, seed=7, maxMemoryInMB=64, maxBins=bins, weightCol="weight")
 
     def learned(rows: DataFrame) -> GBTClassificationModel | None:
-        learn = rows.where("pmod(draw, 5) <> 0")
+        learn = rows.where("not held")
         if learn.select("label").distinct().count() < 2:
             return None
         ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(learn)
-        return trees.fit(ready.select("features", "label").coalesce(4))
+        return trees.fit(ready.select("features", "label", "weight"))
 
-    first = learned(sample)
+    first = learned(counted)
     if first is None:
         return _nothing("the proposals do not have both confirmed and unconfirmed ones")
-    sure = _with_probability(first, sample).where((F.col("label") == 1) | (F.col("p") < UNSURE) | _refuted()).drop("p")
+    sure = _with_probability(first, counted).where((F.col("label") == 1) | (F.col("p") < UNSURE) | _refuted()).drop("p")
     sure = materialize(sure)
     model = learned(sure)
     if model is None:
         return _nothing("all unconfirmed proposals look like confirmed ones")
-    held = sure.where("pmod(draw, 5) = 0")
-    bins = _with_probability(model, held).groupBy(F.floor(F.col("p") * 100).alias("bin"))
-    rows = bins.agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # 101 at most
+    scored = _with_probability(model, sure.where("held")).groupBy(F.floor(F.col("p") * 100).alias("bin"))
+    rows = scored.agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("all")).collect()  # 101 at most
     threshold, right, every = None, 0.0, 0
     for r in sorted(rows, key=lambda r: -r["bin"]):
         right, every = right + r["right"], every + r["all"]

@@ -149,3 +149,11 @@ def test_failed_check_sums_are_not_added(spark):
     assert not [i for i, _ in added if i % 25 == 1]
     assert len(added & planted) >= 0.9 * len(planted), "recall"
     assert len(added & planted) >= 0.95 * len(added), "precision"
+
+
+def test_every_candidate_counts_in_the_fit(spark):
+    # the confirmed ones have the greatest draws, behind 24,000 others
+    rows = spark.range(25_000).withColumn("label", (F.col("id") >= 24_000).cast("double"))
+    features = [(F.lit(8.0) + 4 * F.col("label") if n == "chars" else F.lit(0.0)).alias(n) for n in pii.FEATURES]
+    fitted = pii.fit(rows.select(*features, "label", F.col("id").alias("draw")))
+    assert fitted is not None and fitted[1] >= pii.LEAST
