@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspark.llm.common import broadcast_if_small
-from longspark.session import materialize
+from longspark.session import materialize, release
 
 #: Edits within which two lines count as the same.
 EDITS = 2
@@ -172,26 +172,30 @@ def _lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines that share a segment and nearly share letter counts.
+    """Pairs (a, b) of hashes of different lines that share a segment and nearly share letter counts, written.
 
     ``lines`` holds each line once: (h, line), and ``letters`` where they have been counted.
     """
     counted = lines if "letters" in lines.columns else _with_letters(lines)
     rows = counted.select("h", "line", F.length("line").alias("len"), "letters")
-    # a row per key to compute, so that the generated code stays small enough to be compiled
-    own = [(i, 0, 0) for i in range(1, edits + 2)]
-    others = [(i, d, s) for d in range(edits + 1) for i in range(1, edits + 2) for s in shifts(i, d, edits)]
 
     def keyed(which: list[tuple[int, int, int]], names: tuple[str, str]) -> DataFrame:
+        # a row per key to compute, so that the generated code stays small enough to be compiled
         wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(s).alias("s")) for i, d, s in which])
         each = rows.select("*", F.explode(wanted).alias("w")).where(F.col("len") - F.col("w.d") >= MIN_CHARS)
         key = _key(F.col("line"), F.col("len") - F.col("w.d"), F.col("w.i"), F.col("w.s"), edits)
         return each.select(key.alias("key"), F.col("h").alias(names[0]), F.col("letters").alias(names[1]))
 
-    index, probe = keyed(own, ("a", "la")), keyed(others, ("b", "lb"))
-    met = index.join(probe, "key")
-    met = met.where((F.col("a") != F.col("b")) & (_counts_differ(F.col("la"), F.col("lb")) <= 2 * edits))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = []
+    # keys of one segment at a time: those of different ones never meet, and what is shuffled goes before the next
+    for i in range(1, edits + 2):
+        others = [(i, d, s) for d in range(edits + 1) for s in shifts(i, d, edits)]
+        met = keyed([(i, 0, 0)], ("a", "la")).join(keyed(others, ("b", "lb")), "key")
+        met = met.where((F.col("a") != F.col("b")) & (_counts_differ(F.col("la"), F.col("lb")) <= 2 * edits))
+        found.append(materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    pairs = materialize(reduce(DataFrame.union, found).distinct())
+    release(*found)
+    return pairs
 
 
 def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -222,13 +226,16 @@ def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: in
     once = lines.where(F.col("first").isNull() | (F.col("first") == place))
     # split, hashed and counted once: the keys of both sides and the texts start from the written lines
     once = materialize(_with_letters(once.select("h", "h2", "line", place.alias("at"))))
-    pairs = materialize(near_pairs(once, edits))
+    pairs = near_pairs(once, edits)
     met = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = once.join(broadcast_if_small(met), "h", "left_semi")
     texts = materialize(texts.select("h", "h2", "line", "at"))
+    release(once, met)
     close = materialize(verified(pairs, texts, edits).select("h_a", "h2_a", "at_a", "h_b", "h2_b", "at_b"))
+    release(pairs, texts)
     late = close.where("at_a < at_b").select(F.col("h_b").alias("h"), F.col("h2_b").alias("h2"))
     late = materialize(late.union(close.where("at_b < at_a").select("h_a", "h2_a")).distinct().withColumn("near", F.lit(True)))
+    release(close)
     marked = lines.join(broadcast_if_small(late), ["h", "h2"], "left")
     marked = marked.where(F.col("near") | (F.col("first") != place))
     return marked.groupBy("doc").agg(

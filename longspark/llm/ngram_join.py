@@ -346,12 +346,18 @@ def components(
     words or text has no shingles and is alone. Rows that repeat an id are one document and one row each;
     rows without an id are linked with nothing and have no component. An empty table gives no rows.
     """
+    return _components(docs, id_, text, size, similarity)[0]
+
+
+def _components(docs: DataFrame, id_: str, text: str, size: int, similarity: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``components`` and the written frames that it reads."""
     small_batches(docs.sparkSession)
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
     sets = _sets(docs, sketch, id_, text, size, similarity)
     able = sets.where("doc is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
-    classes = broadcast_if_small(materialize(classes.select("digest", "rep")))
+    written = materialize(classes.select("digest", "rep"))
+    classes = broadcast_if_small(written)
     members = sets.select("doc", "n", "digest").join(classes, "digest", "left")
     members = members.withColumn("rep", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")))
     alone = able.join(classes, "digest", "left_anti").select("doc", "n", "short")
@@ -365,10 +371,12 @@ def components(
     release(lists)
     links = _all_links(docs, sets, live, sketch, id_, text, size, similarity)
     labels = materialize(connected_components(links, "q", "doc"))
+    release(live)
     out = members.join(labels, members["rep"] == labels["node"], "left")
-    return out.select(
+    out = out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
+    return out, [sets, written, labels]
 
 
 def _all_links(
@@ -389,10 +397,13 @@ def _all_links(
             F.coalesce(F.sum((F.col("all") - F.col("m")) * F.col("all")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))
         ).first()
         if not entries:
+            release(open_, largest)
             break
         if turn == ROUNDS or few or (turn and left <= FEW * entries):
             members = materialize(rows.select("main", "doc", "n", "part").distinct())
+            release(open_, largest)
             found = _searched(docs, sets, members, sketch, id_, text, size, similarity)
+            release(members)
             links = found if links is None else materialize(links.union(found))
             break
         centre = F.max(F.struct(F.col("part") != F.col("main") if turn else F.lit(True), "weight", "doc", "n", "part")).alias("c")
@@ -422,7 +433,9 @@ def keep_one(
     Of rows with equal id and text one stays. Where an id has several texts, each of them stays: the id does not tell
     which of them is meant. Rows without an id stay. Other columns stay, of any name; null and empty texts are alone.
     """
-    found = materialize(components(docs, id_, text, size, similarity))
+    labelled, read = _components(docs, id_, text, size, similarity)
+    found = materialize(labelled)
+    release(*read)
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_corpus_gone")).distinct())
     name = "_corpus_twice"
     copies = docs.where(F.col(id_).isNotNull()).groupBy(F.col(id_).alias(name)).agg(

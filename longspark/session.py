@@ -9,6 +9,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark removes a query's shuffle files at its end; otherwise they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "longspark", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
     builder = (
@@ -47,11 +51,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several branches use to the shared folder, and read it back.
 
     The branches then start from the written rows: nothing upstream runs twice, lineage is cut,
-    and a lost executor costs no more than a re-read.
+    and a lost executor costs no more than a re-read. Shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     written = spark.read.parquet(path)
     written._written_path = path
     return written

@@ -1,10 +1,12 @@
+import os
 import random
 
 import pytest
 from brute import deduped_lines, distance
 from pyspark.sql import functions as F
 
-from longspark.llm import line_dedup
+from longspark.llm import line_dedup, ngram_join
+from longspark.session import materialize, work_folder
 
 
 def changed(rng, text, most, letters):
@@ -67,3 +69,39 @@ def test_counts_of_any_letters(spark):
     for r in df.select("a", "b", line_dedup._counts_differ(*counts).alias("d")).collect():
         gaps = [abs(r.a.count(c) - r.b.count(c)) % 16 for c in "dr"]
         assert r.d == sum(min(g, 16 - g) for g in gaps)
+
+
+def test_what_was_written_goes_when_it_has_been_read(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    line = "a line that is long enough, number "
+    docs = spark.createDataFrame([(i, f"{line}{i % 7}\n{line}{i:04d}") for i in range(40)], "doc_id long, text string").coalesce(2)
+    frames = lambda: set(os.listdir(work_folder(spark)))
+    before, own = frames(), spark.conf.get(setting, None)
+    result = line_dedup.dedup_lines(docs)
+    # repeated lines, near lines and what goes
+    assert len(frames() - before) == 3
+    assert result.count() == 40 and spark.conf.get(setting, None) == own
+    before = frames()
+    left = ngram_join.keep_one(docs)
+    # links and steps of the components are small; sets and lists of whole texts go
+    kept = [spark.read.parquet(f"{work_folder(spark)}/{f}").columns for f in frames() - before]
+    assert not any("short" in c or "token" in c for c in kept) and left.count() <= 40
+
+
+def test_shuffle_files_of_a_written_frame_go(spark):
+    def cleaned(df):
+        return df._jdf.queryExecution().shuffleCleanupMode().toString()
+
+    seen = []
+
+    class Watched:
+        sparkSession = spark
+
+        class write:
+            @staticmethod
+            def parquet(path):
+                seen.append(cleaned(spark.range(3)))
+                spark.range(3).write.parquet(path)
+
+    assert materialize(Watched).count() == 3
+    assert seen == ["RemoveShuffleFiles"] and cleaned(spark.range(3)) != "RemoveShuffleFiles"
