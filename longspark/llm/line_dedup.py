@@ -171,10 +171,11 @@ def _lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return rows.select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def near_pairs(lines: DataFrame, edits: int = EDITS, apart: bool = False) -> DataFrame:
     """Pairs (a, b) of hashes of different lines that share a segment and nearly share letter counts, written.
 
-    ``lines`` holds each line once: (h, line), and ``letters`` where they have been counted.
+    ``lines`` holds each line once: (h, line), and ``letters`` where they have been counted. ``apart``: one segment at a time,
+    which reads the lines again for each and holds the shuffle files of one only.
     """
     counted = lines if "letters" in lines.columns else _with_letters(lines)
     rows = counted.select("h", "line", F.length("line").alias("len"), "letters")
@@ -187,10 +188,12 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         return each.select(key.alias("key"), F.col("h").alias(names[0]), F.col("letters").alias(names[1]))
 
     found = []
-    # keys of one segment at a time: those of different ones never meet, and what is shuffled goes before the next
-    for i in range(1, edits + 2):
-        others = [(i, d, s) for d in range(edits + 1) for s in shifts(i, d, edits)]
-        met = keyed([(i, 0, 0)], ("a", "la")).join(keyed(others, ("b", "lb")), "key")
+    # keys of different segments never meet
+    every = range(1, edits + 2)
+    for numbers in [[i] for i in every] if apart else [every]:
+        own = [(i, 0, 0) for i in numbers]
+        others = [(i, d, s) for d in range(edits + 1) for i in numbers for s in shifts(i, d, edits)]
+        met = keyed(own, ("a", "la")).join(keyed(others, ("b", "lb")), "key")
         met = met.where((F.col("a") != F.col("b")) & (_counts_differ(F.col("la"), F.col("lb")) <= 2 * edits))
         found.append(materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     pairs = materialize(reduce(DataFrame.union, found).distinct())
@@ -211,7 +214,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFram
     return both.where(edit_distance(F.col("longer"), F.col("shorter"), edits) <= edits)
 
 
-def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, apart: bool = False) -> DataFrame:
     """Line numbers to remove: (doc, exact, near), for documents that lose any.
 
     ``doc`` is (id, hash of the text). A line goes as ``exact`` if an equal line stands earlier, in the order
@@ -226,7 +229,7 @@ def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: in
     once = lines.where(F.col("first").isNull() | (F.col("first") == place))
     # split, hashed and counted once: the keys of both sides and the texts start from the written lines
     once = materialize(_with_letters(once.select("h", "h2", "line", place.alias("at"))))
-    pairs = near_pairs(once, edits)
+    pairs = near_pairs(once, edits, apart)
     met = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = once.join(broadcast_if_small(met), "h", "left_semi")
     texts = materialize(texts.select("h", "h2", "line", "at"))
@@ -244,14 +247,14 @@ def removals(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: in
     )
 
 
-def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, apart: bool = False) -> DataFrame:
     """Each document row, its text without repeated and nearly repeated lines, with ``n_lines``, ``n_exact`` and
     ``n_near`` (lines removed).
 
     Lines end at a line feed; lines under ``MIN_CHARS`` characters always stay. Null texts stay null, rows that
-    are equal lose the same lines, other columns stay; columns of the given names are replaced.
+    are equal lose the same lines, other columns stay; columns of the given names are replaced. ``apart``: see ``near_pairs``.
     """
-    gone = materialize(removals(docs, id_, text, edits))
+    gone = materialize(removals(docs, id_, text, edits, apart))
     gone = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in gone.columns])
     docs = docs.drop("n_lines", "n_exact", "n_near")
     rows = docs.withColumn("_doc", F.struct(F.col(id_).alias("id"), F.xxhash64(text).alias("hash")))

@@ -80,6 +80,8 @@ def test_what_was_written_goes_when_it_has_been_read(spark):
     result = line_dedup.dedup_lines(docs)
     # repeated lines, near lines and what goes
     assert len(frames() - before) == 3
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(line_dedup.dedup_lines(docs, apart=True)) == rows(result)
     assert result.count() == 40 and spark.conf.get(setting, None) == own
     before = frames()
     left = ngram_join.keep_one(docs)
