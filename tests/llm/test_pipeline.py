@@ -1,5 +1,6 @@
 """The pipeline against plain code, stage by stage, on a small corpus with everything planted."""
 
+import hashlib
 import random
 import re
 
@@ -63,3 +64,16 @@ def test_pipeline(spark, tmp_path):
     want = {d: library.encode_ordinary(t) for d, t in clean}
     assert {d: list(memoryview(bytes(r.ids)).cast("I")) for d, r in got.items()} == want
     assert 36 <= len(want) < len(rows) - 15
+
+
+def test_tokens_hold_one_python_worker_a_task(spark, tmp_path):
+    rows = [(1, "Été at 12"), (2, None), (3, ""), (3, "twice  x"), (3, "twice  x"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = [(r.doc_id, list(memoryview(bytes(r.ids)).cast("I")), r.n_tokens, r.decoded_sha256) for r in out.collect()]
+    ids = [(d, library.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows]
+    assert sorted(got, key=str) == sorted([(d, i, len(i), h) for d, i, h in ids], key=str)
